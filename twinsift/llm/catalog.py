@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinsift.llm import quality
 from twinsift.llm.common import table
+from twinsift.llm.simhash import op3_simhash
+from twinsift.llm.tokenfile import op4_token_file
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op4_token_file": op4_token_file,
     "op9_quality_rules": op9_quality_rules,
 }
 
