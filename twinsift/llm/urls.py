@@ -23,7 +23,7 @@ BUCKETS, MOST = 1 << 14, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-BLOCKED = "cheap-pills discount-pharmacy pills-online viagra-shop casino-win lucky-casino poker-bonus free-bets sports-bets slots-jackpot adult-x xxx-videos adult-cams sexy-chat spam-farm link-farm bulk-mailer seo-spam ads-track ad-tracker pop-ads click-ads banner-track free-iphone win-prizes get-rich-fast crypto-doubler payday-loans replica-watches warez-crack".split()
+BLOCKED = "cheap-meds discount-pharmacy pills-online viagra-shop diet-pills casino-royal lucky-casino poker-bonus sports-bets bets-online slots-jackpot adult-video xxx-videos adult-cams sexy-chat spam-mails content-farm link-farm bulk-mailer seo-spam ads-server ad-tracker pop-ads click-ads click-track banner-track free-iphone free-money win-prizes get-rich-fast crypto-doubler payday-loans replica-watches warez-crack".split()
 ALLOWED = "news library museum university weather gardening cooking history science hospital city-council parliament archive encyclopedia research-lab school theatre orchestra railway airport observatory botany chemistry physics mathlab philosophy poetry novels essays lectures maps travel-guide hiking sailing cycling football chess music painting sculpture carpentry woodwork knitting farming forestry fishery market bakery harbour village the-review morning-post evening-star thinker author other theory there tions nation station motion".split()
 PATHS = ["/", "/en/1.html", "/fr/20/", "/de/345", "/es/7/index.html"]
 
