@@ -11,6 +11,7 @@ from twinsift.llm.common import table
 from twinsift.llm.mixing import op8_source_mix
 from twinsift.llm.shards import op10_hilbert_shards
 from twinsift.llm.simhash import op3_simhash
+from twinsift.llm.substrings import op5_substring_dedup
 from twinsift.llm.tokenfile import op4_token_file
 from twinsift.llm.urls import op7_url_filter
 
@@ -26,6 +27,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_file": op4_token_file,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
