@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from twinsift.llm import quality
 from twinsift.llm.common import table
 from twinsift.llm.mixing import op8_source_mix
+from twinsift.llm.neighbours import op1_nearest_neighbours
+from twinsift.llm.packing import op6_packing
 from twinsift.llm.shards import op10_hilbert_shards
 from twinsift.llm.simhash import op3_simhash
 from twinsift.llm.substrings import op5_substring_dedup
 from twinsift.llm.tokenfile import op4_token_file
+from twinsift.llm.toxicity import op2_toxicity
 from twinsift.llm.urls import op7_url_filter
 
 
@@ -25,9 +28,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_token_file": op4_token_file,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_packing": op6_packing,
     "op7_url_filter": op7_url_filter,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
