@@ -27,7 +27,7 @@ import numpy as np
 MAGIC, HEADER = b"TID1", struct.Struct("<4sIIIII")
 STEPS = 512  # ids of a lane
 SLOTS = 1 << 18  # hashed order-2 contexts
-RARE = 8
+RARE = 16
 U = np.uint64
 TOP, BOTTOM, W16, W48 = U(1 << 48), U((1 << 32) - 1), U(16), U(48)
 SAFE = U(1 << 36)
@@ -76,14 +76,15 @@ class Mixer:
 
 
 class Model:
-    def __init__(self, lanes: int, vocabulary: int) -> None:
-        self.vocabulary = vocabulary
+    def __init__(self, lanes: int, vocabulary: int, by_place: bool = False) -> None:
+        self.vocabulary, self.by_place = vocabulary, by_place
         self.order2 = np.full(SLOTS, -8, dtype=np.int32)  # guess * 8 + confidence; -1 is no guess
         self.order1 = np.full(vocabulary, -8, dtype=np.int32)
         self.counts = np.ones(vocabulary, dtype=np.int64)
         self.before, self.before2 = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
         self.mix2, self.mix1 = Mixer(), Mixer()
         self.ids, self.at2, self.at1, self.step = [], [], [], 0
+        self.every, self.names = np.arange(vocabulary + 1), np.arange(vocabulary, dtype=np.int32)
         self.sum_up()
 
     def sum_up(self) -> None:
@@ -91,11 +92,14 @@ class Model:
         # Each id gets one place and its part of the rest.
         upto = np.zeros(self.vocabulary + 1, dtype=np.int64)
         np.cumsum(self.counts, out=upto[1:])
-        upto *= (1 << SHARES) - self.vocabulary
-        upto //= total
-        upto += np.arange(self.vocabulary + 1)
-        self.upto, self.places = upto, upto.astype(np.uint64)
-        self.level = (np.searchsorted(1 << np.arange(1, LEVELS), upto[1:] - upto[:-1] >> (SHARES - 16), side="right")).astype(np.int32)
+        upto = (upto * (((1 << SHARES) - self.vocabulary) / total)).astype(np.int64)
+        upto[-1] = (1 << SHARES) - self.vocabulary
+        upto += self.every
+        width = upto[1:] - upto[:-1]
+        self.places = upto.astype(np.uint64)
+        self.level = np.clip(np.frexp(width >> (SHARES - 16))[1] - 1, 0, LEVELS - 1)
+        if self.by_place:
+            self.symbol = np.repeat(self.names, width)
 
     def predict(self, n: int) -> None:
         """For the first n lanes: guesses a and b and where their intervals end, of 65536 places."""
@@ -230,7 +234,7 @@ def decode(block: bytes) -> np.ndarray:
         code[at] = (code[at] << W16) | words[np.minimum(ptr[at], last)]
         ptr[at] += 1
 
-    model, every = Model(lanes, vocabulary), np.arange(lanes)
+    model, every = Model(lanes, vocabulary, by_place=True), np.arange(lanes)
     for t in range(steps):
         m = full if t < short else full - 1
         lo, r = low[:m], rng[:m]
@@ -249,7 +253,7 @@ def decode(block: bytes) -> np.ndarray:
             _settle(low, rng, k, rng[k] < SAFE, move)
             unit = rng[k] >> U(SHARES)
             v = np.minimum((code[k] - low[k]) // unit, U((1 << SHARES) - 1)).astype(np.int64)
-            s = np.searchsorted(model.upto, v, side="right") - 1
+            s = model.symbol[v]
             start = model.places[s]
             low[k] += unit * start
             rng[k] = unit * (model.places[s + 1] - start)

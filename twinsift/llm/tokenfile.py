@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from twinsift.llm.common import fresh_path, partitions
 from twinsift.llm.tokens import pieces, vocabulary_path
 
-BLOCK_IDS, VOCABULARY_SIZE = 1 << 21, 1 << 16
+BLOCK_IDS, VOCABULARY_SIZE = 1 << 21, 49_408
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, coded binary"
 
 
