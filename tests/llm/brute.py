@@ -85,3 +85,36 @@ def base_counts(text):
     covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def budgets(leaf, share, epochs, weights):
+    """Water filling down the tree, one saturated child after the other."""
+    levels = ["m_domain", "m_lang", "m_source"]
+
+    def place(keys, depth, budget, out):
+        if depth == 3:
+            out[keys[0]] = budget
+            return
+        kids = {}
+        for k in keys:
+            kids.setdefault(k[depth], []).append(k)
+        w = {c: weights[levels[depth]].get(c, 1) for c in kids}
+        can = {c: epochs * sum(leaf[k] for k in kids[c]) if w[c] else 0 for c in kids}
+        left, open_, got = budget, set(kids), {}
+        while open_:
+            total = sum(w[c] for c in open_)
+            full = {c for c in open_ if can[c] * total <= w[c] * left}
+            if not full:
+                got |= {c: w[c] * left // total for c in open_}
+                break
+            for c in full:
+                got[c] = can[c]
+                left -= can[c]
+            open_ -= full
+        for c in kids:
+            place(kids[c], depth + 1, got[c], out)
+
+    out = {}
+    if leaf:
+        place(list(leaf), 0, int(sum(leaf.values()) * share), out)
+    return out

@@ -72,9 +72,14 @@ def budgets(leaves: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weigh
         node = node.withColumns({"m_left": (F.col("m_budget") - F.coalesce(upto, F.lit(0))).cast(D), "m_rest": rest.cast(D)})
         # Full if its equal share of what is left is no less than it has.
         node = node.withColumn("m_full", F.col("m_can") * F.col("m_rest") <= F.col("m_weight") * F.col("m_left"))
-        first = F.min(F.when(~F.col("m_full"), F.struct(F.col("m_can") / F.greatest(F.col("m_weight"), F.lit(1)), F.col(level), F.col("m_left"), F.col("m_rest"))))
-        node = node.withColumn("m_at", first.over(filled))
-        took = F.when(F.col("m_full"), F.col("m_can")).otherwise(F.expr(f"cast(m_weight * m_at.m_left div m_at.m_rest as {D})"))
+        # The others share by weight what the full ones leave.
+        node = node.withColumns(
+            {
+                "m_left": (F.col("m_budget") - F.coalesce(F.sum(F.when(F.col("m_full"), F.col("m_can"))).over(filled), F.lit(0))).cast(D),
+                "m_rest": F.sum(F.when(~F.col("m_full"), F.col("m_weight"))).over(filled).cast(D),
+            }
+        )
+        took = F.when(F.col("m_full"), F.col("m_can")).otherwise(F.expr(f"cast(m_weight * m_left div m_rest as {D})"))
         given = node.select(*LEVELS[: depth + 1], F.greatest(F.lit(0).cast(D), F.least(F.col("m_can"), took)).cast(D).alias("m_budget"))
     return sums.join(given, LEVELS).withColumn("m_budget", F.col("m_budget").cast("long"))
 
