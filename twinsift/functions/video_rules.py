@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinsift import schema
 
@@ -66,7 +67,7 @@ def alike(kind: str, source_a: str, a, colors_a, source_b: str, b, colors_b) ->
     return len(matched) >= 2 and matched[-1] - matched[0] >= SPREAD
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def videos_alike(kind: pd.Series, source_a: pd.Series, a: pd.Series, colors_a: pd.Series, source_b: pd.Series, b: pd.Series, colors_b: pd.Series) -> pd.Series:
     rows = zip(kind, source_a, a, colors_a, source_b, b, colors_b, strict=True)
     return pd.Series([alike(k, sa, [int(x) for x in fa], ca, sb, [int(x) for x in fb], cb) for k, sa, fa, ca, sb, fb, cb in rows], dtype=bool)

@@ -26,19 +26,27 @@ INVALID_HASH = -1
 #: Kinds that are compared with each other, and the kind their groups have.
 FAMILIES = {"PHOTO": ["PHOTO"], "SCREENSHOT": ["SCREENSHOT"], "VIDEO": ["VIDEO", "SCREEN_RECORDING"]}
 
-RAW = T.StructType.fromDDL(
+TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "array<double>": T.ArrayType(T.DoubleType())}
+
+
+def struct(fields: str) -> T.StructType:
+    """From "name type, ..."; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+RAW = struct(
     "media_store_id long, media_type string, name string, size_bytes long, width int, height int, duration_ms long, date_added_s long,"
     "date_taken_ms long, date_modified_s long, bucket string, path_hint string, mime_type string, is_favorite boolean, generation_added long,"
     "generation_modified long"
 )
-ASSET = T.StructType.fromDDL(
+ASSET = struct(
     "asset_id long, media_store_id long, kind string, name string, width int, height int, duration_ms long, size_bytes long, created_at_ms long,"
     "updated_at_ms long, date_added_s long, bucket string, path_hint string, mime_type string, is_favorite boolean, is_edited boolean,"
     "generation_added long, generation_modified long, chat_source string, state string, revision long, fingerprint_status string,"
     "last_seen_scan string, source_signature string, algorithm_version int"
 )
-FINGERPRINT = T.StructType.fromDDL("asset_id long, image_hash long, color_hash array<double>")
-EDGE = T.StructType.fromDDL("category string, kind string, first_asset_id long, second_asset_id long")
-CONTACT = T.StructType.fromDDL("id long, name string, phone string")
-VIDEO = T.StructType.fromDDL("id long, display_name string, size_bytes long, duration_ms long, width int, height int, date_added_s long, date_modified_s long, bitrate int")
-PROFILE = T.StructType.fromDDL("id long, is_hevc boolean, is_hdr boolean, bitrate int, frame_rate int, width int, height int, rotation_degrees int")
+FINGERPRINT = struct("asset_id long, image_hash long, color_hash array<double>")
+EDGE = struct("category string, kind string, first_asset_id long, second_asset_id long")
+CONTACT = struct("id long, name string, phone string")
+VIDEO = struct("id long, display_name string, size_bytes long, duration_ms long, width int, height int, date_added_s long, date_modified_s long, bitrate int")
+PROFILE = struct("id long, is_hevc boolean, is_hdr boolean, bitrate int, frame_rate int, width int, height int, rotation_degrees int")
