@@ -35,7 +35,7 @@ from pyspark.sql import Window
 
 from twinsift.llm.common import partitions, stored
 
-LENGTH, BATCH, BUCKET = 20, 1 << 21, 3_000_000
+LENGTH, BATCH, BUCKET, KEPT = 20, 1 << 19, 1_000_000, 200_000
 LAST = (1 << 63) - 1
 
 
@@ -45,7 +45,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > KEPT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -114,13 +114,14 @@ def _anchors(bits: int, block: int, batch_words: int) -> Callable:
 
         def flush():
             batch = (part << 24) | number
+            carrier = (31 * part + number) % (1 << bits)  # the bucket through which rows of the batch itself go
             lens = np.array([len(t) for t in texts], np.int64)
             start = np.cumsum(lens) - lens
             w = np.concatenate(texts)
             r = _rolled(w, block, 0xD6E8FEB86659FD93)
             pos = np.arange(len(w)) - np.repeat(start, lens)
             ok = np.flatnonzero((np.repeat(lens, lens) - pos >= block)[: len(r)])
-            rows = [(batch % (1 << bits), batch, "docs", start.astype("<i8").tobytes(), np.array(h1, "<i8").tobytes(), np.array(h2, "<i8").tobytes())]
+            rows = [(carrier, batch, "docs", start.astype("<i8").tobytes(), np.array(h1, "<i8").tobytes(), np.array(h2, "<i8").tobytes())]
             if len(ok):
                 r, isblock = r[ok], pos[ok] % block == 0
                 order = np.argsort(r)
@@ -129,7 +130,7 @@ def _anchors(bits: int, block: int, batch_words: int) -> Callable:
                 at = np.flatnonzero(head)
                 n = np.diff(np.append(at, len(r)))
                 multi = n > 1
-                rows.append((batch % (1 << bits), batch, "hits", np.sort(ok[np.repeat(multi, n)]).astype("<u4").tobytes(), b"", b""))
+                rows.append((carrier, batch, "hits", np.sort(ok[np.repeat(multi, n)]).astype("<u4").tobytes(), b"", b""))
                 flags = (np.add.reduceat(isblock.astype(np.int64), at) > 0) + 2 * multi
                 r, first = r[at], ok[at]
                 cut = np.searchsorted(r >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
