@@ -7,6 +7,9 @@ is calibrated: for at most `PROBES` queries the exact neighbours are found by br
 and the number of leaf visits is widened until the share of those neighbours in the visited leaves (the
 recall) reaches `RECALL`. Then all queries visit that many leaves; if need be all of them, which is exact.
 
+A query also carries a bound: its k-th distance to the sample rows of the first leaves it visits. Those are
+candidates too, so nothing farther can be among its k nearest, and leaves answer with nearer rows only.
+
 Leaves meet queries by an equality join of blocks: a leaf's rows and a leaf's queries are cut into blocks
 of about `BLOCK` by a hash, so a crowded leaf is many small tasks. Distances are Euclidean, in double
 precision, on the original vectors.
@@ -39,12 +42,34 @@ def usable(vector: Column) -> Column:
 class Tree:
     """Nodes: centres (an array of the children's centres) and children (numbers); leaves have a leaf number."""
 
-    def __init__(self, sample, branches: int = BRANCHES, leaf: int = LEAF) -> None:
+    def __init__(self, ids, sample, branches: int = BRANCHES, leaf: int = LEAF) -> None:
         import numpy as np
 
         self.centres, self.children, self.leaf, self.leaves = [], [], [], 0
         self.random = np.random.default_rng(1)
         self.grow(np.asarray(sample, dtype=np.float64), branches, leaf)
+        # The sample by leaf, for bounds.
+        self.rows, self.ids = np.asarray(sample, dtype=np.float64), np.asarray(ids, dtype=np.int64)
+        at = self.place(self.rows)
+        order = np.argsort(at, kind="stable")
+        self.rows, self.ids, self.cut = self.rows[order], self.ids[order], np.searchsorted(at[order], np.arange(self.leaves + 1))
+
+    def bound(self, query_id: int, query, leaves: list[int], k: int, most: int = 4096) -> float:
+        """The k-th distance to sample rows of the first leaves, infinite if they are too few."""
+        import numpy as np
+
+        parts, n = [], 0
+        for leaf in leaves:
+            parts.append(np.arange(self.cut[leaf], self.cut[leaf + 1]))
+            n += len(parts[-1])
+            if n >= most:
+                break
+        at = np.concatenate(parts)
+        at = at[self.ids[at] != query_id]
+        if len(at) < k:
+            return float("inf")
+        d = np.sqrt(((self.rows[at] - query) ** 2).sum(axis=1))
+        return float(np.partition(d, k - 1)[k - 1]) * (1 + 1e-12)
 
     def grow(self, rows, branches: int, leaf: int) -> int:
         import numpy as np
@@ -113,8 +138,8 @@ def matrix(column):
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(flat), -1)
 
 
-def closest(queries, query_ids, rows, ids, k: int):
-    """For each query the k nearest rows of a block, ties by id: lists (query, row, distance)."""
+def closest(queries, query_ids, rows, ids, k: int, bounds=None):
+    """For each query the k nearest rows of a block within its bound, ties by id: lists (query, row, distance)."""
     import numpy as np
 
     found = []
@@ -130,6 +155,8 @@ def closest(queries, query_ids, rows, ids, k: int):
             at = np.flatnonzero((rough[j] <= bound[j]) & np.isfinite(rough[j]))
             exact = np.sqrt(((rows[at] - q[j]) ** 2).sum(axis=1))
             best = np.lexsort((ids[at], exact))[:k]
+            if bounds is not None:
+                best = best[exact[best] <= bounds[i + j]]
             found += [(i + j, int(at[b]), float(exact[b])) for b in best]
     return found
 
@@ -175,7 +202,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
     rows, asked = (x.where(F.size("embedding") == most["d"]) for x in (rows, asked))
     asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
-    tree = Tree([r[0] for r in rows.orderBy(*by_hash).limit(sample).select("embedding").collect()])
+    fitted = rows.orderBy(*by_hash).limit(sample).collect()  # the bounded sample
+    tree = Tree([r["vec_id"] for r in fitted], [r["embedding"] for r in fitted])
+    del fitted
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
     def placed(batches: Iterator) -> Iterator:
@@ -210,25 +239,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
-                leaves = [list(itertools.islice(shared.value.visits(v), visits)) for v in matrix(part.column(1))]
+                asked_ids, vectors_ = part.column(0).to_pylist(), matrix(part.column(1))
+                leaves = [list(itertools.islice(shared.value.visits(v), visits)) for v in vectors_]
+                far = [shared.value.bound(q, v, x, k) for q, v, x in zip(asked_ids, vectors_, leaves, strict=True)]
                 n = np.repeat(np.arange(len(part)), [len(x) for x in leaves])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(n)) for c in (0, 1)), pa.array(list(itertools.chain(*leaves)), pa.int64())], ["vec_id", "embedding", "leaf"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(n)) for c in (0, 1)), pa.array(list(itertools.chain(*leaves)), pa.int64()), pa.array(np.array(far)[n], pa.float64())], ["vec_id", "embedding", "leaf", "far"])
 
-    visited = stored(asked.mapInArrow(walked, "vec_id long, embedding array<double>, leaf long"), "visits")
+    visited = stored(asked.mapInArrow(walked, "vec_id long, embedding array<double>, leaf long, far double"), "visits")
     # Blocks by leaf: at most one row a leaf, and the number of leaves is bounded by the sample.
     n_rows = {r["leaf"]: -(-r["count"] // block) for r in index.groupBy("leaf").count().collect()}
     n_asked = {r["leaf"]: -(-r["count"] // block) for r in visited.groupBy("leaf").count().collect()}
     sizes = spark.createDataFrame([(leaf, n_rows[leaf], n_asked[leaf]) for leaf in n_rows if leaf in n_asked], "leaf long, n_rows long, n_asked long")
     own = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = visited.join(F.broadcast(sizes), "leaf").withColumn("qb", own("n_asked")).select("leaf", "qb", every("n_rows").alias("rb"), "vec_id", "embedding")
+    left = visited.join(F.broadcast(sizes), "leaf").withColumn("qb", own("n_asked")).select("leaf", "qb", every("n_rows").alias("rb"), "vec_id", "embedding", "far")
     right = index.join(F.broadcast(sizes), "leaf").withColumn("rb", own("n_rows")).select("leaf", every("n_asked").alias("qb"), "rb", "vec_id", "embedding")
 
     def meet(asked_, rows_):
         if not len(asked_) or not len(rows_):
             return _table([], [], [])
         query_ids, ids = (x.column("vec_id").to_numpy() for x in (asked_, rows_))
-        return _table(closest(matrix(asked_.column("embedding")), query_ids, matrix(rows_.column("embedding")), ids, k), query_ids, ids)
+        return _table(closest(matrix(asked_.column("embedding")), query_ids, matrix(rows_.column("embedding")), ids, k, asked_.column("far").to_numpy()), query_ids, ids)
 
     met = left.groupBy("leaf", "qb", "rb").cogroup(right.groupBy("leaf", "qb", "rb")).applyInArrow(meet, FOUND)
     return _best(met, k)
