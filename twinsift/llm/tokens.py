@@ -9,11 +9,17 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import public_tokenizers
 
 #: The vocabulary file; any other of the same library (white space dropped) can be given by path.
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 1_000_000
+KEPT, KEPT_CORES = 600_000, 1_200_000
+MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
+
+#: Byte-level vocabularies write a byte as a character: printable ones stand for themselves, the others follow from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,29 +35,47 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.cores: dict[str, bytes] = {}  # what the tokenizer itself was asked; dear, so kept apart
 
     def encoded(self, piece: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.cores.get(piece)
+        if ids is None:
+            if piece.isalpha() and max(piece) < "\u0130" and piece == piece.lower():
+                # One word, which normalising and splitting leave as it is: only the merges are left to do.
+                found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]
+            else:
+                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ids = np.array(found, dtype="<u4").tobytes()
+            if len(self.cores) >= KEPT_CORES:
+                self.cores.clear()
+            self.cores[piece] = ids
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and "<" not in piece:
-            core = piece.lower()
-            # A full stop or comma after a letter or digit is a word of its own.
-            if len(core) > 1 and core[-1] in ",." and core[-2].isalnum():
-                ids = self[core[:-1]] + self[core[-1]]
-            elif core != piece:
-                ids = self[core]
-            else:
-                ids = self.encoded(piece)
-        else:
-            ids = self.encoded(piece)
+        ids = self.parts(piece)
         if len(self) >= KEPT:
             self.clear()
         self[piece] = ids
         return ids
 
+    def parts(self, piece: str) -> bytes:
+        """Marks before and after letters are words of their own, and case does not count: pieces share their cores.
+
+        Only where that is certain: Latin letters without combining marks, no special strings, no apostrophe before letters.
+        """
+        if "<" not in piece and max(piece, default="") < "\u0130":
+            low = piece.lower()
+            core = low.rstrip(MARKS)
+            if core and core != low and core[-1].isalnum():
+                return self[core] + self[low[len(core) :]]
+            core = low.lstrip(MARKS)
+            if core and core != low and core[0].isalnum() and "'" not in low[: len(low) - len(core)]:
+                return self[low[: len(low) - len(core)]] + self[core]
+            if low != piece:
+                return self[low]
+        return self.encoded(piece)
+
     def of(self, text: str | None) -> bytes:
         """The ids of a text, as bytes; null and empty texts have none."""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
