@@ -94,7 +94,30 @@ def duration_tolerance(bucket: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(bucket / 10)).cast("long")
 
 
-def video_candidates(videos: DataFrame, band: bool = True) -> DataFrame:
+def _later() -> Column:
+    """Whether a row comes after the other (b_) in scan order, which is newest first."""
+    same = F.col("date_added_s") == F.col("b_date_added_s")
+    return (F.col("date_added_s") < F.col("b_date_added_s")) | (same & (F.col("media_store_id") < F.col("b_media_store_id")))
+
+
+def frame_candidates(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """Pairs (later, earlier) of videos with a similar pair of frames, whatever their durations and aspects.
+
+    Every rule for alike videos asks for one such pair at least, so none is lost. Frames meet as images do.
+    """
+    kind = "VIDEO"  # recordings have the same limits
+    each = frames.join(videos.select("asset_id", "media_store_id", "date_added_s"), "asset_id").select("asset_id", "media_store_id", "date_added_s", F.explode(F.arrays_zip("hashes", "colors")).alias("f"))
+    each = each.select("asset_id", "media_store_id", "date_added_s", F.col("f.hashes").alias("image_hash"), F.col("f.colors").alias("color_hash")).where(F.col("image_hash") != schema.INVALID_HASH).distinct()
+    a = each.withColumn("key", F.explode(_near_keys(kind, F.col("image_hash"), F.col("color_hash"), False)))
+    b = each.withColumn("key", F.explode(_near_keys(kind, F.col("image_hash"), F.col("color_hash"), True)))
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    distance = fp.hamming(F.col("image_hash"), F.col("b_image_hash"))
+    near = a.join(b, (F.col("key") == F.col("b_key")) & _later() & (distance < schema.LIMITS[kind][0]))
+    found = near.where(fp.is_similar(kind, distance, fp.color_distance(F.col("color_hash"), F.col("b_color_hash"))))
+    return found.select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id")).distinct()
+
+
+def video_candidates(videos: DataFrame) -> DataFrame:
     """Pairs (later, earlier) of videos worth a frame comparison; the later in scan order asks, by its own tolerance.
 
     videos: asset_id, media_store_id, date_added_s, duration_ms, width, height. Scan order is newest first. The band on
@@ -103,10 +126,6 @@ def video_candidates(videos: DataFrame, band: bool = True) -> DataFrame:
     """
     rows = videos.select("asset_id", "media_store_id", "date_added_s", F.floor(F.col("duration_ms") / 1000).cast("long").alias("seconds"), fp.aspect_bucket(F.col("width"), F.col("height")).alias("aspect"))
     other = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
-    same = F.col("date_added_s") == F.col("b_date_added_s")
-    later = (F.col("date_added_s") < F.col("b_date_added_s")) | (same & (F.col("media_store_id") < F.col("b_media_store_id")))
-    if not band:
-        return rows.withColumn("one", F.lit(1)).join(other.withColumn("b_one", F.lit(1)), (F.col("one") == F.col("b_one")) & later).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
     # Cell of a duration: its power of two, then sixteenths of it.
     power = lambda s: F.length(F.bin(F.greatest(s, F.lit(1))))
     cell = lambda s: power(s) * 64 + F.floor(s * 16 / F.pow(F.lit(2.0), power(s)))
@@ -117,13 +136,14 @@ def video_candidates(videos: DataFrame, band: bool = True) -> DataFrame:
     asks = rows.withColumn("cell", F.explode(cells))
     held = other.withColumn("b_cell", cell(F.col("b_seconds")))
     close = (F.abs(F.col("seconds") - F.col("b_seconds")) <= tolerance) & (F.abs(F.col("aspect") - F.col("b_aspect")) <= schema.ASPECT_TOLERANCE)
-    return asks.join(held, (F.col("cell") == F.col("b_cell")) & later & close).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
+    return asks.join(held, (F.col("cell") == F.col("b_cell")) & _later() & close).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
 
 
 def video_edges(videos: DataFrame, frames: DataFrame, band: bool = True) -> DataFrame:
     """Similar videos and recordings. frames: asset_id, hashes, colors, source; a pair with a recording is held to its limits."""
     side = lambda name: frames.join(videos.select("asset_id", "kind"), "asset_id").select(F.col("asset_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), *(F.col(c).alias(f"{name}_{c}") for c in ("source", "hashes", "colors")))
-    pairs = video_candidates(videos, band).join(side("later"), "later_id").join(side("earlier"), "earlier_id")
+    candidates = video_candidates(videos) if band else frame_candidates(videos, frames)
+    pairs = candidates.join(side("later"), "later_id").join(side("earlier"), "earlier_id")
     kind = F.when((F.col("later_kind") == "SCREEN_RECORDING") | (F.col("earlier_kind") == "SCREEN_RECORDING"), "SCREEN_RECORDING").otherwise("VIDEO")
     found = pairs.withColumn("kind", kind).where(videos_alike("kind", "later_source", "later_hashes", "later_colors", "earlier_source", "earlier_hashes", "earlier_colors"))
     return canonical(found.select(F.lit("SIMILAR").alias("category"), "kind", F.col("later_id").alias("first_asset_id"), F.col("earlier_id").alias("second_asset_id")))
