@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from twinsift.functions.video_rules import alike
 from twinsift.operators import joins
 
@@ -50,3 +52,11 @@ def test_frame_candidates_lose_no_video(spark):
     assert {tuple(r)[1:] for r in edges.collect()} == want and len(want) > 30
     # Fewer than all pairs are compared.
     assert joins.frame_candidates(videos, frames).count() < len(rows) * (len(rows) - 1) // 4
+
+
+def test_rollup_has_the_video_groups(spark, small):
+    from twinsift.plans import catalog
+
+    groups = catalog.QUERIES["video_groups"](spark, small).agg(F.countDistinct("group_id").alias("groups"), F.count("*").alias("items")).first()
+    row = catalog.QUERIES["category_rollup"](spark, small).where("product = 'SIMILAR_VIDEOS'").first()
+    assert (row["groups"], row["items"]) == tuple(groups) and groups["items"]

@@ -240,7 +240,7 @@ def category_rollup(spark, sf_dir):
     rows, items = image_items(spark, sf_dir)
     clips = rows.where("kind in ('VIDEO','SCREEN_RECORDING')")
     frames = kept(fixtures.video_frames(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "frames")
-    return categories.category_rollup(kept(items.unionByName(grouping.video_items(clips, frames)), "items"), rows)
+    return categories.category_rollup(kept(items.unionByName(grouping.video_items(clips, frames, band=False)), "items"), rows)
 
 
 @query(
