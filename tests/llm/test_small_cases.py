@@ -84,8 +84,7 @@ def test_substrings(spark, docs, none, rows):
 
     made = [substrings.T.StructField(n, t) for n, t in (("n_words", substrings.T.LongType()), ("n_removed", substrings.T.LongType()), ("kept_sha256", substrings.T.StringType()))]
     for batch in (1, 50, 1 << 19):
-        found = substrings.repeats(docs, batch_words=batch)
-        got = substrings.removed(docs.select("doc_id", "text"), found, substrings._digest, made).drop("text").collect()
+        got = substrings.removed(docs.select("doc_id", "text"), substrings._digest, made, batch_words=batch).drop("text").collect()
         want = [(r[0], *b) for r, b in zip(rows, brute.substrings([r[:2] for r in rows]), strict=True)]
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     out = substrings.deduplicated(clashing(docs))

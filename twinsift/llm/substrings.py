@@ -1,20 +1,22 @@
 """Substring deduplication (operator 5): fixed-block anchors, extended to exact repeats.
 
 A word is removed if some window of `length` consecutive words that covers it also starts earlier
-(smaller doc_id, or the same document at an earlier word). How the repeats are found:
+(smaller doc_id, or the same document at an earlier word). Rows are dealt into batches of about `BATCH`
+words by a hash, and texts are shuffled once; every later step is about hashes of that shuffle's batches.
 
 1. Anchors. Blocks of half the window (10 of 20 words) at every tenth word of every document are the
    index; every rolling window of 10 words of every document probes it. A repeated stretch of 20 words
-   holds a whole block of the other occurrence, so each repeat has a hit. Hashes meet by equal hash:
-   tasks sort the hashes of about `BATCH` words, keep one of each value (a passage in a third of the
-   rows is one entry a task), and send them, sorted and compressed, to the bucket of their first bits;
-   buckets answer with the places hit. Hashes are 32 bits beyond the bucket's; a false hit costs a check.
-2. Extension. Around the hits, windows of 20 words are compared by 128-bit hashes: the earliest start of
-   each wins (again one entry a task and value), all later ones are repeats, and neighbouring windows join
-   into maximal stretches.
-
-Texts that equal an earlier document's whole text are known by their hash, are removed whole (if they
-have a window) and take no part in step 2.
+   holds a whole block of the other occurrence, so each repeat has a hit. A batch sends its distinct
+   hashes, sorted, as differences, to buckets by their first bits (a passage in a third of the rows is one
+   entry a batch); a bucket answers with one bit for each entry: is there a block of that hash elsewhere?
+   An entry has 28 bits beyond the bucket's, so about one in two thousand hits is false and costs a check.
+2. Extension. The windows of 20 words that hold a hit are compared by 104-bit hashes in the same way: the
+   earliest start of each wins, all others are repeats. Those that are later than one of the same batch
+   are known there; of each other the bucket answers with its place if it is later than another batch's.
+   Neighbouring windows join into maximal stretches.
+
+Nothing is kept but shuffle files; a lost executor costs its tasks. Rows of a batch are put in order by
+doc_id and text, so a batch that is read again has the same places.
 
 Defined cases: null and empty texts have no words; texts shorter than a window stay; null doc_ids come
 after all others, and rows with the same doc_id and start are not earlier than each other, so repeated
@@ -26,41 +28,32 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from twinsift.llm.common import partitions, stored
+from twinsift.llm.common import partitions
 
-LENGTH, BATCH, BUCKET, KEPT = 20, 1 << 19, 1_000_000, 200_000
+LENGTH, BATCH, LEAST, BUCKET, KEPT = 20, 1 << 19, 1 << 15, 1_000_000, 60_000
 LAST = (1 << 63) - 1
+REST = 28  # bits of an anchor's hash beyond its bucket's
+BASES = (0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # of blocks, and of windows twice
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, kept between texts."""
+    """64-bit hashes of words, kept for one batch."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KEPT:
+            self[word] = h
         return h
 
 
-_words = _Hashes()
-
-
-def _hashed(text: bytes | None):
-    import numpy as np
-
-    w = text.split() if text else []
-    return np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
-
-
 def _rolled(w, length: int, base: int):
     """A hash of each window of `length` word hashes."""
     import numpy as np
@@ -79,263 +72,247 @@ def _rolled(w, length: int, base: int):
 
 
 def _packed(values) -> bytes:
-    """32-bit numbers by byte planes, compressed."""
+    """Whole numbers by byte planes, compressed."""
     import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
 
-def _unpacked(data: bytes):
+def _unpacked(data: bytes, kind: str):
     import numpy as np
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-ROWS = "x_bucket long, x_batch long, x_kind string, x_a binary, x_b binary, x_c binary"
+ROWS = "x_bucket long, x_batch long, x_kind string, x_a binary, x_b binary, x_c binary, x_d binary"
+NAMES = [f.split()[0] for f in ROWS.split(", ")]
 
 
-def _rows(rows: list[tuple]):
+def _table(rows: list[tuple]):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["x_bucket", "x_batch", "x_kind", "x_a", "x_b", "x_c"])
+    kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4]
+    return pa.table([pa.array([r[i] if i < len(r) else b"" for r in rows], t) for i, t in enumerate(kinds)], NAMES)
+
+
+def _read(table):
+    """Rows of a batch in order: which row each is, its doc_id (null last) and its text."""
+    texts = table.column("text").to_pylist()
+    ids = [LAST if i is None else int(i) for i in table.column("doc_id").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
+    return order, [ids[i] for i in order], [(texts[i] or "").encode() for i in order]
 
 
-def _anchors(bits: int, block: int, batch_words: int) -> Callable:
-    def run(batches: Iterator) -> Iterator:
+class _Batch:
+    """Hashes of the words of a batch, laid end to end, and its anchors: distinct block hashes in order."""
+
+    def __init__(self, table, block: int) -> None:
         import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        texts, h1, h2, size = [], [], [], 0
-
-        def flush():
-            batch = (part << 24) | number
-            carrier = (31 * part + number) % (1 << bits)  # the bucket through which rows of the batch itself go
-            lens = np.array([len(t) for t in texts], np.int64)
-            start = np.cumsum(lens) - lens
-            w = np.concatenate(texts)
-            r = _rolled(w, block, 0xD6E8FEB86659FD93)
-            pos = np.arange(len(w)) - np.repeat(start, lens)
-            ok = np.flatnonzero((np.repeat(lens, lens) - pos >= block)[: len(r)])
-            rows = [(carrier, batch, "docs", start.astype("<i8").tobytes(), np.array(h1, "<i8").tobytes(), np.array(h2, "<i8").tobytes())]
-            if len(ok):
-                r, isblock = r[ok], pos[ok] % block == 0
-                order = np.argsort(r)
-                r, ok, isblock = r[order], ok[order], isblock[order]
-                head = np.concatenate([[True], r[1:] != r[:-1]])
-                at = np.flatnonzero(head)
-                n = np.diff(np.append(at, len(r)))
-                multi = n > 1
-                rows.append((carrier, batch, "hits", np.sort(ok[np.repeat(multi, n)]).astype("<u4").tobytes(), b"", b""))
-                flags = (np.add.reduceat(isblock.astype(np.int64), at) > 0) + 2 * multi
-                r, first = r[at], ok[at]
-                cut = np.searchsorted(r >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                rest = (r >> np.uint64(32 - bits)).astype(np.uint32)
-                tagged = (first << 2 | flags).astype(np.uint32)
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    s = slice(cut[b], cut[b + 1])
-                    rows.append((b, batch, "find", _packed(np.diff(rest[s], prepend=np.uint32(0))), _packed(tagged[s]), b""))
-            for i in range(0, len(rows), 500):
-                yield _rows(rows[i : i + 500])
-
-        for b in batches:
-            for text, x, y in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                w = _hashed(text.as_py())
-                if len(w) < block:
-                    continue
-                texts.append(w)
-                h1.append(x)
-                h2.append(y)
-                size += len(w)
-                if size >= batch_words:
-                    yield from flush()
-                    number += 1
-                    texts, h1, h2, size = [], [], [], 0
-        if texts:
-            yield from flush()
+
+        _, self.ids, texts = _read(table)
+        known, found = _Hashes(), []
+        for t in texts:
+            w = t.split()
+            found.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+        self.lens = np.array([len(w) for w in found], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        del found
+        self.place = np.arange(len(self.words)) - np.repeat(self.starts, self.lens)  # within the document
+        self.left = np.repeat(self.lens, self.lens) - self.place
+        r = _rolled(self.words, block, BASES[0])
+        at = np.flatnonzero(self.left[: len(r)] >= block)
+        order = np.argsort(r[at], kind="stable")
+        self.at, r = at[order], r[at[order]]
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+        self.times = np.diff(np.append(head, len(r)))
+        self.hashes = r[head]
+        self.is_block = np.add.reduceat((self.place[self.at] % block == 0).astype(np.int64), head) > 0 if len(r) else np.zeros(0, bool)
+
+    def cut(self, bits: int):
+        """Where each bucket's anchors begin."""
+        import numpy as np
+
+        return np.searchsorted(self.hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+
+def _anchors(bits: int, block: int) -> Callable:
+    """One batch: its anchors for each bucket."""
+
+    def run(table):
+        import numpy as np
+
+        batch = table.column("x_batch")[0].as_py()
+        own = _Batch(table, block)
+        cut = own.cut(bits)
+        rest = ((own.hashes >> np.uint64(64 - bits - REST)) & np.uint64((1 << REST) - 1)).astype("<u4")
+        rows = []
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            s = slice(cut[b], cut[b + 1])
+            rows.append((b, batch, "find", _packed(np.diff(rest[s], prepend=np.uint32(0))), np.packbits(own.is_block[s]).tobytes()))
+        return _table(rows)
 
     return run
 
 
-def _answers(table):
-    """One bucket: which entries have a block of the same hash in another batch."""
+def _elsewhere(table):
+    """One bucket: for each anchor of each batch, whether another batch has a block of its hash."""
     import numpy as np
-    import pyarrow as pa
 
-    out, rest, tags, source, batches = [], [], [], [], []
-    for batch, kind, a, b, c in zip(*(table.column(x).to_pylist() for x in ("x_batch", "x_kind", "x_a", "x_b", "x_c")), strict=True):
-        if kind != "find":
-            out.append((0, batch, kind, a, b, c))
-            continue
-        rest.append(np.cumsum(_unpacked(a), dtype=np.uint32))
-        tags.append(_unpacked(b))
-        source.append(np.full(len(tags[-1]), len(batches), np.int32))
-        batches.append(batch)
-    if rest:
-        rest, tags, source = np.concatenate(rest), np.concatenate(tags), np.concatenate(source)
-        order = np.argsort(rest, kind="stable")
-        rest, tags, source = rest[order], tags[order], source[order]
-        at = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-        n = np.diff(np.append(at, len(rest)))
-        isblock = (tags & 1).astype(np.int64)
-        blocks = np.repeat(np.add.reduceat(isblock, at), n)
-        hit = (blocks - isblock > 0) & (tags & 2 == 0)
-        where, who = tags[hit] >> 2, source[hit]
-        order = np.argsort(who, kind="stable")
-        where, who = where[order], who[order]
-        for k in np.unique(who).tolist():
-            s = slice(*np.searchsorted(who, [k, k + 1]))
-            out.append((0, batches[k], "hits", where[s].astype("<u4").tobytes(), b"", b""))
-    return pa.Table.from_batches([_rows(out)])
-
-
-def _by_text(table):
-    """One batch: the places hit in each of its texts."""
+    batches, a, b = (table.column(c).to_pylist() for c in ("x_batch", "x_a", "x_b"))
+    bucket = table.column("x_bucket")[0].as_py()
+    rest = [np.cumsum(_unpacked(x, "<u4"), dtype=np.uint32) for x in a]
+    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(r)) for x, r in zip(b, rest, strict=True)]
+    ends = np.cumsum([len(r) for r in rest])
+    rest, flags = np.concatenate(rest), np.concatenate(flags).astype(np.int64)
+    order = np.argsort(rest, kind="stable")
+    rest = rest[order]
+    at = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
+    blocks = np.repeat(np.add.reduceat(flags[order], at), np.diff(np.append(at, len(rest))))
+    found = np.zeros(len(rest), bool)
+    found[order] = blocks > flags[order]
+    return _table([(bucket, batch, "hits", np.packbits(x).tobytes()) for batch, x in zip(batches, np.split(found, ends[:-1]), strict=True)])
+
+
+def _windows(bits: int, length: int, block: int) -> Callable:
+    """One batch and the answers to its anchors: windows that hold a hit, by hash; and those known to be later."""
+
+    def run(table, answers):
+        import numpy as np
+
+        if not table.num_rows:
+            return _table([])
+        batch = table.column("x_batch")[0].as_py()
+        own = _Batch(table, block)
+        cut = own.cut(bits)
+        hit = own.is_block & (own.times > 1)
+        for b, mask in zip(answers.column("x_bucket").to_pylist(), answers.column("x_a").to_pylist(), strict=True):
+            hit[cut[b] : cut[b + 1]] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=int(cut[b + 1] - cut[b])).astype(bool)
+        p = own.at[np.repeat(hit, own.times)]
+        # A window holds the block from p if it starts at p - (length - block) to p, in the same document.
+        mark = np.bincount(p - np.minimum(own.place[p], length - block), minlength=len(own.words) + 1) - np.bincount(p + 1, minlength=len(own.words) + 1)
+        k = np.flatnonzero((np.cumsum(mark)[: len(own.words)] > 0) & (own.left >= length))
+        if not len(k):
+            return _table([])
+        g1, g2 = (_rolled(own.words, length, base)[k] for base in BASES[1:])
+        ids, starts = np.repeat(np.array(own.ids, np.int64), own.lens)[k], own.place[k]
+        order = np.argsort(g1, kind="stable")  # documents are in order, so the first of each hash is the earliest
+        g1, g2, ids, starts, k = g1[order], g2[order], ids[order], starts[order], k[order]
+        head = np.concatenate([[True], g1[1:] != g1[:-1]])
+        at = np.flatnonzero(head)
+        n = np.diff(np.append(at, len(g1)))
+        sent = (ids == np.repeat(ids[at], n)) & (starts == np.repeat(starts[at], n))  # the earliest, and its ties by doc_id
+        later = np.sort(k[~sent])
+        first = np.flatnonzero(np.diff(later, prepend=-2) > 1)
+        runs = np.stack([later[first], np.diff(np.append(first, len(later)))], axis=1).astype("<u4")
+        rows = [(batch & ((1 << bits) - 1), batch, "later", runs.tobytes())] if len(runs) else []
+        g1, g2, ids, starts, k = g1[sent], g2[sent], ids[sent], starts[sent], k[sent]
+        cut = np.searchsorted(g1 >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        rest = ((g1 >> np.uint64(32 - bits)) & np.uint64((1 << 32) - 1)).astype("<u4")
+        ids, places = ids.astype("<i8"), np.stack([starts, k], axis=1).astype("<u4").view("<u8").reshape(-1)
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            s = slice(cut[b], cut[b + 1])
+            rows.append((b, batch, "find", _packed(np.diff(rest[s], prepend=np.uint32(0))), _packed(g2[s]), _packed(ids[s]), _packed(places[s])))
+        return _table(rows)
+
+    return run
+
+
+def _later(table):
+    """One bucket: places of windows that start earlier in another batch."""
     import numpy as np
-    import pyarrow as pa
 
-    hits = [np.zeros(0, np.int64)]
-    start = h1 = h2 = np.zeros(0, np.int64)
-    for kind, a, b, c in zip(*(table.column(x).to_pylist() for x in ("x_kind", "x_a", "x_b", "x_c")), strict=True):
-        if kind == "docs":
-            start, h1, h2 = (np.frombuffer(x, "<i8") for x in (a, b, c))
+    out, found = [], []
+    for bucket, batch, kind, a, b, c, d in zip(*(table.column(x).to_pylist() for x in NAMES), strict=True):
+        if kind == "find":
+            found.append((batch, np.cumsum(_unpacked(a, "<u4"), dtype=np.uint32), _unpacked(b, "<u8"), _unpacked(c, "<i8"), _unpacked(d, "<u8").view("<u4").reshape(-1, 2)))
         else:
-            hits.append(np.frombuffer(a, "<u4").astype(np.int64))
-    hits = np.unique(np.concatenate(hits))
-    doc = np.searchsorted(start, hits, side="right") - 1
-    which, at = np.unique(doc, return_index=True)
-    ends = np.append(at, len(hits))
-    places = [(hits[ends[i] : ends[i + 1]] - start[d]).astype("<u4").tobytes() for i, d in enumerate(which.tolist())]
-    return pa.table({"x_h1": pa.array(h1[which], pa.int64()), "x_h2": pa.array(h2[which], pa.int64()), "x_hits": pa.array(places, pa.binary())})
+            out.append((bucket, batch, kind, a))
+    if found:
+        rest, g2, ids = (np.concatenate([x[i] for x in found]) for i in (1, 2, 3))
+        start, place = np.concatenate([x[4] for x in found]).T
+        who = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
+        order = np.lexsort((start, ids, g2, rest))
+        rest, g2, ids, start, place, who = (x[order] for x in (rest, g2, ids, start, place, who))
+        at = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (g2[1:] != g2[:-1])]))
+        n = np.diff(np.append(at, len(rest)))
+        late = np.flatnonzero((ids != np.repeat(ids[at], n)) | (start != np.repeat(start[at], n)))
+        late = late[np.argsort(who[late], kind="stable")]
+        for k, x in zip(*np.unique(who[late], return_index=True), strict=True):
+            own = np.sort(place[late[x:][who[late[x:]] == k]])
+            out.append((0, found[k][0], "places", _packed(np.diff(own, prepend=np.uint32(0)).astype("<u4"))))
+    return _table(out)
 
 
-def _windows(length: int, block: int, batch_words: int) -> Callable:
-    """Candidate windows of each text: one row for each hash and task, "later" rows for the rest."""
+def _finished(length: int, own: list[str], made: list[T.StructField], finish: Callable) -> Callable:
+    """One batch and what is known of its windows: its rows with the columns made."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(table, answers):
         import numpy as np
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        names = ["x_g1", "x_g2", "x_id", "x_start", "x_h1", "x_h2"]
-        held, size, known = [], 0, set()
-
-        def flush():
-            g1, g2, ids, start, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, ids, g2, g1))
-            g1, g2, ids, start, h1, h2 = (x[order] for x in (g1, g2, ids, start, h1, h2))
-            head = np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
-            at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(g1)))
-            same = (ids == np.repeat(ids[at], n)) & (start == np.repeat(start[at], n))  # texts with one doc_id: not later than each other
-            sent, later = np.flatnonzero(head | same), np.flatnonzero(~(head | same))
-            for rows, local in ((sent, False), (later, True)):
-                rows = rows[np.lexsort((start[rows], h2[rows], h1[rows]))]
-                for i in range(0, len(rows), 100_000):
-                    k = rows[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(g1[k].view(np.int64)), pa.array(g2[k].view(np.int64)), pa.array(ids[k]), pa.array(start[k]), pa.array(h1[k]), pa.array(h2[k]), pa.array(np.full(len(k), local))], [*names, "x_later"])
-
-        for b in batches:
-            for text, doc, x, y, hits in zip(b.column(0).cast(pa.binary()), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                if (doc, x, y) in known:  # a repeated row
-                    continue
-                known.add((doc, x, y))
-                w = _hashed(text.as_py())
-                n = len(w) - length + 1
-                if n <= 0:
-                    continue
-                p = np.frombuffer(hits, "<u4").astype(np.int64)
-                # A window holds the ten words from p if it starts at p - (length - block) to p.
-                mark = np.zeros(len(w) + 2, np.int64)
-                np.add.at(mark, np.maximum(p - (length - block), 0), 1)
-                np.add.at(mark, p + 1, -1)
-                k = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                if len(k):
-                    held.append((_rolled(w, length, 0xD6E8FEB86659FD93)[k], _rolled(w, length, 0xA0761D6478BD642F)[k], np.full(len(k), doc), k, np.full(len(k), x), np.full(len(k), y)))
-                    size += len(k)
-                if size >= batch_words:
-                    yield from flush()
-                    held, size, known = [], 0, set()
-        if held:
-            yield from flush()
+        order, _, texts = _read(table)
+        split = [t.split() for t in texts]
+        ends = np.cumsum([len(w) for w in split], dtype=np.int64)
+        mark = np.zeros((int(ends[-1]) if len(ends) else 0) + 1, np.int64)
+        for kind, a in zip(answers.column("x_kind").to_pylist(), answers.column("x_a").to_pylist(), strict=True):
+            if kind == "later":
+                runs = np.frombuffer(a, "<u4").reshape(-1, 2).astype(np.int64)
+                begin, end = runs[:, 0], runs.sum(axis=1) + length - 1
+            else:
+                begin = np.cumsum(_unpacked(a, "<u4"), dtype=np.int64)
+                end = begin + length
+            np.add.at(mark, begin, 1)
+            np.add.at(mark, end, -1)
+        gone = np.split(np.cumsum(mark)[:-1] > 0, ends[:-1])
+        values: list = [None] * len(order)
+        for row, text, words, lost in zip(order, texts, split, gone, strict=False):
+            values[row] = finish(text, words, lost)
+        out = table.select(own)
+        for i, f in enumerate(made):
+            out = out.append_column(f.name, pa.array([v[i] for v in values], to_arrow_type(f.dataType)))
+        return out
 
     return run
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"x_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "x_h1": F.xxhash64("text"), "x_h2": F.xxhash64(F.lit(1), "text")})
+def removed(docs: DataFrame, finish: Callable, made: list[T.StructField], length: int = LENGTH, batch_words: int = BATCH, bucket_words: int = BUCKET) -> DataFrame:
+    """docs with the columns `made`: finish(text, its words, which of them are removed) of each row gives their values.
 
-
-def repeats(docs: DataFrame, length: int = LENGTH, batch_words: int = BATCH, bucket_words: int = BUCKET) -> DataFrame:
-    """(x_h1, x_h2, x_first, x_starts): of each text with repeats, its first document and the starts of its windows that
-    also start earlier, as seen from there. Later documents with the text repeat all of it."""
+    A made column takes the place of one of its name."""
     block = length // 2
-    keyed = _keys(docs.select("doc_id", "text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(1, min(20, math.ceil(math.log2(max(2, 2 * partitions(docs.sparkSession), size / 6 / bucket_words)))))
-    found = keyed.select("text", "x_h1", "x_h2").mapInArrow(_anchors(bits, block, batch_words), ROWS)
-    answered = found.groupBy("x_bucket").applyInArrow(_answers, ROWS)
-    hits = answered.groupBy("x_batch").applyInArrow(_by_text, "x_h1 long, x_h2 long, x_hits binary").groupBy("x_h1", "x_h2").agg(F.max("x_hits").alias("x_hits"))
-    copies = keyed.groupBy("x_h1", "x_h2").agg(F.min("x_id").alias("x_first"), F.max("x_id").alias("x_most")).where("x_first < x_most").drop("x_most")
-    known = stored(hits.join(copies, ["x_h1", "x_h2"], "full"), "hits")
-    near = keyed.join(known, ["x_h1", "x_h2"]).where("x_hits is not null and x_id = coalesce(x_first, x_id)")
-    windows = near.select("text", "x_id", "x_h1", "x_h2", "x_hits").mapInArrow(_windows(length, block, batch_words), "x_g1 long, x_g2 long, x_id long, x_start long, x_h1 long, x_h2 long, x_later boolean")
-    place = F.struct("x_id", "x_start")
-    earliest = F.min(place).over(Window.partitionBy("x_g1", "x_g2", F.when(F.col("x_later"), F.xxhash64("x_h1", "x_start"))))
-    starts = windows.withColumn("x_least", earliest).where(F.col("x_later") | (place != F.col("x_least"))).groupBy("x_h1", "x_h2").agg(F.collect_set("x_start").alias("x_starts"))
-    return stored(starts.join(known.where("x_first is not null").select("x_h1", "x_h2", "x_first"), ["x_h1", "x_h2"], "full"), "repeats")
-
-
-def removed(docs: DataFrame, found: DataFrame, finish: Callable, made: list[T.StructField], length: int = LENGTH) -> DataFrame:
-    """docs with the columns `made`: finish(text's words, which of them are removed) of each row gives their values."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    # Small tables have smaller batches, so that all tasks have some.
+    batches = max(1, math.ceil(words / batch_words), min(4 * partitions(docs.sparkSession), int(words / LEAST)))
+    bits = max(1, min(30, math.ceil(math.log2(max(2, words / bucket_words)))))
     own = [c for c in docs.columns if c not in {f.name for f in made}]
-    joined = _keys(docs).join(found, ["x_h1", "x_h2"], "left").select(*own, F.col("text").cast("binary").alias("x_text"), "x_starts", (F.col("x_id") > F.col("x_first")).alias("x_copy"))
+    # Repeated rows are spread by the partition they come from.
+    dealt = docs.withColumn("x_batch", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)))
+    by_batch = dealt.groupBy("x_batch")
+    found = by_batch.applyInArrow(_anchors(bits, block), ROWS)
+    hits = found.groupBy("x_bucket").applyInArrow(_elsewhere, ROWS)
+    windows = by_batch.cogroup(hits.groupBy("x_batch")).applyInArrow(_windows(bits, length, block), ROWS)
+    late = windows.groupBy("x_bucket").applyInArrow(_later, ROWS)
     schema = T.StructType([*(docs.schema[c] for c in own), *made])
+    return by_batch.cogroup(late.groupBy("x_batch")).applyInArrow(_finished(length, own, made, finish), schema)
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in batches:
-            values = []
-            for text, starts, copy in zip(b.column("x_text"), b.column("x_starts"), b.column("x_copy").to_pylist(), strict=True):
-                t = text.as_py()
-                w = t.split() if t else []
-                gone = np.zeros(len(w), bool)
-                if copy and len(w) >= length:
-                    gone[:] = True
-                elif starts.as_py():
-                    mark = np.zeros(len(w) + 1, np.int64)
-                    s = np.array(starts.as_py())
-                    mark[s] += 1
-                    mark[s + length] -= 1
-                    gone = np.cumsum(mark)[: len(w)] > 0
-                values.append(finish(t, w, gone))
-            out = b.select(own)
-            for i, f in enumerate(made):
-                out = out.append_column(f.name, pa.array([v[i] for v in values], to_arrow_type(f.dataType)))
-            yield out
-
-    return joined.mapInArrow(run, schema)
-
-
-def _rest(text: bytes | None, words: list[bytes], gone) -> tuple:
-    """The text without the removed words; texts that lose nothing stay as they are."""
-    if not gone.any():
-        return (None if text is None else text.decode(),)
-    return (b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode(),)
+def _rest(text: bytes, words: list[bytes], gone) -> tuple:
+    """The text without the removed words (null where nothing is removed)."""
+    return (b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode() if gone.any() else None,)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, their texts without repeated stretches (what is left of a changed text is joined by spaces)."""
-    return removed(docs, repeats(docs, length), _rest, [T.StructField("text", T.StringType())], length).select(*docs.columns)
+    out = removed(docs, _rest, [T.StructField("x_rest", T.StringType())], length)
+    return out.withColumn("text", F.coalesce("x_rest", "text")).select(*docs.columns)
 
 
-def _digest(text: bytes | None, words: list[bytes], gone) -> tuple:
+def _digest(text: bytes, words: list[bytes], gone) -> tuple:
     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
@@ -343,4 +320,4 @@ def _digest(text: bytes | None, words: list[bytes], gone) -> tuple:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    return removed(docs, repeats(docs), _digest, made).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return removed(docs, _digest, made).select("doc_id", "n_words", "n_removed", "kept_sha256")
