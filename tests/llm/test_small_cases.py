@@ -121,6 +121,43 @@ def test_token_file_and_blocks(spark, docs, none, rows, tmp_path):
                 idcoder.decode(block[:40] + bytes([block[40] ^ 1]) + block[41:])
 
 
+def test_blocks_are_below_order_0_entropy(spark, small):
+    """Whole ids of the small table: fewer bits an id than their own order-0 entropy, whose table is not even counted."""
+    import numpy as np
+
+    from twinsift.llm import idcoder
+    from twinsift.llm.tokens import pieces, vocabulary_path
+
+    of = pieces(vocabulary_path()).of
+    ids = np.frombuffer(b"".join(of(r["text"]) for r in spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("text").collect()), "<u4")
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    block = idcoder.encode(ids, 49408)
+    assert (idcoder.decode(block) == ids).all()
+    assert 8 * len(block) / len(ids) < 0.97 * -(share * np.log2(share)).sum()
+
+
+def test_other_vocabularies(tmp_path):
+    """A cased vocabulary takes whole pieces; one that keeps white space is refused."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from twinsift.llm.tokens import Pieces
+
+    letters = {c: i for i, c in enumerate("abcdefABCDEF,.()\u00e9t")}
+    cased = Tokenizer(models.BPE(vocab={**letters, "\u00c3": 30, "\u00a9": 31}, merges=[]))
+    cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    cased.save(str(tmp_path / "cased.json"))
+    kept = Pieces(str(tmp_path / "cased.json"))
+    for text in ("Ab, (cd)", "ab AB", "F.\nf", ""):
+        import numpy as np
+
+        assert np.frombuffer(kept.of(text), "<u4").tolist() == cased.encode(text, add_special_tokens=False).ids
+    spaced = Tokenizer(models.BPE(vocab={**letters, " ": 40, "\n": 41}, merges=[]))
+    spaced.save(str(tmp_path / "spaced.json"))
+    with pytest.raises(ValueError):
+        Pieces(str(tmp_path / "spaced.json"))
+
+
 def test_packing(spark, docs, none, rows):
     from twinsift.llm import packing
 

@@ -1,90 +1,93 @@
 """Blocks of token ids, coded by an adaptive context-mixing range coder (all arithmetic on integers).
 
 Each block starts from an empty model. Its ids are cut into lanes of neighbouring ids; the lanes are
-coded in step, so one array operation serves all of them, and they share one model:
+coded in step, so one array operation serves all of them, and they share one model of three distributions:
 
-  order 2  the id last seen after the two ids before, with a confidence (hashed table),
-  order 1  the id last seen after the id before, with a confidence,
-  order 0  adaptive counts of all ids.
+  order 2  counts of the ids seen after the two ids before (hashed contexts, `WAYS[1]` ids of each),
+  order 1  counts of the ids seen after the id before (`WAYS[0]` ids of each),
+  order 0  counts of all ids.
 
-An id is coded as: the order-2 guess, else the order-1 guess, else the id itself by the order-0 counts.
-The chance of either guess is mixed, in the logistic domain and with weights that follow the errors,
-from what each order says of it. Tables of chances and counts are renewed every `RARE` steps. A
-carry-less range coder with 64-bit state and 16-bit output takes the decisions.
+The three are mixed by weights that depend on how much the contexts of order 1 and 2 have seen: the code
+space is cut into the three weights, each part into its distribution, and an id is coded in the part that
+gives it the widest interval. The weights follow how often each part was the one. Counts and weights adapt
+with every id; sums of order 0 and the weights are renewed every `RARE` steps. A carry-less range coder with
+64-bit state and 16-bit output takes the intervals.
 
 A block: header (magic, ids, lanes, vocabulary, CRC-32 of the ids, CRC-32 of the body), then the body:
-16-bit words of each lane (as 32-bit counts) and the lanes' words. An empty block is valid.
+16-bit words of each lane (as 16-bit counts) and the lanes' words. An empty block is valid.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC, HEADER = b"TID1", struct.Struct("<4sIIIII")
+MAGIC, HEADER = b"TID2", struct.Struct("<4sIIIII")
 STEPS = 512  # ids of a lane
-SLOTS = 1 << 18  # hashed order-2 contexts
+SLOTS = 1 << 17  # hashed order-2 contexts
+WAYS = (8, 4)
+GAIN, MOST = 2, 2047  # of a count
+NAME_BITS = 20  # of an id; the other bits are its count
+NAMES = (1 << NAME_BITS) - 1
 RARE = 16
 U = np.uint64
-TOP, BOTTOM, W16, W48 = U(1 << 48), U((1 << 32) - 1), U(16), U(48)
-SAFE = U(1 << 36)
-SHARES = 20  # bits of the order-0 intervals
-STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], dtype=np.int64)
-SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-i / 256))))) for i in range(-2048, 2048)], dtype=np.int64)
-LEVELS = 16  # of an id's share of all ids, by powers of two
+TOP, BOTTOM, W16, W32, W48 = U(1 << 48), U((1 << 32) - 1), U(16), U(32), U(48)
+SAFE = U(1 << 38)
+SHARES = 22  # bits of the order-0 intervals
+WHOLE, LEAST = 1 << 32, 1 << 22  # of the mixture's weights
+SEEN = np.minimum(7, np.frexp(np.arange(WAYS[0] * (MOST + GAIN) + 1))[1] * 3 // 4 + (np.arange(WAYS[0] * (MOST + GAIN) + 1) > 0)).astype(np.uint8)  # classes of what a context has seen; 0: nothing
+
+BIT = np.arange(8, dtype=np.uint8)[:, None]
+FIRST = np.array([(x & -x).bit_length() - 1 if x else 8 for x in range(256)], dtype=np.int64)  # the first set bit of a byte, 8 if there is none
 
 
 class CorruptBlock(ValueError):
     pass
 
 
-class Mixer:
-    """Chances of a guess, by state (16), what the other order says (8) and the id's share (LEVELS)."""
-
-    def __init__(self) -> None:
-        self.p = np.full(16, 2048 << 4, dtype=np.int64)
-        self.w = np.array([[1 << 16, 1 << 13, 1 << 13]] * 2, dtype=np.int64)
-        share = STRETCH[np.minimum(1 << np.arange(LEVELS) >> 4, 4095)]
-        self.s = np.zeros((3, 16, 8, LEVELS), dtype=np.int64)
-        self.s[2] = share
-        self.set = np.broadcast_to((np.arange(16) & 1)[:, None, None], self.s.shape[1:])
-        self.mix(np.zeros(8, dtype=np.int64))
-
-    def mix(self, says) -> None:
-        self.s[0] = STRETCH[self.p >> 4][:, None, None]
-        self.s[1] = np.where(self.set == 1, says[None, :, None], -says[None, :, None])
-        w = self.w[np.arange(16) & 1]
-        dot = sum(w[:, k][:, None, None] * self.s[k] for k in range(3)) >> 16
-        self.q = SQUASH[np.clip(dot + 2048, 0, 4095)]
-        self.flat = self.q.reshape(-1).astype(np.uint64)
-
-    def learn(self, at, says) -> None:
-        """at: 2 * the place in the table + 1 if the guess was right, of all decisions since the last time."""
-        n = np.bincount(at, minlength=2 * self.q.size).reshape(*self.q.shape, 2)
-        hits, all_ = n[..., 1], n.sum(axis=-1)
-        self.p = np.clip((self.p * 512 + hits.sum(axis=(1, 2)) * 65535) // (512 + all_.sum(axis=(1, 2))), 64, 65471)
-        error = (hits << 12) - all_ * self.q
-        for k in range(2):
-            m = int(all_[k::2].sum())
-            if m:
-                self.w[k] += (self.s[:, k::2] * error[k::2]).sum(axis=(1, 2, 3)) // (m << 4)
-        np.clip(self.w, -(1 << 18), 1 << 18, out=self.w)
-        self.mix(says)
+class Order:
+    """Ids seen in each context and their counts, in one number; one row for each way, so that sums go over whole rows."""
+
+    def __init__(self, contexts: int, ways: int) -> None:
+        self.ways, self.contexts = ways, contexts
+        self.table = np.full((ways, contexts), NAMES, dtype=np.int32)
+        self.flat = self.table.reshape(-1)
+
+    def look(self, at) -> None:
+        self.at = at
+        found = self.table.take(at, axis=1)
+        self.own, self.n = found & NAMES, found >> NAME_BITS
+        self.total = self.n.sum(axis=0)
+        self.seen = SEEN[self.total]
+
+    def match(self, x) -> None:
+        """Which ids are known, and in which way."""
+        same = np.left_shift((self.own == x).view(np.uint8), BIT[: self.ways])
+        self.way = FIRST[np.bitwise_or.reduce(same, axis=0)]
+        self.hit = self.way < 8
+
+    def learn(self, x, step: int) -> None:
+        """A known id gains; else the way whose turn it is loses, or goes to the new id when it is at its end."""
+        place = np.where(self.hit, self.way, step % self.ways) * self.contexts + self.at
+        was = self.flat[place]
+        n = was >> NAME_BITS
+        self.flat[place] = np.where(self.hit, was + (np.minimum(GAIN, MOST - n) << NAME_BITS), np.where(n <= 1, x + (GAIN << NAME_BITS), was - (1 << NAME_BITS)))
 
 
 class Model:
-    def __init__(self, lanes: int, vocabulary: int, by_place: bool = False) -> None:
-        self.vocabulary, self.by_place = vocabulary, by_place
-        self.order2 = np.full(SLOTS, -8, dtype=np.int32)  # guess * 8 + confidence; -1 is no guess
-        self.order1 = np.full(vocabulary, -8, dtype=np.int32)
+    def __init__(self, lanes: int, vocabulary: int) -> None:
+        self.vocabulary = vocabulary
+        self.one, self.two = Order(vocabulary, WAYS[0]), Order(SLOTS, WAYS[1])
         self.counts = np.ones(vocabulary, dtype=np.int64)
         self.before, self.before2 = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-        self.mix2, self.mix1 = Mixer(), Mixer()
-        self.ids, self.at2, self.at1, self.step = [], [], [], 0
-        self.every, self.names = np.arange(vocabulary + 1), np.arange(vocabulary, dtype=np.int32)
+        self.every = np.arange(vocabulary + 1)
+        # By what the orders have seen (order 2, order 1): how often each order's part was the one.
+        self.used = np.full((64, 3), 64, dtype=np.int64)
+        self.used[:8, 2] = 0
+        self.used[::8, 1] = 0
+        self.ids, self.parts, self.states, self.step = [], [], [], 0
         self.sum_up()
 
     def sum_up(self) -> None:
@@ -95,52 +98,80 @@ class Model:
         upto = (upto * (((1 << SHARES) - self.vocabulary) / total)).astype(np.int64)
         upto[-1] = (1 << SHARES) - self.vocabulary
         upto += self.every
-        width = upto[1:] - upto[:-1]
-        self.places = upto.astype(np.uint64)
-        self.level = np.clip(np.frexp(width >> (SHARES - 16))[1] - 1, 0, LEVELS - 1)
-        if self.by_place:
-            self.symbol = np.repeat(self.names, width)
+        self.places, self.narrow = upto, upto.astype(np.int32)
+        w = self.used[:, 1:] * (WHOLE - 3 * LEAST) // np.maximum(1, self.used.sum(axis=1))[:, None] + LEAST
+        w = np.where(self.used[:, 1:] > 0, w, 0)
+        self.end2, self.end1 = w[:, 1], w.sum(axis=1)
 
     def predict(self, n: int) -> None:
-        """For the first n lanes: guesses a and b and where their intervals end, of 65536 places."""
-        last = self.before[:n]
-        self.slot = ((self.before2[:n] * np.int32(0x2C9277B5) ^ last * np.int32(0x5F356495)) >> 9) & np.int32(SLOTS - 1)
-        self.packed2, self.packed1, self.last = self.order2[self.slot], self.order1[last], last
-        self.a, self.b = self.packed2 >> 3, self.packed1 >> 3
-        ca, cb = self.packed2 & 7, self.packed1 & 7
-        same = self.a == self.b
-        self.i2 = ((ca * 2 + same) * 8 + cb) * LEVELS + self.level[self.a]
-        self.i1 = ((cb * 2 + (self.a >= 0)) * 8 + ca) * LEVELS + self.level[self.b]
-        self.ask2 = self.a >= 0
-        self.ask1 = (self.b >= 0) & ~same
-        first = np.where(self.ask2, self.mix2.flat[self.i2] << U(4), U(0))
-        self.end2 = first
-        self.end1 = first + np.where(self.ask1, U(1) + ((U(65520) - first) * self.mix1.flat[self.i1] >> U(12)), U(0))
-
-    def learn(self, ids, hit2, hit1) -> None:
-        """ids of the lanes (int32), and which guess coded them."""
-        self.ids.append(ids)
-        self.at2.append((self.i2 * 2 + hit2)[self.ask2])
-        asked = self.ask1 & ~hit2
-        self.at1.append((self.i1 * 2 + hit1)[asked])
-        fresh = ids * 8 + 1
-        for table, at, old, guess in ((self.order2, self.slot, self.packed2, self.a), (self.order1, self.last, self.packed1, self.b)):
-            sure = old & 7
-            table[at] = np.where(guess == ids, old + (sure < 7), np.where(sure > 1, old - sure + (sure >> 1), fresh))
+        """For the first n lanes: where the parts of order 2 and 1 end, of WHOLE places; the rest is order 0's."""
+        last, before = self.before[:n], self.before2[:n]
+        self.one.look(last)
+        self.two.look(((before * np.int32(0x2C9277B5) ^ last * np.int32(0x5F356495)) >> 11) & np.int32(SLOTS - 1))
+        self.state = self.two.seen * 8 + self.one.seen
+        self.e2, self.e1 = self.end2[self.state], self.end1[self.state]
+
+    def intervals(self, x):
+        """Begin and end of each lane's id, and whose part it is in."""
+        room = WHOLE - self.e1
+        a, b = self.e1 + (room * self.places[x] >> SHARES), self.e1 + (room * self.places[x + 1] >> SHARES)
+        part = np.zeros(len(x), dtype=np.int64)
+        for k, order in ((1, self.one), (2, self.two)):
+            order.match(x)
+            known = np.flatnonzero(order.hit)
+            way, row, total = order.way[known], np.arange(len(known)), order.total[known]
+            n = order.n.take(known, axis=1)
+            upto = np.cumsum(n, axis=0)[way, row].astype(np.int64)
+            start = self.e2[known] if k == 1 else 0
+            width = (self.e1 if k == 1 else self.e2)[known] - start
+            c, d = start + width * (upto - n[way, row]) // total, start + width * upto // total
+            better = d - c > (b - a)[known]
+            at = known[better]
+            a[at], b[at], part[at] = c[better], d[better], k
+        return a, b, part
+
+    def find(self, v):
+        """The ids whose intervals hold the places v, with those intervals and whose part they are in."""
+        n = len(v)
+        x, a, b = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        part = np.where(v < self.e2, 2, np.where(v < self.e1, 1, 0))
+        k = np.flatnonzero(part == 0)
+        room = WHOLE - self.e1[k]
+        # The last id whose begin is not behind: begins are rounded down.
+        s = np.searchsorted(self.narrow, ((((v[k] - self.e1[k] + 1) << SHARES) - 1) // room).astype(np.int32), side="right") - 1
+        x[k], a[k], b[k] = s, self.e1[k] + (room * self.places[s] >> SHARES), self.e1[k] + (room * self.places[s + 1] >> SHARES)
+        for which, order in ((1, self.one), (2, self.two)):
+            k = np.flatnonzero(part == which)
+            begin = self.e2[k] if which == 1 else 0
+            width, total = (self.e1 if which == 1 else self.e2)[k] - begin, order.total[k].astype(np.int64)
+            n = order.n.take(k, axis=1)
+            upto = np.cumsum(n, axis=0)
+            way, row = (upto <= ((v[k] - begin + 1) * total - 1) // width).sum(axis=0), np.arange(len(k))
+            high = upto[way, row].astype(np.int64)
+            x[k], a[k], b[k] = order.own[way, k], begin + width * (high - n[way, row]) // total, begin + width * high // total
+        self.one.match(x)
+        self.two.match(x)
+        return x, a, b, part
+
+    def learn(self, x, part) -> None:
+        """x: ids of the lanes (int32); whose part coded them."""
+        self.ids.append(x)
+        self.parts.append(part)
+        self.states.append(self.state)
+        self.one.learn(x, self.step)
+        self.two.learn(x, self.step)
         self.step += 1
         if self.step % RARE == 0:
             self.counts += 32 * np.bincount(np.concatenate(self.ids), minlength=self.vocabulary)
             if self.step % 128 == 0:
                 self.counts = (self.counts + 1) >> 1 if self.counts.sum() > 1 << 26 else self.counts
-            says1 = STRETCH[self.mix1.p >> 4][1::2]
-            says2 = STRETCH[self.mix2.p >> 4][0::2]
-            self.mix2.learn(np.concatenate(self.at2), says1)
-            self.mix1.learn(np.concatenate(self.at1), -says2)
-            self.ids, self.at2, self.at1 = [], [], []
+            seen = np.bincount(np.concatenate(self.states).astype(np.int64) * 3 + np.concatenate(self.parts), minlength=192).reshape(64, 3)
+            self.used += 16 * seen - (self.used >> 4)
+            self.ids, self.parts, self.states = [], [], []
             self.sum_up()
-        n = len(ids)
+        n = len(x)
         self.before2[:n] = self.before[:n]
-        self.before[:n] = ids
+        self.before[:n] = x
 
 
 def _shape(n: int) -> tuple[int, int, int, int]:
@@ -151,27 +182,27 @@ def _shape(n: int) -> tuple[int, int, int, int]:
     return lanes, steps, full, n - (full - 1) * steps if n else 0
 
 
-def _settle(low, rng, at, go, move) -> None:
-    """Moves 16 bits out of each lane whose top bits are fixed or whose range is short."""
-    while True:
-        at = at[go]
-        if not len(at):
-            return
+def _settle(low, rng, n: int, move) -> None:
+    """Of the first n lanes: moves out 16 bits while the top bits are fixed or the range is short."""
+    lo, r = low[:n], rng[:n]
+    at = np.flatnonzero(((lo ^ (lo + r)) < TOP) | (r < SAFE))
+    while len(at):
         lo, r = low[at], rng[at]
         fixed = (lo ^ (lo + r)) < TOP
-        r = np.where(fixed, r, (~lo + U(1)) & BOTTOM) << W16
+        # A short range over an edge is cut at the next multiple of 2^32, which lies within it.
+        r = np.where(fixed, r, (~lo & BOTTOM) + U(1)) << W16
         move(at, lo)
         lo = lo << W16
         low[at], rng[at] = lo, r
-        go = ((lo ^ (lo + r)) < TOP) | (r <= BOTTOM)
+        at = at[((lo ^ (lo + r)) < TOP) | (r < SAFE)]
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block of ids below `vocabulary`."""
     ids = np.asarray(ids)
     n = len(ids)
-    if n and int(ids.max()) >= vocabulary:
-        raise ValueError("an id is not in the vocabulary")
+    if n and int(ids.max()) >= vocabulary or vocabulary > NAMES:
+        raise ValueError("an id is not in the vocabulary, or that is too large")
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     lanes, steps, full, short = _shape(n)
     grid = np.zeros(lanes * steps, dtype=np.int32)
@@ -184,32 +215,25 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         out_lane.append(at.astype(np.uint32))
         out_word.append((lo >> W48).astype(np.uint16))
 
-    model, every = Model(lanes, vocabulary), np.arange(lanes)
+    model = Model(lanes, vocabulary)
     for t in range(steps):
         m = full if t < short else full - 1
-        x, lo, r = grid[t, :m], low[:m], rng[:m]
+        x = grid[t, :m]
         model.predict(m)
-        hit2 = model.a == x
-        hit1 = (model.b == x) & model.ask1
-        unit = r >> W16
-        end2, end1 = unit * model.end2, unit * model.end1
-        lo += np.where(hit2, U(0), np.where(hit1, end2, end1))
-        r[:] = np.where(hit2, end2, np.where(hit1, end1 - end2, r - end1))
-        k = np.flatnonzero(~(hit2 | hit1))
-        if len(k):
-            _settle(low, rng, k, rng[k] < SAFE, move)
-            s, unit = x[k], rng[k] >> U(SHARES)
-            start = model.places[s]
-            low[k] += unit * start
-            rng[k] = unit * (model.places[s + 1] - start)
-        _settle(low, rng, every[:m], ((lo ^ (lo + r)) < TOP) | (r <= BOTTOM), move)
-        model.learn(x, hit2, hit1)
-    for _ in range(4):
-        move(every, low)
+        a, b, part = model.intervals(x)
+        unit = rng[:m] >> W32
+        low[:m] += unit * a.view(np.uint64)
+        rng[:m] = unit * (b - a).view(np.uint64)
+        _settle(low, rng, m, move)
+        model.learn(x, part)
+    # Two words name a place within the range, whatever follows them: no range is shorter than SAFE.
+    low += BOTTOM
+    for _ in range(2):
+        move(np.arange(lanes), low)
         low <<= W16
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane.astype(np.uint16) if lanes < 1 << 16 else lane, kind="stable")
-    body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes()
+    body = np.bincount(lane, minlength=lanes).astype("<u2").tobytes() + word[order].astype("<u2").tobytes()
     return HEADER.pack(MAGIC, n, lanes, vocabulary, crc, zlib.crc32(body)) + body
 
 
@@ -220,13 +244,13 @@ def decode(block: bytes) -> np.ndarray:
     if magic != MAGIC or zlib.crc32(body) != body_crc:
         raise CorruptBlock("body")
     lanes, steps, full, short = _shape(n)
-    counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(body, "<u2", offset=4 * lanes), np.zeros(4, "<u2")]).astype(np.uint64)
+    counts = np.frombuffer(body, "<u2", lanes).astype(np.int64)
+    words = np.concatenate([np.frombuffer(body, "<u2", offset=2 * lanes), np.zeros(4, "<u2")]).astype(np.uint64)
     ptr, last = np.cumsum(counts) - counts, len(words) - 1
     low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     code = np.zeros(lanes, dtype=np.uint64)
     for _ in range(4):
-        code = (code << W16) | words[ptr]
+        code = (code << W16) | words[np.minimum(ptr, last)]
         ptr += 1
     grid = np.zeros((steps, lanes), dtype=np.int32)
 
@@ -234,33 +258,18 @@ def decode(block: bytes) -> np.ndarray:
         code[at] = (code[at] << W16) | words[np.minimum(ptr[at], last)]
         ptr[at] += 1
 
-    model, every = Model(lanes, vocabulary, by_place=True), np.arange(lanes)
+    model = Model(lanes, vocabulary)
     for t in range(steps):
         m = full if t < short else full - 1
-        lo, r = low[:m], rng[:m]
         model.predict(m)
-        unit = r >> W16
-        end2, end1 = unit * model.end2, unit * model.end1
-        d = code[:m] - lo
-        hit2 = d < end2
-        miss = d >= end1
-        hit1 = ~(hit2 | miss)
-        lo += np.where(hit2, U(0), np.where(hit1, end2, end1))
-        r[:] = np.where(hit2, end2, np.where(hit1, end1 - end2, r - end1))
-        x = np.where(hit2, model.a, model.b)
-        k = np.flatnonzero(miss)
-        if len(k):
-            _settle(low, rng, k, rng[k] < SAFE, move)
-            unit = rng[k] >> U(SHARES)
-            v = np.minimum((code[k] - low[k]) // unit, U((1 << SHARES) - 1)).astype(np.int64)
-            s = model.symbol[v]
-            start = model.places[s]
-            low[k] += unit * start
-            rng[k] = unit * (model.places[s + 1] - start)
-            x[k] = s
-        _settle(low, rng, every[:m], ((lo ^ (lo + r)) < TOP) | (r <= BOTTOM), move)
+        unit = rng[:m] >> W32
+        v = np.minimum((code[:m] - low[:m]) // unit, BOTTOM).view(np.int64)
+        x, a, b, part = model.find(v)
+        low[:m] += unit * a.view(np.uint64)
+        rng[:m] = unit * (b - a).view(np.uint64)
+        _settle(low, rng, m, move)
         grid[t, :m] = x
-        model.learn(x, hit2, hit1)
+        model.learn(x, part)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
         raise CorruptBlock("ids")

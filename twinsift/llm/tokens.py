@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer, inside Spark tasks.
 
-Words repeat, so each task keeps the ids of the pieces between spaces and newlines. That is exact for
+Words repeat, so each worker keeps the ids of the pieces between spaces and newlines. That is exact for
 vocabularies that drop white space: normalisation, word splitting and special strings never reach
-across a space or newline. The kept pieces are bounded by `KEPT`.
+across a space or newline. At most `KEPT` pieces that came again and `YOUNG` that came once are kept, of at
+most `LONGEST` characters each: about 110 MB.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import os
 import numpy as np
 import public_tokenizers
 
-#: The vocabulary file; any other of the same library (white space dropped) can be given by path.
+#: The vocabulary file; another one can be given by path if it drops white space, lower-cases and splits words from marks.
 VOCABULARY = "word_bpe_49k.json"
-KEPT, KEPT_CORES = 600_000, 1_200_000
+KEPT, YOUNG, LONGEST = 400_000, 200_000, 48
 MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 #: Byte-level vocabularies write a byte as a character: printable ones stand for themselves, the others follow from 256 on.
@@ -36,27 +37,33 @@ class Pieces(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cores: dict[str, bytes] = {}  # what the tokenizer itself was asked; dear, so kept apart
+        self.young: dict[str, bytes] = {}
+        # What parts() takes for granted.
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.splits = ids("Ab, (cd)\nef") == [i for x in ("ab", ",", "(", "cd", ")", "ef") for i in ids(x)] and self.encoded("\u00e9t\u00e9") == np.array(ids("\u00e9t\u00e9"), "<u4").tobytes()
+        if ids("a  b\n c") != [i for x in "abc" for i in ids(x)]:
+            raise ValueError("the vocabulary keeps white space")
 
     def encoded(self, piece: str) -> bytes:
-        ids = self.cores.get(piece)
-        if ids is None:
-            if piece.isalpha() and max(piece) < "\u0130" and piece == piece.lower():
-                # One word, which normalising and splitting leave as it is: only the merges are left to do.
-                found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]
-            else:
-                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = np.array(found, dtype="<u4").tobytes()
-            if len(self.cores) >= KEPT_CORES:
-                self.cores.clear()
-            self.cores[piece] = ids
-        return ids
+        if piece.isalpha() and max(piece) < "\u0130" and piece == piece.lower() and getattr(self, "splits", True):
+            # One word, which normalising and splitting leave as it is: only the merges are left to do.
+            found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.young.pop(piece, None)
+        if ids is not None:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = ids
+            return ids
         ids = self.parts(piece)
-        if len(self) >= KEPT:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            if len(self.young) >= YOUNG:
+                self.young.clear()
+            self.young[piece] = ids
         return ids
 
     def parts(self, piece: str) -> bytes:
@@ -64,7 +71,7 @@ class Pieces(dict):
 
         Only where that is certain: Latin letters without combining marks, no special strings, no apostrophe before letters.
         """
-        if "<" not in piece and max(piece, default="") < "\u0130":
+        if self.splits and "<" not in piece and max(piece, default="") < "\u0130":
             low = piece.lower()
             core = low.rstrip(MARKS)
             if core and core != low and core[-1].isalnum():
