@@ -3,7 +3,7 @@
 Words repeat, so each worker keeps the ids of the pieces between spaces and newlines. That is exact for
 vocabularies that drop white space: normalisation, word splitting and special strings never reach
 across a space or newline. At most `KEPT` pieces that came again and `YOUNG` that came once are kept, of at
-most `LONGEST` characters each: about 110 MB.
+most `LONGEST` characters each: about 200 MB.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import public_tokenizers
 
 #: The vocabulary file; another one can be given by path if it drops white space, lower-cases and splits words from marks.
 VOCABULARY = "word_bpe_49k.json"
-KEPT, YOUNG, LONGEST = 400_000, 200_000, 48
+KEPT, YOUNG, LONGEST = 700_000, 300_000, 48
 MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 #: Byte-level vocabularies write a byte as a character: printable ones stand for themselves, the others follow from 256 on.
