@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprint as fp
-from twinsift.functions.video_rules import alike
+from video_brute import alike
 from twinsift.operators import categories, compression, contacts, grouping, joins, lifecycle
 from twinsift.plans import fixtures
 from twinsift.sources import media
@@ -305,3 +305,90 @@ def test_queries_match_their_sql(spark, small):
         names = [d[0] for d in found.description]
         want = sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in found.fetchall())
         assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == want, name
+
+
+@pytest.mark.parametrize("rounds, together", [(3, 500_000), (1, 3), (50, 0)])
+def test_anchor_rounds(spark, rounds, together):
+    """A chain in rank order, stars and random edges; whatever is finished in one task, the groups are the same."""
+    rng = random.Random(8)
+    edges = {(i, i + 1) for i in range(40)} | {(100, i) for i in range(101, 110)} | {tuple(sorted(rng.sample(range(200, 240), 2))) for _ in range(60)}
+    rows = spark.createDataFrame(sorted(edges), "first_asset_id long, second_asset_id long")
+    ranks = spark.createDataFrame([(i, (i * 7919 % 1000 if i >= 100 else i, 0, i)) for i in range(240)], "asset_id long, order struct<a long, b long, c long>")
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    taken, want = set(), set()
+    for i in sorted(near, key=lambda i: (i * 7919 % 1000 if i >= 100 else i, 0, i)):
+        if i not in taken:
+            mine = near[i] - taken
+            taken |= mine | {i}
+            want |= {(i, j, j == i) for j in mine | {i}} if mine else set()
+    assert {tuple(r) for r in grouping.anchor_groups(ranks, rows, rounds, together).collect()} == want
+
+
+def test_long_chain_ends(spark):
+    """10,000 assets, each like the next: one round settles one anchor, so they are finished in one task."""
+    from pyspark.sql import functions as F
+
+    n = 10_000
+    edges = spark.range(n - 1).select(F.col("id").alias("first_asset_id"), (F.col("id") + 1).alias("second_asset_id"))
+    ranks = spark.range(n).select(F.col("id").alias("asset_id"), F.struct(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("order"))
+    got = grouping.anchor_groups(ranks, edges)
+    assert got.count() == n and got.where("is_anchor and asset_id % 2 = 0").count() == n // 2
+
+
+def test_only_comparable_assets_meet(spark):
+    """Inactive assets, unfinished fingerprints and other versions are in no pair or similar group; versions don't matter to duplicates."""
+    color = [2.0] * 24
+    rows = [(i, "PHOTO", 10, 5, 5, False, 7 if i < 6 else 7 ^ (1 << i), color, state, status, version, i, i) for i, (state, status, version) in enumerate([("ACTIVE", "DONE", 1), ("DELETE_PENDING", "DONE", 1), ("ACTIVE", "DONE", 2)] * 2 + [("ACTIVE", "DONE", 1), ("ACTIVE", "DONE", 1), ("ACTIVE", "PENDING", 1), ("DELETE_PENDING", "DONE", 1), ("ACTIVE", "DONE", 2)])]
+    assets = spark.createDataFrame(rows, "asset_id long, kind string, size_bytes long, width int, height int, is_edited boolean, image_hash long, color_hash array<double>, state string, fingerprint_status string, algorithm_version int, created_at_ms long, media_store_id long")
+    assert {r["asset_id"] for r in joins.duplicate_groups(assets).collect()} == {0, 2, 3, 5}
+    assert {(r["first_asset_id"], r["second_asset_id"]) for r in joins.similar_edges(assets, "PHOTO").collect()} == {(6, 7)}
+    assert {r["asset_id"] for r in grouping.groups_of(assets, "PHOTO").collect()} == {6, 7}
+
+
+def test_spread_pictures_meet_rarely(spark, monkeypatch):
+    """Pictures whose colours are spread out: every similar pair is found, and few pairs are compared."""
+    rng = random.Random(5)
+
+    def color():
+        out = [0.0] * 24
+        for c in range(3):
+            cuts = sorted(rng.choices(range(17), k=2))
+            levels = rng.sample(range(8), 3)
+            for level, n in zip(levels, (cuts[0], cuts[1] - cuts[0], 16 - cuts[1]), strict=True):
+                out[3 * level + c] += float(n)
+        return out
+
+    rows = []
+    for i in range(400):
+        if rows and rng.random() < 0.3:
+            _, h, c = rng.choice(rows)
+            for _ in range(rng.choice((1, 5, 12, 16))):
+                h ^= 1 << rng.randrange(62)
+            c = list(c)
+            k = rng.randrange(3)
+            full = [i for i in range(k, 24, 3) if c[i] >= 2]
+            c[full[0]] -= 2.0
+            c[(full[0] + 3) % 24] += 2.0
+        else:
+            h, c = rng.getrandbits(62), color()
+        rows.append((i, h, c))
+    df = spark.createDataFrame(rows, "asset_id long, image_hash long, color_hash array<double>")
+    most, direct, ranges = joins.schema.LIMITS["PHOTO"]
+
+    def similar(x, y):
+        d = (x[1] ^ y[1]).bit_count()
+        c = int(sum(abs(p - q) for p, q in zip(x[2], y[2], strict=True)))
+        return d <= direct or any(low <= d <= high and d < most and c <= limit for low, high, limit in ranges)
+
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and similar(x, y)}
+    for tile in (8192, 16):
+        monkeypatch.setattr(joins, "TILE", tile)
+        assert sorted(tuple(r) for r in joins.similar_pairs(df, df, "PHOTO").collect()) == sorted(want) and len(want) > 50
+    # Meetings, with the tests on hashes and colours left out.
+    met = []
+    monkeypatch.setattr(joins, "_joined", lambda a, b, keys, condition: met.append(a.alias("a").join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.b_{k}") for k in keys]).where("a.asset_id < b.b_asset_id").count()) or a.crossJoin(b.limit(0)).drop(*keys, *(f"b_{k}" for k in keys)))
+    joins.similar_pairs(df, df, "PHOTO")
+    assert sum(met) < 0.25 * len(rows) * (len(rows) - 1) / 2

@@ -7,7 +7,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from twinsift.functions.video_rules import alike
+from video_brute import alike
 from twinsift.operators import joins
 
 
@@ -51,7 +51,7 @@ def test_frame_candidates_lose_no_video(spark):
     edges = joins.video_edges(videos, frames, band=False)
     assert {tuple(r)[1:] for r in edges.collect()} == want and len(want) > 30
     # Fewer than all pairs are compared.
-    assert joins.frame_candidates(videos, frames).count() < len(rows) * (len(rows) - 1) // 4
+    assert joins.frame_matches(videos, frames).count() < len(rows) * (len(rows) - 1) // 4
 
 
 def test_rollup_has_the_video_groups(spark, small):

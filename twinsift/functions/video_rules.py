@@ -1,73 +1,60 @@
-"""Whether two videos' frames are alike: rules that depend on the order in which frames are used up, so an Arrow UDF.
+"""Whether two videos' frames are alike: the rules as column expressions over the similar pairs of frames.
 
-Frames are parallel arrays: hashes (-1 for an invalid frame) and colours (24 numbers a frame).
+A match is a similar pair of frames: distance, colour distance, how far apart their numbers are, and the numbers i and j.
+Frames are used up in the order of the rule; which are used is held in bits, as a video has at most 13 frames (62 are possible).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinsift import schema
+from twinsift.functions import fingerprint as fp
 
 SPREAD = 2  # frames between matches
 
 
-def _alike(kind: str, ha: int, ca, hb: int, cb) -> tuple[int, int] | None:
-    """(distance, colour distance) of two frames that are similar."""
-    import numpy as np
-
-    most, direct, ranges = schema.LIMITS[kind]
-    d = ((ha ^ hb) & ((1 << 64) - 1)).bit_count()
-    if d >= most:
-        return None
-    c = int(np.add.accumulate(np.abs(np.asarray(ca) - np.asarray(cb)))[-1])
-    return (d, c) if d <= direct or any(low <= d <= high and c <= limit for low, high, limit in ranges) else None
-
-
-def _needed(kind: str, comparable: int) -> tuple[int, int]:
-    """Matches and span that are asked for."""
-    if comparable <= 2:
-        return 1, 0
-    if comparable <= 5:
-        return 2, 1
-    percent = 45 if kind == "SCREEN_RECORDING" else 35
-    return max(3, -(-comparable * percent // 100)), SPREAD
-
-
-def alike(kind: str, source_a: str, a, colors_a, source_b: str, b, colors_b) -> bool:
-    """Frames of a (the later scanned) against those of b."""
-    good_a, good_b = ([i for i, h in enumerate(x) if h != schema.INVALID_HASH] for x in (a, b))
-    if not good_a or not good_b:
-        return False
-    if source_a == source_b == "REFERENCE_FRAMES":
-        pairs = []
-        for i in good_a:
-            for j in good_b:
-                if found := _alike(kind, a[i], colors_a[i], b[j], colors_b[j]):
-                    pairs.append((*found, abs(i - j), i, j))
-        matches, span = _needed(kind, min(len(good_a), len(good_b)))
-        used: list[tuple[int, int]] = []
-        for _, _, _, i, j in sorted(pairs, key=lambda p: p[:3]):
-            if all(i != x and j != y for x, y in used):
-                used.append((i, j))
-        # More matches only widen both spans, so the end decides.
-        spans = [max(side) - min(side) for side in zip(*used, strict=True)] if used else [0]
-        return bool(used) and len(used) >= matches and min(spans) >= span
-    single_a, single_b = (s == "SYSTEM_THUMBNAIL" and len(g) == 1 for s, g in ((source_a, good_a), (source_b, good_b)))
-    if single_a or single_b:
-        return single_a and single_b and _alike(kind, a[good_a[0]], colors_a[good_a[0]], b[good_b[0]], colors_b[good_b[0]]) is not None
-    free, matched = list(good_b), []
-    for i in good_a:
-        j = next((j for j in free if _alike(kind, a[i], colors_a[i], b[j], colors_b[j])), None)
-        if j is not None:
-            free.remove(j)
-            matched.append(i)
-    return len(matched) >= 2 and matched[-1] - matched[0] >= SPREAD
-
-
-@F.pandas_udf(T.BooleanType())
-def videos_alike(kind: pd.Series, source_a: pd.Series, a: pd.Series, colors_a: pd.Series, source_b: pd.Series, b: pd.Series, colors_b: pd.Series) -> pd.Series:
-    rows = zip(kind, source_a, a, colors_a, source_b, b, colors_b, strict=True)
-    return pd.Series([alike(k, sa, [int(x) for x in fa], ca, sb, [int(x) for x in fb], cb) for k, sa, fa, ca, sb, fb, cb in rows], dtype=bool)
+def matches(kind: str, hashes_a: Column, colors_a: Column, hashes_b: Column, colors_b: Column) -> Column:
+    """All similar pairs of valid frames of two videos."""
+    frames = lambda h, c: F.filter(F.transform(F.arrays_zip(h.alias("h"), c.alias("c")), lambda x, i: F.struct(x["h"].alias("h"), x["c"].alias("c"), i.alias("i"))), lambda x: x["h"] != schema.INVALID_HASH)
+
+    def pair(x: Column, y: Column) -> Column:
+        d, c = fp.hamming(x["h"], y["h"]), fp.color_distance(x["c"], y["c"])
+        return F.struct(d.alias("distance"), c.alias("colors"), F.abs(x["i"] - y["i"]).alias("gap"), x["i"].alias("i"), y["i"].alias("j"))
+
+    every = F.flatten(F.transform(frames(hashes_a, colors_a), lambda x: F.transform(frames(hashes_b, colors_b), lambda y: pair(x, y))))
+    return F.filter(every, lambda m: fp.is_similar(kind, m["distance"], m["colors"]))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _used(ordered: Column) -> Column:
+    """Bits of the frames of either video that are used when matches are taken in order while both frames are free."""
+    none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    free = lambda s, m: (s["a"].bitwiseAND(_bit(m["i"])) == 0) & (s["b"].bitwiseAND(_bit(m["j"])) == 0)
+    return F.aggregate(ordered, none, lambda s, m: F.when(free(s, m), F.struct(s["a"].bitwiseOR(_bit(m["i"])).alias("a"), s["b"].bitwiseOR(_bit(m["j"])).alias("b"))).otherwise(s))
+
+
+def _span(bits: Column) -> Column:
+    """From the first to the last frame that is used."""
+    return F.length(F.bin(bits)) - F.length(F.bin(bits.bitwiseAND(-bits)))
+
+
+def alike(kind: Column, source_a: Column, good_a: Column, source_b: Column, good_b: Column, found: Column) -> Column:
+    """a is the later scanned; good: its number of valid frames; found: the matches of a's frames with b's."""
+    comparable = F.least(good_a, good_b)
+    percent = F.when(kind == "SCREEN_RECORDING", 45).otherwise(35)
+    needed = F.when(comparable <= 2, 1).when(comparable <= 5, 2).otherwise(F.greatest(F.lit(3), F.ceil(comparable * percent / 100)))
+    span = F.when(comparable <= 2, 0).when(comparable <= 5, 1).otherwise(SPREAD)
+    # The closest matches first; more matches only widen both spans, so the end decides.
+    best = _used(F.sort_array(found))
+    reference = (F.bit_count(best["a"]) >= needed) & (F.least(_span(best["a"]), _span(best["b"])) >= span)
+    # Frame by frame, each with the first free one.
+    turn = _used(F.sort_array(F.transform(found, lambda m: F.struct(m["i"].alias("i"), m["j"].alias("j")))))
+    general = (F.bit_count(turn["a"]) >= 2) & (_span(turn["a"]) >= SPREAD)
+    single_a, single_b = ((s == "SYSTEM_THUMBNAIL") & (g == 1) for s, g in ((source_a, good_a), (source_b, good_b)))
+    rule = F.when((source_a == "REFERENCE_FRAMES") & (source_b == "REFERENCE_FRAMES"), reference).when(single_a | single_b, single_a & single_b).otherwise(general)
+    return (F.size(found) > 0) & rule

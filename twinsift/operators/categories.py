@@ -127,9 +127,24 @@ def merged(live: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def category_groups(stats: DataFrame) -> DataFrame:
-    """Groups of a category, the latest first."""
-    return stats.orderBy(F.desc("latest_ms"), F.desc("group_id"))
+    """Groups with their place in the category, the latest first."""
+    order = Window.partitionBy("category", "group_kind").orderBy(F.desc("latest_ms"), F.desc("group_id"))
+    return stats.withColumn("place", F.row_number().over(order))
 
 
 def display_order(assets: DataFrame) -> DataFrame:
-    return assets.orderBy(F.desc(F.greatest("created_at_ms", F.col("date_added_s") * 1000)), F.desc("created_at_ms"), F.desc("media_store_id"))
+    """Assets with their place among those of their kind, as displayed."""
+    order = Window.partitionBy("kind").orderBy(F.desc(F.greatest("created_at_ms", F.col("date_added_s") * 1000)), F.desc("created_at_ms"), F.desc("media_store_id"))
+    return assets.withColumn("place", F.row_number().over(order))
+
+
+def scalar_counts(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row: all groups, and active assets."""
+    groups = items.select("category", "kind", "group_id").distinct().agg(F.count("*").alias("groups"))
+    return groups.crossJoin(active(assets).agg(F.count("*").alias("active_assets")))  # one row with one row
+
+
+def group_totals(items: DataFrame, assets: DataFrame) -> DataFrame:
+    """Of each group, whatever the state of its members: number, size, latest."""
+    rows = items.select("category", F.col("kind").alias("group_kind"), "group_id", "asset_id").join(assets, "asset_id")
+    return rows.groupBy("category", "group_kind", "group_id").agg(F.count("*").alias("items"), F.sum("size_bytes").alias("bytes"), latest().alias("latest_ms"))

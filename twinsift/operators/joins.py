@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import schema
 from twinsift.functions import fingerprint as fp
-from twinsift.functions.video_rules import videos_alike
+from twinsift.functions import video_rules as rules
+from twinsift.storage import kept
 
+#: Rows from which the axes of colour cells are chosen, and rows of a tile; neither changes a result.
+SAMPLE, AXES, TILE = 2048, 2, 8192
 DUPLICATE_KEY = ["kind", "size_bytes", "width", "height", "is_edited", "image_hash"]
 
 
 def duplicate_groups(assets: DataFrame) -> DataFrame:
     """Assets (with image_hash) whose key another asset shares; group_id is the smallest asset_id of the key.
 
-    Equality is transitive: one aggregation and one join back, no pairs. Invalid hashes and videos take no part.
+    Equality is transitive: one aggregation and one join back, no pairs. Invalid hashes, videos and assets that are not
+    active take no part; the algorithm's version does not count.
     """
-    good = assets.where(F.col("kind").isin("PHOTO", "SCREENSHOT") & F.col("image_hash").isNotNull() & (F.col("image_hash") != schema.INVALID_HASH))
+    good = (assets.where("state = 'ACTIVE'") if "state" in assets.columns else assets).where(F.col("kind").isin("PHOTO", "SCREENSHOT") & F.col("image_hash").isNotNull() & (F.col("image_hash") != schema.INVALID_HASH))
     keys = good.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("members"), F.min("asset_id").alias("group_id")).where("members > 1")
     return good.join(keys, DUPLICATE_KEY).select("kind", "group_id", "asset_id", "members")
 
@@ -34,41 +40,97 @@ def content_duplicates(assets: DataFrame) -> DataFrame:
     return assets.join(keys, ["kind", "content_sha256"]).select("kind", "group_id", "asset_id", "members")
 
 
-def _key(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+def comparable(assets: DataFrame) -> DataFrame:
+    """Assets that may be compared: active and with a finished fingerprint. A column that is not there excludes none."""
+    for column, value in (("state", "ACTIVE"), ("fingerprint_status", "DONE")):
+        if column in assets.columns:
+            assets = assets.where(F.col(column) == value)
+    return assets
 
 
-def _near_keys(kind: str, h: Column, color: Column, around: bool) -> Column:
-    """Keys under which similar images of a kind meet.
+def _version(df: DataFrame) -> Column:
+    """Fingerprints of different algorithm versions never meet."""
+    return (F.col("algorithm_version") if "algorithm_version" in df.columns else F.lit(0)).cast("int").alias("version")
 
-    Close hashes: of 5 segments of the 64 bits one is equal if at most 4 bits differ (pigeonhole). The rest must be
-    close in colour: each channel sums to 16, so the share of its darker half moves by less than half of the whole
-    colour distance (limit + 1); cells of that width, one row in its own, the other in its own and all neighbours.
-    """
-    _, direct, ranges = schema.LIMITS[kind]
+
+def _axes(rows: DataFrame) -> list[list[int]]:
+    """Sets of colour shares along which pictures differ most, by at most SAMPLE rows; any sets give the same pairs."""
+    import numpy as np
+
+    found = rows.select("color_hash").orderBy(F.xxhash64("image_hash", "color_hash")).limit(SAMPLE).collect()
+    x = np.array([(r["color_hash"] + [0.0] * 24)[:24] for r in found] or [[0.0] * 24])
+    directions = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)[2][:AXES]
+    return [np.flatnonzero(v > 0).tolist() or [0] for v in directions]
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    on = condition
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"b_{k}"))
+    return a.join(b, on).drop(*keys, *(f"b_{k}" for k in keys))
+
+
+def _close(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Column) -> DataFrame:
+    """Pairs whose hashes differ so little that colours don't count: of direct + 1 segments one is equal (pigeonhole).
+
+    A pair is taken under the first segment it shares."""
+    direct = schema.LIMITS[kind][1]
     cuts = [i * 64 // (direct + 1) for i in range(direct + 2)]
-    close = [_key(F.lit(100 + i), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    width = (max(limit for *_, limit in ranges) + 1) / 2
-    dark = [F.floor(F.expr("+".join(f"get(color_hash, {3 * level + c})" for level in range(4))) / width).cast("int") for c in range(3)]
-    steps = (-1, 0, 1) if around else (0,)
-    cells = [_key(F.lit(1), dark[0] + i, dark[1] + j, dark[2] + k) for i in steps for j in steps for k in steps]
-    return F.array_distinct(F.array(*close, *cells))
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = lambda df, p: df.withColumn("x", F.explode(F.array(*(F.struct(F.lit(i).alias("s"), F.col(f"{p}image_hash").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks))))).select("*", F.col("x.s").alias(f"{p}s"), F.col("x.v").alias(f"{p}v")).drop("x")
+    first = F.lit(direct)
+    for i in range(direct - 1, -1, -1):
+        first = F.when(F.col("image_hash").bitwiseXOR(F.col("b_image_hash")).bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(first)
+    return _joined(keyed(a, ""), keyed(b, "b_"), ["version", "s", "v"], which & (distance <= direct) & (first == F.col("s")))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, kind: str, ordered: bool = True) -> DataFrame:
-    """(first, second) asset ids of similar images of one kind, each pair once. Both: asset_id, image_hash, color_hash.
+def _far(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Column, colors: Column) -> DataFrame:
+    """The other pairs: all are close in colour.
 
-    An equality join on keys that similar images share (exact: no pair is lost), with the cheap bit test first.
+    Each channel's shares sum to 16, so the sum over any set of shares moves by less than half of the colour limit + 1:
+    cells of that width along each axis, one side in its own, the other in its own and all neighbours, so a pair meets
+    once. Crowded cells are cut into tiles of about TILE rows by TILE rows.
     """
-    good = lambda df: df.where(fp.is_valid(F.col("image_hash"), F.col("color_hash"))).select("asset_id", "image_hash", "color_hash")
-    keys = lambda df, around: df.withColumn("key", F.explode(_near_keys(kind, F.col("image_hash"), F.col("color_hash"), around)))
-    a = keys(good(left), False)
-    b = keys(good(right), True).select(F.col("asset_id").alias("b_id"), F.col("image_hash").alias("b_hash"), F.col("color_hash").alias("b_color"), F.col("key").alias("b_key"))
-    distance = fp.hamming(F.col("image_hash"), F.col("b_hash"))
-    which = F.col("asset_id") < F.col("b_id") if ordered else F.col("asset_id") != F.col("b_id")
-    near = a.join(b, (F.col("key") == F.col("b_key")) & which & (distance < schema.LIMITS[kind][0]))
-    found = near.where(fp.is_similar(kind, distance, fp.color_distance(F.col("color_hash"), F.col("b_color"))))
-    return found.select(F.least("asset_id", "b_id").alias("first_asset_id"), F.greatest("asset_id", "b_id").alias("second_asset_id")).distinct()
+    most, direct, ranges = schema.LIMITS[kind]
+    width = (max(limit for *_, limit in ranges) + 1) / 2 * (1 + 1e-9)
+    axes = _axes(a)
+    cell = lambda p: [F.floor(sum((F.coalesce(F.get(f"{p}color_hash", F.lit(i)), F.lit(0.0)) for i in axis), F.lit(0.0)) / width).cast("int") for axis in axes]
+    names = [f"c{i}" for i in range(len(axes))]
+    left = a.select("*", *(c.alias(n) for n, c in zip(names, cell(""))))
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(axes))))
+    right = b.select("*", *(c.alias(f"o{i}") for i, c in enumerate(cell("b_"))), F.explode(steps).alias("step"))
+    right = right.select(*b.columns, *((F.col(f"o{i}") + F.col("step")[i]).alias(f"b_{n}") for i, n in enumerate(names)))
+    own, other = ["version", *names], [f"b_{n}" for n in ("version", *names)]
+    # One row a cell: their number is bounded by the range of the shares.
+    sizes = left.groupBy(*own).agg(F.ceil(F.count("*") / TILE).alias("rows")).join(right.groupBy(*(F.col(o).alias(n) for o, n in zip(other, own))).agg(F.ceil(F.count("*") / TILE).alias("b_rows")), own).collect()
+    kinds = ", ".join(f"{n} int" for n in own)
+    sizes = a.sparkSession.createDataFrame([tuple(r) for r in sizes], f"{kinds}, rows long, b_rows long")
+    tile = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(F.broadcast(sizes), own).withColumn("tile", tile(a, "rows")).withColumn("other_tile", every("b_rows")).drop("rows", "b_rows")
+    right = right.join(F.broadcast(sizes.toDF(*other, "rows", "b_rows")), other).withColumn("b_other_tile", tile(b, "b_rows")).withColumn("b_tile", every("rows")).drop("rows", "b_rows")
+    return _joined(left, right, [*own, "tile", "other_tile"], which & (distance > direct) & (distance < most) & fp.is_similar(kind, distance, colors))
+
+
+def near(left: DataFrame, right: DataFrame, kind: str, which: Column) -> DataFrame:
+    """Rows of left (version, image_hash, color_hash, ...) with those of right (the same, prefixed b_) that look alike.
+
+    which: what must hold besides. Each pair comes once, with its distance and colour distance. Equality joins that lose
+    no pair; the bit test stands before the colour test."""
+    distance, colors = fp.hamming(F.col("image_hash"), F.col("b_image_hash")), fp.color_distance(F.col("color_hash"), F.col("b_color_hash"))
+    found = _close(left, right, kind, which, distance).unionByName(_far(left, right, kind, which, distance, colors))
+    return found.withColumns({"distance": distance, "colors": colors})
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, kind: str, ordered: bool = True) -> DataFrame:
+    """(first, second) asset ids of similar images of one kind, each pair once. Both: asset_id, image_hash, color_hash."""
+    good = lambda df: comparable(df).where(fp.is_valid(F.col("image_hash"), F.col("color_hash"))).select("asset_id", _version(df), "image_hash", "color_hash")
+    a, b = good(left), good(right)
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    found = near(a, b, kind, F.col("asset_id") < F.col("b_asset_id") if ordered else F.col("asset_id") != F.col("b_asset_id"))
+    pairs = found.select(F.least("asset_id", "b_asset_id").alias("first_asset_id"), F.greatest("asset_id", "b_asset_id").alias("second_asset_id"))
+    return pairs if ordered else pairs.distinct()
 
 
 def similar_edges(assets: DataFrame, kind: str) -> DataFrame:
@@ -100,21 +162,19 @@ def _later() -> Column:
     return (F.col("date_added_s") < F.col("b_date_added_s")) | (same & (F.col("media_store_id") < F.col("b_media_store_id")))
 
 
-def frame_candidates(videos: DataFrame, frames: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) of videos with a similar pair of frames, whatever their durations and aspects.
+def frame_matches(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """(later_id, earlier_id, matches) of videos with a similar pair of frames, whatever their durations and aspects.
 
-    Every rule for alike videos asks for one such pair at least, so none is lost. Frames meet as images do.
-    """
-    kind = "VIDEO"  # recordings have the same limits
-    each = frames.join(videos.select("asset_id", "media_store_id", "date_added_s"), "asset_id").select("asset_id", "media_store_id", "date_added_s", F.explode(F.arrays_zip("hashes", "colors")).alias("f"))
-    each = each.select("asset_id", "media_store_id", "date_added_s", F.col("f.hashes").alias("image_hash"), F.col("f.colors").alias("color_hash")).where(F.col("image_hash") != schema.INVALID_HASH).distinct()
-    a = each.withColumn("key", F.explode(_near_keys(kind, F.col("image_hash"), F.col("color_hash"), False)))
-    b = each.withColumn("key", F.explode(_near_keys(kind, F.col("image_hash"), F.col("color_hash"), True)))
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    distance = fp.hamming(F.col("image_hash"), F.col("b_image_hash"))
-    near = a.join(b, (F.col("key") == F.col("b_key")) & _later() & (distance < schema.LIMITS[kind][0]))
-    found = near.where(fp.is_similar(kind, distance, fp.color_distance(F.col("color_hash"), F.col("b_color_hash"))))
-    return found.select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id")).distinct()
+    Every rule for alike videos asks for one such pair at least, so none is lost. Frames meet as images do; recordings
+    have the same limits. matches: all similar pairs of frames, at most the frames of one times those of the other."""
+    rows = comparable(videos)
+    each = frames.join(rows.select("asset_id", "media_store_id", "date_added_s", _version(rows)), "asset_id")
+    each = each.select("asset_id", "media_store_id", "date_added_s", "version", F.posexplode(F.arrays_zip("hashes", "colors")).alias("frame", "f"))
+    each = each.select("asset_id", "media_store_id", "date_added_s", "version", "frame", F.col("f.hashes").alias("image_hash"), F.col("f.colors").alias("color_hash")).where(F.col("image_hash") != schema.INVALID_HASH)
+    each = kept(each, "frames")
+    found = near(each, each.select(*(F.col(c).alias(f"b_{c}") for c in each.columns)), "VIDEO", _later())
+    match = F.struct("distance", "colors", F.abs(F.col("frame") - F.col("b_frame")).alias("gap"), F.col("frame").alias("i"), F.col("b_frame").alias("j"))
+    return found.groupBy(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id")).agg(F.collect_list(match).alias("matches"))
 
 
 def video_candidates(videos: DataFrame) -> DataFrame:
@@ -139,11 +199,27 @@ def video_candidates(videos: DataFrame) -> DataFrame:
     return asks.join(held, (F.col("cell") == F.col("b_cell")) & _later() & close).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
 
 
-def video_edges(videos: DataFrame, frames: DataFrame, band: bool = True) -> DataFrame:
-    """Similar videos and recordings. frames: asset_id, hashes, colors, source; a pair with a recording is held to its limits."""
-    side = lambda name: frames.join(videos.select("asset_id", "kind"), "asset_id").select(F.col("asset_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), *(F.col(c).alias(f"{name}_{c}") for c in ("source", "hashes", "colors")))
-    candidates = video_candidates(videos) if band else frame_candidates(videos, frames)
-    pairs = candidates.join(side("later"), "later_id").join(side("earlier"), "earlier_id")
+def has_band(assets: DataFrame) -> Column:
+    """Whether a video is compared in its band of durations and aspects: all but those of REFERENCE_COMPAT's versions."""
+    version = F.col("algorithm_version") if "algorithm_version" in assets.columns else F.lit(0)
+    return version % 10 != schema.VIDEO_MODES.index("REFERENCE_COMPAT")
+
+
+def video_edges(videos: DataFrame, frames: DataFrame, band: bool | None = None) -> DataFrame:
+    """Similar videos and recordings. frames: asset_id, hashes, colors, source; a pair with a recording is held to its limits.
+
+    band: whether durations and aspects must be near; by default the videos' versions say so."""
+    if band is None:
+        parts = [video_edges(videos.where(has_band(videos)), frames, True), video_edges(videos.where(~has_band(videos)), frames, False)]
+        return parts[0].unionByName(parts[1])
+    side = lambda name, *more: frames.join(videos.select("asset_id", "kind", _version(videos)), "asset_id").select(F.col("asset_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), F.col("version").alias(f"{name}_version"), F.col("source").alias(f"{name}_source"), F.size(F.filter("hashes", lambda h: h != schema.INVALID_HASH)).alias(f"{name}_good"), *(F.col(c).alias(f"{name}_{c}") for c in more))
+    if band:
+        own = ("hashes", "colors")
+        pairs = video_candidates(comparable(videos)).join(side("later", *own), "later_id").join(side("earlier", *own), "earlier_id").where("later_version = earlier_version")
+        pairs = pairs.withColumn("matches", rules.matches("VIDEO", *(F.col(f"{n}_{c}") for n in ("later", "earlier") for c in own)))
+    else:
+        pairs = frame_matches(videos, frames).join(side("later"), "later_id").join(side("earlier"), "earlier_id")
     kind = F.when((F.col("later_kind") == "SCREEN_RECORDING") | (F.col("earlier_kind") == "SCREEN_RECORDING"), "SCREEN_RECORDING").otherwise("VIDEO")
-    found = pairs.withColumn("kind", kind).where(videos_alike("kind", "later_source", "later_hashes", "later_colors", "earlier_source", "earlier_hashes", "earlier_colors"))
+    alike = rules.alike(kind, F.col("later_source"), F.col("later_good"), F.col("earlier_source"), F.col("earlier_good"), F.col("matches"))
+    found = pairs.withColumn("kind", kind).where(alike)
     return canonical(found.select(F.lit("SIMILAR").alias("category"), "kind", F.col("later_id").alias("first_asset_id"), F.col("earlier_id").alias("second_asset_id")))

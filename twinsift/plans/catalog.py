@@ -55,29 +55,34 @@ hash AS (SELECT d.doc_id, CAST(coalesce(sum(CASE WHEN i=0 THEN CAST(-92233720368
          FROM documents d LEFT JOIN bits b ON b.doc_id=d.doc_id GROUP BY d.doc_id),
 hist AS (SELECT g.doc_id, l.level, g.ch, count(CASE WHEN g.v//32 = l.level THEN 1 END)/CAST(4.5 AS DOUBLE) AS share FROM grid g CROSS JOIN range(8) l(level) GROUP BY g.doc_id, l.level, g.ch),
 colors AS (SELECT doc_id, list(share ORDER BY level, ch) AS color FROM hist GROUP BY doc_id),
-media AS (SELECT a.*, h.image_hash, c.color FROM asset a JOIN hash h ON h.doc_id=a.id JOIN colors c ON c.doc_id=a.id),
-dupkey AS (SELECT kind, size_bytes, width, height, image_hash, count(*) AS members, min(asset_id) AS group_id FROM media WHERE image_hash <> -1 AND kind IN ('PHOTO','SCREENSHOT') GROUP BY ALL HAVING count(*) > 1),
-dup AS (SELECT m.kind, k.group_id, m.asset_id, k.members FROM media m JOIN dupkey k ON m.kind=k.kind AND m.size_bytes=k.size_bytes AND m.width=k.width AND m.height=k.height AND m.image_hash=k.image_hash)"""
+media AS (SELECT a.*, h.image_hash, c.color, a.id%41<>0 AS live, a.id%43<>0 AS done, a.id%37=0 AS newer FROM asset a JOIN hash h ON h.doc_id=a.id JOIN colors c ON c.doc_id=a.id),
+dupkey AS (SELECT kind, size_bytes, width, height, image_hash, count(*) AS members, min(asset_id) AS group_id FROM media WHERE live AND image_hash <> -1 AND kind IN ('PHOTO','SCREENSHOT') GROUP BY ALL HAVING count(*) > 1),
+dup AS (SELECT m.kind, k.group_id, m.asset_id, k.members FROM media m JOIN dupkey k ON m.kind=k.kind AND m.size_bytes=k.size_bytes AND m.width=k.width AND m.height=k.height AND m.image_hash=k.image_hash WHERE m.live)"""
+
+
+# The limits as numbers of their own: distance d and colour distance c of two pictures that look alike.
+NEAR_SQL = {
+    "PHOTO": "d < 18 AND (d <= 4 OR (d BETWEEN 4 AND 10 AND c <= 7) OR (d BETWEEN 10 AND 18 AND c <= 5))",
+    "SCREENSHOT": "d < 16 AND (d <= 2 OR (d BETWEEN 2 AND 10 AND c <= 5) OR (d BETWEEN 10 AND 16 AND c <= 2))",
+}
 
 
 def _edges_sql(kind: str) -> str:
-    most, direct, ranges = joins.schema.LIMITS[kind]
-    near = " OR ".join([f"d <= {direct}", *(f"(d BETWEEN {a} AND {b} AND c <= {limit})" for a, b, limit in ranges)])
     name = kind.lower()
     return f"""
-own_{name} AS (SELECT m.* FROM media m WHERE m.kind='{kind}' AND m.image_hash <> -1 AND m.asset_id NOT IN (SELECT asset_id FROM dup WHERE kind='{kind}')),
+own_{name} AS (SELECT m.* FROM media m WHERE m.live AND m.done AND m.kind='{kind}' AND m.image_hash <> -1 AND m.asset_id NOT IN (SELECT asset_id FROM dup WHERE kind='{kind}')),
 pair_{name} AS (SELECT a.asset_id AS f, b.asset_id AS s, bit_count(xor(a.image_hash, b.image_hash)) AS d,
   trunc(list_sum(list_transform(list_zip(a.color, b.color), lambda x: abs(x[1]-x[2])))) AS c
-  FROM own_{name} a JOIN own_{name} b ON a.asset_id < b.asset_id AND bit_count(xor(a.image_hash, b.image_hash)) < {most}),
-edge_{name} AS (SELECT f AS first_asset_id, s AS second_asset_id FROM pair_{name} WHERE {near})"""
+  FROM own_{name} a JOIN own_{name} b ON a.asset_id < b.asset_id AND a.newer = b.newer AND bit_count(xor(a.image_hash, b.image_hash)) < 18),
+edge_{name} AS (SELECT f AS first_asset_id, s AS second_asset_id FROM pair_{name} WHERE {NEAR_SQL[kind]})"""
 
 
-def _groups_sql(kind: str) -> str:
+def _groups_sql(kind: str, order: str = "created_at_ms, asset_id DESC") -> str:
     """The sequential rule: one asset after the other, with a list of those taken."""
     name = kind.lower()
     return f"""
 arc_{name} AS (SELECT first_asset_id AS u, second_asset_id AS v FROM edge_{name} UNION ALL SELECT second_asset_id, first_asset_id FROM edge_{name}),
-line_{name} AS (SELECT m.asset_id AS u, row_number() OVER (ORDER BY created_at_ms, asset_id DESC) AS n, list(a.v) AS vs FROM media m JOIN arc_{name} a ON a.u=m.asset_id GROUP BY m.asset_id, m.created_at_ms),
+line_{name} AS (SELECT u, row_number() OVER (ORDER BY {order}) AS n, vs FROM (SELECT m.asset_id AS u, list(a.v) AS vs, m.asset_id, m.created_at_ms, m.date_added_s FROM media m JOIN arc_{name} a ON a.u=m.asset_id GROUP BY m.asset_id, m.created_at_ms, m.date_added_s)),
 walk_{name}(n, taken, got) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
   UNION ALL
@@ -88,6 +93,37 @@ flat_{name} AS (SELECT unnest(taken) AS asset_id, unnest(got) AS group_id FROM w
 group_{name} AS (SELECT group_id, asset_id, asset_id=group_id AS is_anchor FROM flat_{name} WHERE group_id IN (SELECT group_id FROM flat_{name} GROUP BY group_id HAVING count(*) > 1))"""
 
 
+# Videos: the words in seven slices, a frame each; matches of frames taken greedily, the used frames held in bits.
+FRAME_SQL = r"""
+vw AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '[ \n\t\r]+'), lambda x: x <> '') AS ws FROM documents WHERE lang NOT IN ('en','fr')),
+vx AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM vw),
+vf AS (SELECT doc_id, 7*pos//n AS frame, unicode(word[1]) AS a, unicode(word[-1]) AS z, length(word) AS n FROM vx),
+vt AS (SELECT doc_id, frame, count(*) AS total FROM vf GROUP BY ALL),
+vd AS (SELECT doc_id, frame, 0 AS ch, (a*31+n)%72 AS cell FROM vf UNION ALL SELECT doc_id, frame, 1, (z*7+n)%72 FROM vf UNION ALL SELECT doc_id, frame, 2, (a*13+z)%72 FROM vf),
+vv AS (SELECT doc_id, frame, ch, cell, least(255, count(*)*2550 // any_value(total)) AS v FROM vd JOIN vt USING (doc_id, frame) GROUP BY doc_id, frame, ch, cell),
+vg AS (SELECT t.doc_id, t.frame, c.cell, ch.ch, coalesce(v.v, 0) AS v FROM vt t CROSS JOIN range(72) c(cell) CROSS JOIN range(3) ch(ch)
+       LEFT JOIN vv v ON v.doc_id=t.doc_id AND v.frame=t.frame AND v.cell=c.cell AND v.ch=ch.ch),
+vy AS (SELECT doc_id, frame, cell, CAST(0.299 AS DOUBLE)*max(CASE WHEN ch=0 THEN v END) + CAST(0.587 AS DOUBLE)*max(CASE WHEN ch=1 THEN v END) + CAST(0.114 AS DOUBLE)*max(CASE WHEN ch=2 THEN v END) AS y FROM vg GROUP BY doc_id, frame, cell),
+vb AS (SELECT p.doc_id, p.frame, (p.cell//9)*8 + p.cell%9 AS i FROM vy p JOIN vy q ON p.doc_id=q.doc_id AND p.frame=q.frame AND q.cell=p.cell+1 WHERE p.cell%9 < 8 AND p.y > q.y),
+vh AS (SELECT t.doc_id, t.frame, CAST(coalesce(sum(CASE WHEN i=0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << (63-i)::INT END), 0) AS BIGINT) AS h FROM vt t LEFT JOIN vb b ON b.doc_id=t.doc_id AND b.frame=t.frame GROUP BY t.doc_id, t.frame),
+vs AS (SELECT g.doc_id, g.frame, l.level, g.ch, count(CASE WHEN g.v//32 = l.level THEN 1 END)/CAST(4.5 AS DOUBLE) AS share FROM vg g CROSS JOIN range(8) l(level) GROUP BY g.doc_id, g.frame, l.level, g.ch),
+vc AS (SELECT doc_id, frame, list(share ORDER BY level, ch) AS color FROM vs GROUP BY doc_id, frame),
+fr AS (SELECT m.asset_id, m.kind, m.newer, m.date_added_s, h.frame, h.h, c.color FROM vh h JOIN vc c ON c.doc_id=h.doc_id AND c.frame=h.frame JOIN media m ON m.asset_id=h.doc_id WHERE m.live AND m.done AND h.h <> -1),
+good AS (SELECT asset_id, count(*) AS good FROM fr GROUP BY asset_id),
+fp AS (SELECT l.asset_id AS later_id, e.asset_id AS earlier_id, CASE WHEN l.kind='SCREEN_RECORDING' OR e.kind='SCREEN_RECORDING' THEN 'SCREEN_RECORDING' ELSE 'VIDEO' END AS kind,
+  l.frame AS i, e.frame AS j, bit_count(xor(l.h, e.h)) AS d, trunc(list_sum(list_transform(list_zip(l.color, e.color), lambda x: abs(x[1]-x[2])))) AS c
+  FROM fr l JOIN fr e ON l.newer = e.newer AND (l.date_added_s < e.date_added_s OR (l.date_added_s = e.date_added_s AND l.asset_id < e.asset_id)) AND bit_count(xor(l.h, e.h)) < 16),
+fm AS (SELECT later_id, earlier_id, kind, list({'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'i': CAST(i AS BIGINT), 'j': CAST(j AS BIGINT)} ORDER BY d, c, abs(i-j), i, j) AS ms FROM fp WHERE NEAR GROUP BY later_id, earlier_id, kind),
+fu AS (SELECT later_id, earlier_id, kind, list_reduce(list_prepend({'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)}, ms), lambda s, m:
+  CASE WHEN (s.a >> m.i) & 1 = 0 AND (s.b >> m.j) & 1 = 0 THEN {'a': s.a | (CAST(1 AS BIGINT) << m.i), 'b': s.b | (CAST(1 AS BIGINT) << m.j), 'i': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)} ELSE s END) AS u FROM fm),
+fs AS (SELECT later_id, earlier_id, kind, bit_count(u.a) AS n, least(floor(log2(u.a)) - floor(log2(u.a & -u.a)), floor(log2(u.b)) - floor(log2(u.b & -u.b))) AS span, least(x.good, y.good) AS k
+  FROM fu JOIN good x ON x.asset_id=later_id JOIN good y ON y.asset_id=earlier_id),
+edge_video AS (SELECT kind, least(later_id, earlier_id) AS first_asset_id, greatest(later_id, earlier_id) AS second_asset_id FROM fs
+  WHERE n >= CASE WHEN k <= 2 THEN 1 WHEN k <= 5 THEN 2 ELSE greatest(3, CAST(ceil(k * CASE WHEN kind='SCREEN_RECORDING' THEN 45 ELSE 35 END / 100.0) AS INT)) END
+    AND span >= CASE WHEN k <= 2 THEN 0 WHEN k <= 5 THEN 1 ELSE 2 END)""".replace("NEAR", NEAR_SQL["SCREENSHOT"])  # videos have the limits of screenshots
+VIDEO_GROUPS = _groups_sql("VIDEO", "date_added_s DESC, asset_id DESC")
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
@@ -180,8 +216,7 @@ def _image_queries(kind: str) -> None:
         return joins.similar_edges(fixtures.library(spark, sf_dir), kind)
 
     def groups(spark, sf_dir):
-        rows = fixtures.library(spark, sf_dir)
-        return grouping.anchor_groups(grouping.scan_rank(rows.where(F.col("kind") == kind), kind), joins.similar_edges(rows, kind))
+        return grouping.groups_of(fixtures.library(spark, sf_dir), kind)
 
     edges.__name__, groups.__name__ = f"similar_edges_{name}", f"similar_groups_{name}"
     query(_with(ASSET_SQL, PRINT_SQL, _edges_sql(kind)) + f"SELECT 'SIMILAR' AS category, '{kind}' AS kind, first_asset_id, second_asset_id FROM edge_{name}")(edges)
@@ -224,7 +259,7 @@ def default_selection(spark, sf_dir):
     return categories.selection_totals(categories.default_selection(items, rows))
 
 
-@query(IMAGES + "SELECT group_kind, count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(greatest(created_at_ms, date_added_s*1000)) AS latest_ms FROM (SELECT *, kind AS group_kind FROM media WHERE kind IN ('PHOTO','SCREENSHOT') AND asset_id NOT IN (SELECT asset_id FROM item)) GROUP BY group_kind")
+@query(IMAGES + "SELECT group_kind, count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(greatest(created_at_ms, date_added_s*1000)) AS latest_ms FROM (SELECT *, kind AS group_kind FROM media WHERE live AND kind IN ('PHOTO','SCREENSHOT') AND asset_id NOT IN (SELECT asset_id FROM item)) GROUP BY group_kind")
 def other_image_stats(spark, sf_dir):
     rows, items = image_items(spark, sf_dir)
     return categories.other_stats(rows, items).where("group_kind <> 'VIDEO'")
@@ -235,12 +270,21 @@ def asset_page(spark, sf_dir):
     return categories.deep_page(fixtures.assets(spark, sf_dir), 20, 1).select("kind", "asset_id", "place")
 
 
-@query()
+@query(
+    _with(ASSET_SQL, PRINT_SQL, ITEM_SQL, FRAME_SQL, VIDEO_GROUPS)
+    + """, every AS (SELECT category, kind, group_id, asset_id FROM item UNION ALL SELECT 'SIMILAR', 'VIDEO', group_id, asset_id FROM group_video),
+gst AS (SELECT e.category, e.kind AS group_kind, e.group_id, count(*) AS items, sum(m.size_bytes) AS bytes, max(greatest(m.created_at_ms, m.date_added_s*1000)) AS latest FROM every e JOIN media m USING (asset_id) WHERE m.live GROUP BY ALL HAVING count(*) > 1),
+rest AS (SELECT CASE WHEN kind IN ('PHOTO','SCREENSHOT') THEN kind ELSE 'VIDEO' END AS group_kind, count(*) AS items, sum(size_bytes) AS bytes, max(greatest(created_at_ms, date_added_s*1000)) AS latest FROM media
+  WHERE live AND asset_id NOT IN (SELECT asset_id FROM every) GROUP BY ALL),
+part AS (SELECT category, group_kind, count(*) AS groups, sum(items) AS items, sum(bytes) AS bytes, max(latest) AS latest FROM gst GROUP BY ALL UNION ALL SELECT 'OTHER', group_kind, 1, items, bytes, latest FROM rest),
+product(position, product, group_kind, category) AS (VALUES (0,'SIMILAR','PHOTO','SIMILAR'), (1,'DUPLICATES','PHOTO','DUPLICATE'), (1,'DUPLICATES','SCREENSHOT','DUPLICATE'), (2,'SIMILAR_SCREENSHOTS','SCREENSHOT','SIMILAR'),
+  (3,'SIMILAR_VIDEOS','VIDEO','SIMILAR'), (4,'OTHER_SCREENSHOTS','SCREENSHOT','OTHER'), (5,'OTHER_VIDEOS','VIDEO','OTHER'), (6,'OTHER','PHOTO','OTHER'))
+SELECT CAST(position AS INT) AS position, product, CAST(coalesce(sum(groups), 0) AS BIGINT) AS groups, CAST(coalesce(sum(items), 0) AS BIGINT) AS items, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(max(latest), 0) AS BIGINT) AS latest_ms
+FROM product LEFT JOIN part USING (group_kind, category) GROUP BY position, product"""
+)
 def category_rollup(spark, sf_dir):
     rows, items = image_items(spark, sf_dir)
-    clips = rows.where("kind in ('VIDEO','SCREEN_RECORDING')")
-    frames = kept(fixtures.video_frames(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "frames")
-    return categories.category_rollup(kept(items.unionByName(grouping.video_items(clips, frames, band=False)), "items"), rows)
+    return categories.category_rollup(kept(items.unionByName(grouping.video_items(*fixtures.clips(spark, sf_dir))), "items"), rows)
 
 
 @query(
@@ -253,17 +297,137 @@ def video_band_candidates(spark, sf_dir):
     return joins.video_candidates(fixtures.assets(spark, sf_dir).where("kind in ('VIDEO','SCREEN_RECORDING')")).distinct()
 
 
-@query()
+@query(_with(ASSET_SQL, PRINT_SQL, FRAME_SQL) + "SELECT 'SIMILAR' AS category, kind, first_asset_id, second_asset_id FROM edge_video")
 def video_similar_edges(spark, sf_dir):
-    clips = fixtures.assets(spark, sf_dir).where("kind in ('VIDEO','SCREEN_RECORDING')")
-    return joins.video_edges(clips, fixtures.video_frames(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), band=False)
+    return joins.video_edges(*fixtures.clips(spark, sf_dir))
 
 
-@query()
+@query(_with(ASSET_SQL, PRINT_SQL, FRAME_SQL, VIDEO_GROUPS) + "SELECT group_id, asset_id, is_anchor FROM group_video")
 def video_groups(spark, sf_dir):
-    clips = kept(fixtures.assets(spark, sf_dir).where("kind in ('VIDEO','SCREEN_RECORDING')"), "clips")
-    frames = kept(fixtures.video_frames(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "frames")
-    return grouping.video_items(clips, frames, band=False).select("group_id", "asset_id", "is_anchor")
+    return grouping.video_items(*fixtures.clips(spark, sf_dir)).select("group_id", "asset_id", "is_anchor")
+
+
+@query(_with(ASSET_SQL, PRINT_SQL, _edges_sql("PHOTO"), _groups_sql("PHOTO", "asset_id")) + "SELECT group_id, asset_id, is_anchor FROM group_photo")
+def snapshot_groups(spark, sf_dir):
+    """Photos grouped on the edges found so far (here all), in the order in which the assets were first seen."""
+    rows = fixtures.library(spark, sf_dir).where("kind = 'PHOTO'")
+    return grouping.snapshot_groups(rows, kept(joins.similar_edges(rows, "PHOTO"), "live"))
+
+
+@query(_with(ASSET_SQL, PRINT_SQL, _edges_sql("SCREENSHOT"), _groups_sql("SCREENSHOT")) + "SELECT group_id, asset_id, is_anchor FROM group_screenshot")
+def fallback_groups(spark, sf_dir):
+    """Screenshots grouped without any stored edge: all are compared anew."""
+    rows = fixtures.library(spark, sf_dir)
+    none = spark.createDataFrame([], "category string, kind string, first_asset_id long, second_asset_id long")
+    return grouping.groups_of(rows, "SCREENSHOT", none)
+
+
+@query(IMAGES + "SELECT (SELECT count(*) FROM (SELECT DISTINCT category, kind, group_id FROM item)) AS groups, (SELECT count(*) FROM media WHERE live) AS active_assets")
+def scalar_counts(spark, sf_dir):
+    rows, items = image_items(spark, sf_dir)
+    return categories.scalar_counts(items, rows)
+
+
+@query(IMAGES + "SELECT category, group_kind, group_id, count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(latest) AS latest_ms FROM member GROUP BY ALL")
+def group_totals(spark, sf_dir):
+    rows, items = image_items(spark, sf_dir)
+    return categories.group_totals(items, rows)
+
+
+STATS = IMAGES + ", st AS (SELECT category, group_kind, group_id, count(*) AS items, max(latest) AS latest_ms FROM member GROUP BY ALL HAVING count(*) > 1) "
+
+
+@query(STATS + "SELECT category, group_id, items FROM st ORDER BY category, items DESC, latest_ms DESC, group_id LIMIT 20")
+def group_list(spark, sf_dir):
+    rows, items = image_items(spark, sf_dir)
+    return categories.group_list(categories.group_stats(items, rows), 20).select("category", "group_id", "items")
+
+
+@query(STATS + "SELECT category, group_kind, group_id, CAST(row_number() OVER (PARTITION BY category, group_kind ORDER BY latest_ms DESC, group_id DESC) AS INT) AS place FROM st")
+def category_groups(spark, sf_dir):
+    rows, items = image_items(spark, sf_dir)
+    return categories.category_groups(categories.group_stats(items, rows)).select("category", "group_kind", "group_id", "place")
+
+
+@query(IMAGES + "SELECT category, group_id, asset_id, CAST(place AS INT) AS place FROM placed WHERE place <= 3")
+def group_previews(spark, sf_dir):
+    rows, items = image_items(spark, sf_dir)
+    return categories.previews(items, rows, 3).select("category", "group_id", "asset_id", "place")
+
+
+@query(IMAGES + "SELECT group_id, asset_id FROM item WHERE category = 'SIMILAR' AND asset_id NOT IN (SELECT asset_id FROM item WHERE category = 'DUPLICATE')")
+def similar_previews(spark, sf_dir):
+    return categories.similar_previews(image_items(spark, sf_dir)[1]).select("group_id", "asset_id")
+
+
+@query(IMAGES + "SELECT category, group_id, asset_id FROM (SELECT *, count(*) OVER (PARTITION BY category, group_id) AS n FROM item WHERE asset_id % 5 <> 0) WHERE n > 1")
+def pruned_groups(spark, sf_dir):
+    """After every fifth asset went, groups of one are no groups."""
+    items = image_items(spark, sf_dir)[1]
+    return grouping.pruned(items.where("asset_id % 5 <> 0")).select("category", "group_id", "asset_id")
+
+
+@query(_with(ASSET_SQL, PRINT_SQL) + "SELECT d.group_id, d.asset_id, a.image_hash = b.image_hash AND trunc(list_sum(list_transform(list_zip(a.color, b.color), lambda x: abs(x[1]-x[2])))) = 0 AS same FROM dup d JOIN media a ON a.asset_id = d.group_id JOIN media b ON b.asset_id = d.asset_id")
+def same_looks(spark, sf_dir):
+    """Whether duplicates look exactly like the first of their group."""
+    rows = fixtures.library(spark, sf_dir)
+    prints = lambda n: rows.select(F.col("asset_id").alias(n), F.col("image_hash").alias(f"h_{n}"), F.col("color_hash").alias(f"c_{n}"))
+    both = joins.duplicate_groups(rows).select("group_id", "asset_id").join(prints("group_id"), "group_id").join(prints("asset_id"), "asset_id")
+    return both.select("group_id", "asset_id", fp.same_looks(F.col("h_group_id"), F.col("h_asset_id"), F.col("c_group_id"), F.col("c_asset_id")).alias("same"))
+
+
+@query(_with(ASSET_SQL) + "SELECT kind, asset_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY greatest(created_at_ms, date_added_s*1000) DESC, created_at_ms DESC, asset_id DESC) AS INT) AS place FROM asset")
+def display_order(spark, sf_dir):
+    return categories.display_order(fixtures.assets(spark, sf_dir)).select("kind", "asset_id", "place")
+
+
+@query(_with(ASSET_SQL) + "SELECT 'ONLY' AS chat, asset_id FROM asset WHERE media_type='image' AND chat_source IS NOT NULL UNION ALL SELECT 'NON', asset_id FROM asset WHERE media_type='image' AND chat_source IS NULL")
+def chat_filter(spark, sf_dir):
+    """Images with and without a chat source, no group excluded."""
+    rows = fixtures.assets(spark, sf_dir)
+    none = spark.createDataFrame([], "category string, asset_id long")
+    parts = [categories.ungrouped(rows, none, ["PHOTO", "SCREENSHOT"], ["SIMILAR"], chat).select(F.lit(chat).alias("chat"), "asset_id") for chat in ("ONLY", "NON")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    _with(ASSET_SQL)
+    + """, p(mode, place) AS (VALUES ('FAST', 0.10), ('FAST', 0.50), ('FAST', 0.90), ('BALANCED', 0.12), ('BALANCED', 0.38), ('BALANCED', 0.64), ('BALANCED', 0.88),
+('ACCURATE', 0.08), ('ACCURATE', 0.22), ('ACCURATE', 0.36), ('ACCURATE', 0.50), ('ACCURATE', 0.64), ('ACCURATE', 0.78), ('ACCURATE', 0.92))
+SELECT DISTINCT mode, asset_id, round(duration_ms * CAST(place AS DOUBLE), 6) AS ms FROM asset, p WHERE media_type='video'"""
+)
+def sample_times(spark, sf_dir):
+    clips = fixtures.assets(spark, sf_dir).where("kind in ('VIDEO','SCREEN_RECORDING')")
+    parts = [clips.select(F.lit(mode).alias("mode"), "asset_id", F.explode(fp.sample_times(F.col("duration_ms"), mode)).alias("ms")) for mode in ("FAST", "BALANCED", "ACCURATE")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("ms", F.round("ms", 6))
+
+
+@query(
+    _with(ASSET_SQL)
+    + """, m(mode, mixed) AS (VALUES ('FAST', 'MMR_FRAMES'), ('BALANCED', 'HYBRID_THUMBNAIL_AND_FRAMES'), ('REFERENCE_COMPAT', NULL))
+SELECT mode, asset_id, CASE WHEN mixed IS NULL THEN 'REFERENCE_FRAMES' WHEN asset_id%2=0 AND asset_id%3=0 THEN 'SYSTEM_THUMBNAIL' WHEN asset_id%2=0 THEN mixed ELSE 'MMR_FRAMES' END AS source FROM asset, m"""
+)
+def frame_sources(spark, sf_dir):
+    """Every second asset has a thumbnail, every third no frame besides."""
+    rows = fixtures.assets(spark, sf_dir)
+    parts = [rows.select(F.lit(mode).alias("mode"), "asset_id", fp.frame_source(mode, F.col("asset_id") % 2 == 0, F.col("asset_id") % 3).alias("source")) for mode in ("FAST", "BALANCED", "REFERENCE_COMPAT")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    _with(ASSET_SQL)
+    + """SELECT asset_id, strftime(epoch_ms(created_at_ms), '%Y-%m-%d') AS day, CASE WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes/1024.0::DOUBLE) ELSE printf('%.1f MB', size_bytes/1048576.0::DOUBLE) END AS size,
+concat(duration_ms//60000, ':', lpad(CAST(duration_ms//1000%60 AS VARCHAR), 2, '0')) AS clock FROM asset"""
+)
+def asset_texts(spark, sf_dir):
+    return fixtures.assets(spark, sf_dir).select("asset_id", fp.day_text(F.col("created_at_ms")).alias("day"), fp.size_text(F.col("size_bytes")).alias("size"), fp.clock_text(F.col("duration_ms")).alias("clock"))
+
+
+@query(_with(ASSET_SQL, PRINT_SQL) + "SELECT doc_id AS asset_id, CAST(level AS INT) AS level, CAST(ch AS INT) AS channel, share FROM hist")
+def color_texts(spark, sf_dir):
+    """Histograms written as text and read back."""
+    rows = fixtures.fingerprints(spark, sf_dir).select("asset_id", F.posexplode(fp.color_from_text(fp.color_to_text(F.col("color_hash")))).alias("p", "share"))
+    return rows.select("asset_id", F.floor(F.col("p") / 3).cast("int").alias("level"), (F.col("p") % 3).cast("int").alias("channel"), "share")
 
 
 @query(
@@ -321,6 +485,15 @@ def swept(spark, sf_dir):
     return left.select("asset_id", "state")
 
 
+@query(_with(STATE_SQL) + "SELECT asset_id, CASE WHEN state='ACTIVE' AND revision=1 THEN 2 ELSE 1 END AS image_hash FROM state")
+def fingerprint_commit(spark, sf_dir):
+    """Results for revision 1 take the place of older fingerprints where they may be written."""
+    state = fixtures.assets(spark, sf_dir)
+    results = state.select("asset_id", F.lit(1).cast("long").alias("revision"), F.lit(2).alias("image_hash"))
+    fresh = lifecycle.committed(results, lifecycle.request_states(state, fixtures.requests(state)))
+    return lifecycle.replaced(state.select("asset_id", F.lit(1).alias("image_hash")), fresh)
+
+
 @query(_with(STATE_SQL) + "SELECT asset_id, revision FROM state WHERE state='ACTIVE' AND revision=1")
 def optimistic_commit(spark, sf_dir):
     """Results were computed for revision 1 of every asset."""
@@ -377,6 +550,21 @@ def storage_check(spark, sf_dir):
     return compression.storage_check(compression.plan(*fixtures.videos(spark, sf_dir)), 100_000_000, 60_000_000).select("id", "required_bytes", "no_room_in")
 
 
+@query(
+    _with(VIDEO_SQL)
+    + """, o(option, rate) AS (VALUES ('LOW', 70), ('MEDIUM', 50), ('HIGH', 30))
+SELECT option, id, greatest(CAST(trunc(b::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000) AS target, size_bytes*(100-rate)//100 AS output,
+greatest(greatest(CAST(trunc(b::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000)*duration_ms//8000 + duration_ms*192000//8000, 1048576) AS by_bitrate FROM s, o"""
+)
+def simple_plan(spark, sf_dir):
+    """Targets and sizes by each option alone."""
+    videos, _ = fixtures.videos(spark, sf_dir)
+    source = compression.source_bitrate(F.lit(0), F.col("bitrate"), F.col("size_bytes"), F.col("duration_ms"))
+    parts = [videos.select(F.lit(o["option"]).alias("option"), "id", compression.simple_target(source, o["rate"]).alias("target"), compression.simple_output(F.col("size_bytes"), o["rate"]).alias("output"), "size_bytes", "duration_ms") for o in compression.options(spark).collect()]  # three options
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("option", "id", "target", "output", compression.output_by_bitrate(F.col("size_bytes"), F.col("duration_ms"), F.col("target")).alias("by_bitrate"))
+
+
 CONTACT_SQL = """
 c AS (SELECT c_custkey AS id, CASE WHEN c_custkey%23=0 THEN '' WHEN c_custkey%4=0 THEN concat(' CONTACT ',c_custkey%61,' ') ELSE concat('Contact ',c_custkey%61) END AS name,
  CASE WHEN c_custkey%29=0 THEN '' WHEN c_custkey%3=0 THEN concat('+1 (555) ',1000+c_custkey%67) ELSE concat('1-555-',1000+c_custkey%67) END AS phone FROM customer),

@@ -46,9 +46,12 @@ def _words(docs: DataFrame) -> DataFrame:
 def _rasters(words: DataFrame, key: list[str]) -> DataFrame:
     """words: key, word, total. (key, raster) with 72 RGB numbers."""
     a, z, n = F.ascii(F.substring("word", 1, 1)), F.ascii(F.right(F.col("word"), F.lit(1))), F.length("word")
+    # Words of one first letter, last letter and length fall into the same cells.
+    alike = words.groupBy(*key, a.alias("a"), z.alias("z"), n.alias("n")).agg(F.count("*").alias("times"), F.first("total").alias("total"))
+    a, z, n = F.col("a"), F.col("z"), F.col("n")
     cells = [(a * 31 + n) % 72, (z * 7 + n) % 72, (a * 13 + z) % 72]
-    dots = words.select(*key, "total", F.posexplode(F.array(*cells)).alias("channel", "cell"))
-    counts = dots.groupBy(*key, "channel", "cell").agg(F.expr("least(255, count(*) * 2550 div first(total))").cast("int").alias("value"))
+    dots = alike.select(*key, "total", "times", F.posexplode(F.array(*cells)).alias("channel", "cell"))
+    counts = dots.groupBy(*key, "channel", "cell").agg(F.expr("least(255, sum(times) * 2550 div first(total))").cast("int").alias("value"))
     found = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("cell") * 3 + F.col("channel"), "value"))).alias("m"))
     value = lambda cell, c: F.coalesce(F.col("m")[cell * 3 + c], F.lit(0))
     pixel = lambda cell: value(cell, 0) * 65536 + value(cell, 1) * 256 + value(cell, 2)
@@ -100,9 +103,21 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("doc_id").alias("asset_id"), fp.difference_hash(F.col("raster"), F.lit(9), F.lit(8)).alias("image_hash"), fp.color_histogram(F.col("raster")).alias("color_hash"))
 
 
+def varied(rows: DataFrame) -> DataFrame:
+    """Some assets are about to be deleted, some have no finished fingerprint, some one of another version."""
+    of = lambda n, yes, no: F.when(F.col("asset_id") % n == 0, yes).otherwise(no)
+    return rows.withColumns({"state": of(41, F.lit("DELETE_PENDING"), F.col("state")), "fingerprint_status": of(43, F.lit("PENDING"), F.col("fingerprint_status")), "algorithm_version": of(37, F.col("algorithm_version") + 10_000, F.col("algorithm_version"))})
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets with fingerprints, written once for the queries that read them several times."""
-    return kept(assets(spark, sf_dir).join(fingerprints(spark, sf_dir), "asset_id"), "library")
+    return kept(varied(assets(spark, sf_dir)).join(fingerprints(spark, sf_dir), "asset_id"), "library")
+
+
+def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Videos and recordings, and their frames."""
+    rows = varied(assets(spark, sf_dir)).where("kind in ('VIDEO','SCREEN_RECORDING')")
+    return kept(rows, "clips"), kept(video_frames(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "frames")
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
