@@ -215,7 +215,7 @@ def test_quality(spark, docs, none, rows):
 
 
 def test_quality_score_by_hand(spark):
-    """The score is the mean log ratio of two add-one multinomials over hashed pairs of endings."""
+    """The score is the mean log ratio of two add-one multinomials over hashed pairs of whole words and of shapes."""
     import math
     from collections import Counter
 
@@ -224,7 +224,7 @@ def test_quality_score_by_hand(spark):
     texts = {1: "alpha beta gamma " * 20, 2: "delta beta gamma " * 20, 3: "zeta eta theta iota " * 15}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), buckets=64)
-    buckets = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.grams(quality.words(F.col("text")), 2, 3, 64).alias("g")).collect()}
+    buckets = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.grams(quality.words(F.col("text")), quality.words(quality.shape(F.col("text"))), 2, 64).alias("g")).collect()}
     raw, good = Counter(b for g in buckets.values() for b in g), Counter(buckets[1])
     weight = lambda b: math.log((good[b] + 1) / (sum(good.values()) + 64)) - math.log((raw[b] + 1) / (sum(raw.values()) + 64))
     for r in quality.judge(docs, model).select("doc_id", "quality_score").collect():
@@ -232,6 +232,28 @@ def test_quality_score_by_hand(spark):
         assert r["quality_score"] == pytest.approx(sum(map(weight, g)) / len(g))
 
 
+def test_quality_of_very_long_texts(spark):
+    """A million different words have no repeated window; one window twice, far apart, is six words."""
+    from twinsift.llm import quality
+
+    n = 1_000_000
+    long = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"))
+    twice = long.select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.col("text"), F.lit(" w5 w6 w7")).alias("text"))
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality.base_counts(long.unionByName(twice)).select("doc_id", "n_words", "n_repeat_words").collect()}
+    assert got == {1: (n, 0), 2: (n + 3, 6)}
+
+
+def test_quality_shapes_and_columns(spark):
+    from twinsift.llm import quality
+
+    words = ["Whole", "whole", "WHOLE!!", "who$$$", "été9x", "A"]
+    got = spark.createDataFrame([(x,) for x in words], "w string").select(quality.shape(F.col("w"))).collect()
+    assert [r[0] for r in got] == ["Aa", "a", "A!!", "a$$$", "a0a", "A"]
+    docs = spark.createDataFrame([(1, "some words", "a", "b")], "doc_id long, text string, q_words string, q_sorted string")
+    row = quality.judge(docs, quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))).first()
+    assert (row["q_words"], row["q_sorted"], row["text"]) == ("a", "b", "some words")
+
+
 def test_mixing(spark, docs, none, rows):
     from twinsift.llm import mixing
 
