@@ -296,6 +296,37 @@ def test_shards(spark, docs, none, rows):
     assert shards.shard(sized(none), ["lang", "source", "n_chars"], "size", "hash").count() == 0
 
 
+def test_shards_keep_groups_order_and_prune(spark, tmp_path):
+    """Equal texts of up to twice the largest row stay together; long common beginnings are told apart; files have narrow ranges."""
+    import random
+
+    from twinsift.llm import shards
+
+    rng, rows = random.Random(2), []
+    for i in range(1500):
+        rows.append((i, f"t{i} " + "x" * rng.randrange(900), "en", f"https://common-crawl/{rng.randrange(40):03d}", rng.randrange(10_000)))
+    rows += [(5000 + i, f"twin{i // 2} " + "y" * 880, "de", f"https://common-crawl/{rng.randrange(40):03d}", rng.randrange(10_000)) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"size": F.octet_length("text").cast("long") + 8, "hash": F.xxhash64("text")})
+    got = shards.shard(df, ["source", "n_chars"], "size", "hash", 12)
+    sizes, homes, spans = {}, {}, {}
+    for r in got.collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        homes.setdefault(r["text"], set()).add(r["shard"])
+        spans.setdefault(r["shard"], []).append(r["source"])
+    even, most = sum(sizes.values()) / 12, max(r[-2] for r in df.select("size", "hash").collect())
+    assert len(sizes) == 12 and all(abs(x - even) <= 2 * max(most, even / 16) for x in sizes.values())
+    assert all(len(h) == 1 for h in homes.values())
+    # Sources with one long beginning fall into many bins, in their order.
+    found = {r["source"]: r["b"] for r in df.select("source", shards.bins(df, ["source"])[0].alias("b")).distinct().collect()}
+    assert len(set(found.values())) >= 16 and [found[k] for k in sorted(found)] == sorted(found.values())
+    # Files hold few of the sources, so min and max statistics prune.
+    shards.write_shards(got, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    by_file = back.groupBy(F.input_file_name().alias("f")).agg(F.min("source").alias("a"), F.max("source").alias("b")).collect()
+    value = "https://common-crawl/007"
+    assert back.count() == len(rows) and sum(r["a"] <= value <= r["b"] for r in by_file) <= 0.6 * len(by_file)
+
+
 def test_hilbert_curve():
     """Each place once, and neighbours on the curve differ by one step in one dimension."""
     import itertools

@@ -1,15 +1,14 @@
 """Sharding (operator 10): rows in the order of a Hilbert curve over their metadata, cut into even runs.
 
-Each dimension (a number, or a string by its first bytes, which keeps its order) is quantised into
-2^bits bins at approximate quantiles of all rows. The bins are a point, the point a place on the Hilbert
+Each dimension (a number, or a whole string) is quantised into 2^bits bins at quantiles of all rows. The bins are a point, the point a place on the Hilbert
 curve, and the rows are sorted by that place over all partitions; neighbours on the curve are near in
 every dimension, so a shard's rows span few bins and min/max statistics prune files by any of them.
 
-The law is `bytes`: the sorted rows are cut where the running size passes each nth part of the total, so
-sizes differ by less than a row or by 1 % of a shard, whichever is more. Rows of one group (equal texts)
-stand together, since the group has one place (that of its first row in no particular dimension order:
-the least of its rows' places) and are kept in one shard where the group is no larger than that slack;
-larger groups are cut between rows.
+The law is `bytes`: the sorted rows are cut near where the running size passes each nth part of the total.
+Rows of one group (equal texts) stand together, since the group has one place (the least of its rows' places),
+and stay in one shard where the group is no larger than twice the largest row or an eighth of a shard: cuts move
+to the nearer edge, so a shard's size is off by no more than that half at either end. Larger groups are cut
+between rows.
 
 Only running sums by partition and at most shards - 1 cuts come to the driver.
 
@@ -23,30 +22,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsift.llm.common import partitions, stored
 
-SHARDS, BITS, SLACK = 24, 5, 0.01
+SHARDS, BITS, SLACK = 24, 5, 1 / 8
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A double in the column's own order; strings by their first six bytes; null first."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.NumericType):
-        return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def _text_edges(df: DataFrame, column: str, n: int) -> list[str]:
+    """The values of a string column at which every nth part of the rows begins, by counts of all its values.
+
+    Values are counted, sorted over all partitions and summed up within each; sums by partition and the at most n
+    values are all that comes to the driver."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit("")).alias("s_value")
+    counts = df.groupBy(value).agg(F.count("*").alias("s_n")).repartitionByRange(partitions(df.sparkSession), "s_value")
+    counts = stored(counts.withColumn("s_part", F.spark_partition_id()), "values")
+    parts = counts.groupBy("s_part").agg(F.sum("s_n").alias("n")).orderBy("s_part").collect()  # one row a partition
+    total, offsets = 0, []
+    for r in parts:
+        offsets.append((r["s_part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    upto = F.sum("s_n").over(Window.partitionBy("s_part").orderBy("s_value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("s_offset")
+    placed_ = counts.join(F.broadcast(df.sparkSession.createDataFrame(offsets, "s_part int, s_offset long")), "s_part").withColumn("s_upto", upto)
+    passed = lambda c: F.floor(c * F.lit(n) / F.lit(float(total)))
+    found = placed_.where(passed(F.col("s_upto")) > passed(F.col("s_upto") - F.col("s_n"))).select("s_value").collect()
+    return sorted((r["s_value"] for r in found), key=str.encode)
 
 
-def edges(df: DataFrame, columns: list[str], bits: int = BITS) -> list[list[float]]:
-    """Where each dimension's bins begin, without the first; equal edges count once."""
+def bins(df: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
+    """The bin (int) of each row in each dimension, by approximate quantiles of numbers and quantiles of strings; null is in the first."""
     n = 1 << bits
-    at = [i / n for i in range(1, n)]
-    found = df.agg(*(F.percentile_approx(as_number(df, c), at, 2000).alias(f"e{i}") for i, c in enumerate(columns))).first()
-    return [sorted(set(found[i] or [])) for i in range(len(columns))]
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
+    edges: dict[str, list] = {}
+    if numbers:
+        found = df.agg(*(F.percentile_approx(number(c), [i / n for i in range(1, n)], 2000).alias(f"e{i}") for i, c in enumerate(numbers))).first()
+        edges = {c: sorted(set(found[i] or [])) for i, c in enumerate(numbers)}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    edges |= {c: _text_edges(df, c, n) for c in columns if c not in edges}
+    value = lambda c: number(c) if c in numbers else text(c)
+    return [sum((F.when(value(c) >= F.lit(e), 1).otherwise(0) for e in edges[c][: n - 1]), F.lit(0)).cast("int") for c in columns]
 
 
 def hilbert(points, bits: int):
@@ -78,8 +97,7 @@ def hilbert(points, bits: int):
 
 def placed(docs: DataFrame, columns: list[str], bits: int = BITS) -> DataFrame:
     """docs with s_place, the Hilbert index of their bins."""
-    found = edges(docs, columns, bits)
-    made = docs.select("*", F.array(*(as_number(docs, c) for c in columns)).alias("s_point"))
+    made = docs.select("*", F.array(*bins(docs, columns, bits)).alias("s_point"))
     schema = T.StructType([*docs.schema.fields, T.StructField("s_place", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -87,10 +105,8 @@ def placed(docs: DataFrame, columns: list[str], bits: int = BITS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            i = batch.schema.get_field_index("s_point")
-            values = batch.column(i).flatten().to_numpy().reshape(-1, len(columns)) if len(batch) else np.zeros((0, len(columns)))
-            bins = np.stack([np.searchsorted(np.array(e), values[:, k], side="right") for k, e in enumerate(found)], axis=1)
-            yield batch.drop_columns(["s_point"]).append_column("s_place", pa.array(hilbert(bins, bits), pa.int64()))
+            points = batch.column(batch.schema.get_field_index("s_point")).flatten().to_numpy().reshape(-1, len(columns)) if len(batch) else np.zeros((0, len(columns)), np.int64)
+            yield batch.drop_columns(["s_point"]).append_column("s_place", pa.array(hilbert(points, bits), pa.int64()))
 
     return made.mapInArrow(run, schema)
 
@@ -152,7 +168,7 @@ def _cuts(rows: DataFrame, size: str, group: str, total: int, shards: int, slack
     keys = rows.sparkSession.createDataFrame([(r["s_place"], r[group]) for r in at], rows.select(F.col("s_place").alias("k_place"), F.col(group).alias("k_group")).schema).distinct()
     span = {(r["s_place"], r[group]): (r["a"], r["b"]) for r in rows.join(F.broadcast(keys), (F.col("s_place") == F.col("k_place")) & F.col(group).eqNullSafe(F.col("k_group"))).groupBy("s_place", group).agg(F.min("s_from").alias("a"), F.max("s_upto").alias("b")).collect()}
     largest = rows.agg(F.max(size)).first()[0]
-    room = max(largest, int(slack * total / shards))
+    room = max(2 * largest, int(slack * total / shards))
     cuts = []
     for w in wanted:
         r = next(r for r in at if r["s_from"] < w <= r["s_upto"])
