@@ -386,6 +386,7 @@ def test_spread_pictures_meet_rarely(spark, monkeypatch):
     want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and similar(x, y)}
     for tile in (8192, 16):
         monkeypatch.setattr(joins, "TILE", tile)
+        monkeypatch.setattr(joins, "LEAST", min(tile, 256))
         assert sorted(tuple(r) for r in joins.similar_pairs(df, df, "PHOTO").collect()) == sorted(want) and len(want) > 50
     # Meetings, with the tests on hashes and colours left out.
     met = []

@@ -72,12 +72,12 @@ def color_distance(a: Column, b: Column) -> Column:
 
 
 def is_similar(kind: str, distance: Column, color: Column) -> Column:
-    """The cheap test stands first; the ranges include both ends and any of them is enough."""
+    """The ranges include both ends and any of them is enough. The colour distance stands last and once, as it is dear."""
     most, direct, ranges = schema.LIMITS[kind]
-    near = distance <= direct
-    for low, high, limit in ranges:
-        near = near | (distance.between(low, high) & (color <= limit))
-    return (distance < most) & near
+    limit = F.lit(-1)
+    for low, high, c in sorted(ranges, key=lambda r: r[2]):
+        limit = F.when(distance.between(low, high), c).otherwise(limit)
+    return (distance < most) & ((distance <= direct) | (color <= limit))
 
 
 def same_looks(a: Column, b: Column, color_a: Column, color_b: Column) -> Column:

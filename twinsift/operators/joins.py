@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from twinsift.functions import fingerprint as fp
 from twinsift.functions import video_rules as rules
 from twinsift.storage import kept
 
-#: Rows from which the axes of colour cells are chosen, and rows of a tile; neither changes a result.
-SAMPLE, AXES, TILE = 2048, 2, 8192
+#: Rows from which the axes of colour cells are chosen, their number, and most and least rows of a tile; none changes a result.
+SAMPLE, AXES, TILE, LEAST = 2048, 2, 8192, 256
 DUPLICATE_KEY = ["kind", "size_bytes", "width", "height", "is_edited", "image_hash"]
 
 
@@ -90,7 +91,7 @@ def _far(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Column,
 
     Each channel's shares sum to 16, so the sum over any set of shares moves by less than half of the colour limit + 1:
     cells of that width along each axis, one side in its own, the other in its own and all neighbours, so a pair meets
-    once. Crowded cells are cut into tiles of about TILE rows by TILE rows.
+    once. Crowded cells are cut into tiles of at most about TILE rows by TILE rows, less where tasks would be idle.
     """
     most, direct, ranges = schema.LIMITS[kind]
     width = (max(limit for *_, limit in ranges) + 1) / 2 * (1 + 1e-9)
@@ -103,9 +104,12 @@ def _far(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Column,
     right = right.select(*b.columns, *((F.col(f"o{i}") + F.col("step")[i]).alias(f"b_{n}") for i, n in enumerate(names)))
     own, other = ["version", *names], [f"b_{n}" for n in ("version", *names)]
     # One row a cell: their number is bounded by the range of the shares.
-    sizes = left.groupBy(*own).agg(F.ceil(F.count("*") / TILE).alias("rows")).join(right.groupBy(*(F.col(o).alias(n) for o, n in zip(other, own))).agg(F.ceil(F.count("*") / TILE).alias("b_rows")), own).collect()
+    spark = a.sparkSession
+    sizes = left.groupBy(*own).agg(F.count("*").alias("rows")).join(right.groupBy(*(F.col(o).alias(n) for o, n in zip(other, own))).agg(F.count("*").alias("b_rows")), own).collect()
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    side = max(1, min(TILE, max(LEAST, math.isqrt(sum(r["rows"] * r["b_rows"] for r in sizes) // tasks))))
     kinds = ", ".join(f"{n} int" for n in own)
-    sizes = a.sparkSession.createDataFrame([tuple(r) for r in sizes], f"{kinds}, rows long, b_rows long")
+    sizes = spark.createDataFrame([(*r[: len(own)], -(-r["rows"] // side), -(-r["b_rows"] // side)) for r in sizes], f"{kinds}, rows long, b_rows long")
     tile = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = left.join(F.broadcast(sizes), own).withColumn("tile", tile(a, "rows")).withColumn("other_tile", every("b_rows")).drop("rows", "b_rows")
