@@ -357,10 +357,25 @@ def test_urls(spark):
     assert got[7][2] is None and got[8][:2] == ("u:", "//v/w")
     assert got[9][3] == "block" and got[10][3] == "allow"
     assert urls.judge(pages.limit(0), model).count() == 0
-    # Names that are not in the table.
+    # Names that are not in the table as they stand.
     names = {"cheap-pharmacy": "block", "casino-bets": "block", "free-casino": "block", "adult-chat": "block", "spam-links": "block", "art-museum": "allow", "old-library": "allow", "daily-news": "allow", "river-maps": "allow", "thander": "allow"}
     held = urls.judge(spark.createDataFrame([(i, f"https://{n}.example.net/en/{i}") for i, n in enumerate(names)], "page_id long, url string"), model).orderBy("page_id").collect()
     assert sum(r["verdict"] == v for r, v in zip(held, names.values(), strict=True)) >= 9
+    # Only the path tells, on hosts of no meaning.
+    paths = {"/viagra-shop/": "block", "/casino/": "block", "/en/poker-night.html": "block", "/xxx/7": "block", "/warez/new/": "block", "/museum/": "allow", "/en/library-hours.html": "allow", "/physics/7": "allow", "/": "allow", "/2023/11/": "allow"}
+    held = urls.judge(spark.createDataFrame([(i, f"https://greyfriars.example.net{p}") for i, p in enumerate(paths)], "page_id long, url string"), model).orderBy("page_id").collect()
+    assert sum(r["verdict"] == v for r, v in zip(held, paths.values(), strict=True)) >= 9
+
+
+def test_urls_held_out(spark):
+    """A model that has not seen every fifth row of the table judges those."""
+    from twinsift.llm import urls
+
+    rows = urls.table_rows()
+    frame = lambda part: spark.createDataFrame(part, "url string, blocked double")
+    model = urls.fit(frame([r for i, r in enumerate(rows) if i % 5]))
+    got = urls.judge(frame(rows[::5]), model, rules=[]).collect()
+    assert sum((r["verdict"] == "block") == (r["blocked"] == 1.0) for r in got) >= 0.95 * len(got)
 
 
 def test_neighbours(spark):

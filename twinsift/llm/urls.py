@@ -3,7 +3,7 @@
 A rule (allow or block) fits its host and all subdomains where the url's path starts with the rule's
 path; the longest rule wins. Urls that no rule fits are judged by a logistic regression on hashed
 n-grams (3 to 5 characters) of host and path, trained from a small labelled table (at most `MOST`
-rows). Everything runs in the JVM: column functions, HashingTF and LogisticRegression.
+rows; by default a table made by a rule, half of whose telling words stand in hosts and half in paths). Everything runs in the JVM: column functions, HashingTF and LogisticRegression.
 
 Defined cases: a null url or one without "://" has an empty host and path and gets the method's
 verdict (allow, as nothing speaks against it); an empty table gives an empty result; repeated rows are
@@ -13,6 +13,8 @@ replace columns of the same name.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -23,16 +25,38 @@ BUCKETS, MOST = 1 << 14, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-BLOCKED = "cheap-meds discount-pharmacy pills-online viagra-shop diet-pills casino-royal lucky-casino poker-bonus sports-bets bets-online slots-jackpot adult-video xxx-videos adult-cams sexy-chat spam-mails content-farm link-farm bulk-mailer seo-spam ads-server ad-tracker pop-ads click-ads click-track banner-track free-iphone free-money win-prizes get-rich-fast crypto-doubler payday-loans replica-watches warez-crack".split()
-ALLOWED = "news library museum university weather gardening cooking history science hospital city-council parliament archive encyclopedia research-lab school theatre orchestra railway airport observatory botany chemistry physics mathlab philosophy poetry novels essays lectures maps travel-guide hiking sailing cycling football chess music painting sculpture carpentry woodwork knitting farming forestry fishery market bakery harbour village the-review morning-post evening-star thinker author other theory there tions nation station motion".split()
-PATHS = ["/", "/en/1.html", "/fr/20/", "/de/345", "/es/7/index.html"]
+#: The words of the labelled table: what unwanted and wanted sites call themselves, and names that say nothing.
+UNWANTED = "casino poker slots jackpot betting sportsbet pills viagra pharmacy adult xxx escort cams spam clickbait adserver tracker banner warez crack payday lottery prizes winner replica".split()
+WANTED = "library museum university weather garden recipes history science hospital council archive school theatre orchestra railway observatory botany chemistry physics philosophy poetry maps hiking chess carpentry market bakery".split()
+NEUTRAL = "hartfield oakridge linwood marlow kestrel brightwater fenwick ashcombe dunmore westbrook larkspur copperhill quayside maplegrove silverbirch redstone holloway penrose elmhurst gladstone rosebank windmere farrow calder".split()
+SYLLABLES = "bra cle dor fin gal hum kel mor nor pel quin ros sal tur vel wim".split()
+PLAIN = ["/", "/index.html", "/en/1.html", "/2024/05/12/", "/page/3", "/de/345", "/a/b", "/fr/20/"]
+HOST_FORMS, PATH_FORMS = ["{0}", "{0}-online", "best{0}", "{0}s-24", "the-{0}", "my-{0}-hub"], ["/{0}/", "/{0}-1.html", "/go/{0}s/2", "/new/{0}"]
+FRONTS, ENDS = ["", "www.", "m.", "blog."], ["com", "net", "org", "example.com", "example.net", "example.org"]
+
+
+def table_rows() -> list[tuple[str, float]]:
+    """(url, blocked) by a rule: a telling word in the host before a plain path, or in the path after a neutral host; and neutral both.
+
+    All else (subdomains, endings, plain paths, neutral names) goes round in turn, so that it comes with either label alike."""
+    rows, n = [], 0
+    for words_, blocked in ((UNWANTED, 1.0), (WANTED, 0.0)):
+        for w in words_:
+            for host, front in itertools.product(HOST_FORMS, FRONTS):
+                rows.append((f"https://{front}{host.format(w)}.{ENDS[n % 6]}{PLAIN[n % 8]}", blocked))
+                n += 1
+            for path, end in itertools.product(PATH_FORMS, ENDS):
+                rows.append((f"https://{FRONTS[n % 4]}{NEUTRAL[n % 24]}.{end}{path.format(w)}", blocked))
+                n += 1
+    names = NEUTRAL * 8 + [a + b for a in SYLLABLES for b in SYLLABLES]
+    rows += [(f"https://{FRONTS[i % 4]}{name}.{ENDS[i % 6]}{PLAIN[(i + i // 8) % 8]}", 0.0) for i, name in enumerate(names)]
+    # Where nothing is said, nothing is unwanted: this sets the intercept, so that plain n-grams need no weight of their own.
+    return rows + [("", 0.0)] * 200
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small table: (url, blocked). Both classes have the same paths and subdomains, so only the host's name tells."""
-    ends, fronts = ["com", "net", "org"], ["", "www.", "blog.", "m."]
-    rows = [(f"https://{fronts[(i + k) % 4]}{name}.example.{ends[(i + k) % 3]}{PATHS[(i + k) % 5]}", blocked) for names, blocked in ((BLOCKED, 1.0), (ALLOWED, 0.0)) for i, name in enumerate(names) for k in range(3)]
-    return spark.createDataFrame(rows, "url string, blocked double")
+    """The small table: (url, blocked)."""
+    return spark.createDataFrame(table_rows(), "url string, blocked double")
 
 
 def with_parts(df: DataFrame) -> DataFrame:
@@ -58,7 +82,7 @@ def features(df: DataFrame) -> DataFrame:
     return HashingTF(inputCol="u_grams", outputCol="u_features", numFeatures=BUCKETS, binary=True).transform(with_parts(df).withColumn("u_grams", grams(F.col("host"), F.col("path")))).drop("u_grams")
 
 
-def fit(table: DataFrame, strength: float = 0.001) -> LogisticRegressionModel:
+def fit(table: DataFrame, strength: float = 0.0002) -> LogisticRegressionModel:
     """table: (url, blocked 0 or 1), small. One partition, so the sums have one order."""
     rows = features(table.where("url is not null and blocked is not null").limit(MOST).coalesce(1)).select("u_features", F.col("blocked").cast("double").alias("label"))
     return LogisticRegression(featuresCol="u_features", regParam=strength, maxIter=50, standardization=False, aggregationDepth=2).fit(rows)
