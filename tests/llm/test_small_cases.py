@@ -56,8 +56,9 @@ def test_simhash(spark, docs, none, rows):
     prints = [(r[0], brute.fingerprint(r[1])) for r in rows]
     named = brute.components(prints)
     assert sorted(map(key, got)) == sorted(key((d, f"{f:016x}", named[f])) for d, f in prints) or sorted(map(repr, map(tuple, got))) == sorted(repr((d, f"{f:016x}", named[f])) for d, f in prints)
-    left = simhash.deduplicated(clashing(docs))
-    assert left.columns == clashing(docs).columns
+    wide = clashing(docs).withColumns({n: F.lit(f"own {n}") for n in ("k_id", "k_fp", "root", "least")})
+    left = simhash.deduplicated(wide)
+    assert left.columns == wide.columns and all(r[n] == f"own {n}" for r in left.collect() for n in ("fingerprint", "k_id", "k_fp", "root"))
     assert left.count() == len(set(named[f] if named[f] is not None else f for _, f in prints))
     empty = simhash.with_fingerprint(none.select("doc_id", "text"), keep_text=False)
     assert simhash.groups(empty).count() == 0 and simhash.deduplicated(none).count() == 0

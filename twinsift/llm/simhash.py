@@ -11,9 +11,6 @@ fingerprints are within 2 bits if and only if the sets "itself and its 64 one-bi
 no point is in more than 65 such sets. Fingerprints one bit from a crowded segment go through both, so
 no link is lost and no bucket is larger than 2 * crowd or 65.
 
-Components come from repeated star contraction (each vertex hangs itself and its neighbours on the
-smallest one it knows), each round written to the shared folder.
-
 Defined cases: null and empty texts have no words and the fingerprint 0, linked like any other; fewer
 than `shingle` words count as one shingle; a null doc_id can't name a component (it takes the smallest
 known one, or null if there is none); repeated rows keep their rows and share a component; an empty
@@ -29,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsift.llm.common import stored
+from twinsift.operators.graph import components
 
 SHINGLE, SEED, CROWD = 3, 42, 64
 SLICE = 1 << 16  # shingles whose bits are counted at once
@@ -95,31 +93,6 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return cold.unionByName(hot).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (u, v); root is the smallest of its component."""
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    was = state(e)
-    while was[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: a vertex hangs its larger neighbours on the smallest of itself and its neighbours.
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: a vertex hangs itself and its smaller neighbours on the smallest of them.
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(smallest, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small, "edges")
-        now = state(e)
-        if now == was:
-            break
-        was = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def groups(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(fingerprint, root, component_id) from rows (doc_id, fingerprint): the component of each distinct fingerprint."""
     each = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
@@ -136,14 +109,13 @@ def hexed(fp: Column) -> Column:
 
 def deduplicated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One document of each component: that with the smallest doc_id (then fingerprint); repeated rows count once."""
-    own = docs.columns
-    narrow = stored(with_fingerprint(docs.select("doc_id", "text"), keep_text=False), "narrow")
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("k_row"))  # the row is one value, so no name clashes
+    narrow = stored(with_fingerprint(rows.select("doc_id", "text"), keep_text=False), "narrow")
     found = groups(narrow, crowd)
     best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fingerprint"))
     keep = stored(narrow.distinct().join(found.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min(best).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.fingerprint").alias("k_fp")), "keep")
-    marked = with_fingerprint(docs)
-    one = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("fingerprint") == F.col("k_fp")), "left_semi").dropDuplicates(["doc_id", "fingerprint"])
-    return one.select(*own)
+    one = with_fingerprint(rows, keep_text=False).join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("fingerprint") == F.col("k_fp")), "left_semi").dropDuplicates(["doc_id", "fingerprint"])
+    return one.select("k_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
