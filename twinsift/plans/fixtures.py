@@ -5,12 +5,14 @@ Small rasters of 9 by 8 pixels are drawn from a document's words, so that near-c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprint as fp
 from twinsift.sources import media
-from twinsift.storage import kept
+from twinsift.storage import exists, kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,15 +111,27 @@ def varied(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"state": of(41, F.lit("DELETE_PENDING"), F.col("state")), "fingerprint_status": of(43, F.lit("PENDING"), F.col("fingerprint_status")), "algorithm_version": of(37, F.col("algorithm_version") + 10_000, F.col("algorithm_version"))})
 
 
+_drawn: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def drawn(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of pictures, drawn once by each application and then read from the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _drawn or not exists(spark, _drawn[key].kept_at):
+        _drawn[key] = kept(make(), name)
+    found = _drawn[key]
+    return spark.read.schema(found.schema).parquet(found.kept_at)
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets with fingerprints, written once for the queries that read them several times."""
-    return kept(varied(assets(spark, sf_dir)).join(fingerprints(spark, sf_dir), "asset_id"), "library")
+    """Assets with fingerprints."""
+    return drawn(spark, sf_dir, "library", lambda: varied(assets(spark, sf_dir)).join(fingerprints(spark, sf_dir), "asset_id"))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Videos and recordings, and their frames."""
-    rows = varied(assets(spark, sf_dir)).where("kind in ('VIDEO','SCREEN_RECORDING')")
-    return kept(rows, "clips"), kept(video_frames(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "frames")
+    rows = drawn(spark, sf_dir, "clips", lambda: varied(assets(spark, sf_dir)).where("kind in ('VIDEO','SCREEN_RECORDING')"))
+    return rows, drawn(spark, sf_dir, "frames", lambda: video_frames(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables from kept() that nothing will read again."""
     for df in tables:
