@@ -76,6 +76,21 @@ def test_op9(spark, small, texts):
         assert sum(x == kept for x in those) >= 0.95 * len(those)
 
 
+def test_op2_on_held_out_documents(spark, small):
+    """Documents whose labels were not learned from: toxic ones score higher than others."""
+    import zlib
+
+    from twinsift.llm import catalog
+
+    where = f"{small}/../sf0.1"
+    got = {r["doc_id"]: r for r in catalog.QUERIES["op2_toxicity"](spark, where).collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for d, r in got.items())
+    yes, no = ([r["score"] for d, r in got.items() if r["held_out"] and toxic.get(d) == y] for y in (1, 0))
+    better = sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+    assert better >= 0.93 and sum(s >= 0.5 for s in yes) >= 0.8 * len(yes) and sum(s >= 0.5 for s in no) <= 0.05 * len(no)
+
+
 def test_op1_recall(spark, small):
     import numpy as np
 
