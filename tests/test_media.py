@@ -178,7 +178,7 @@ def library(spark, small):
 
 def test_every_photo_is_in_one_place(spark, library):
     items = grouping.image_items(library, "PHOTO").cache()
-    photos = library.where("kind = 'PHOTO'")
+    photos = library.where("kind = 'PHOTO' and state = 'ACTIVE'")
     rest = categories.ungrouped(library, items, ["PHOTO"], ["SIMILAR", "DUPLICATE"])
     assert items.count() == items.select("asset_id").distinct().count()
     assert items.count() + rest.count() == photos.count()
@@ -195,7 +195,7 @@ def test_rollup_has_seven_rows(spark, library):
     items = grouping.image_items(library, "PHOTO").unionByName(grouping.image_items(library, "SCREENSHOT"))
     rows = categories.category_rollup(items, library).orderBy("position").collect()
     assert [r["product"] for r in rows] == joins.schema.PRODUCT_CATEGORIES
-    assert sum(r["items"] for r in rows if r["product"].startswith("OTHER")) + items.count() == library.count()
+    assert sum(r["items"] for r in rows if r["product"].startswith("OTHER")) + items.count() == library.where("state = 'ACTIVE'").count()
     live = categories.category_rollup(items, library).where("position < 2")
     assert categories.merged(live, categories.category_rollup(items, library)).count() == 7
 
@@ -409,3 +409,20 @@ def test_spread_pictures_meet_rarely(spark, monkeypatch):
     monkeypatch.setattr(joins, "_joined", lambda a, b, keys, condition: met.append(a.alias("a").join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.b_{k}") for k in keys]).where("a.asset_id < b.b_asset_id").count()) or a.crossJoin(b.limit(0)).drop(*keys, *(f"b_{k}" for k in keys)))
     joins.similar_pairs(df, df, "PHOTO")
     assert sum(met) < 0.25 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_pictures_follow_the_tables(spark, small, tmp_path):
+    """A table that changes between two calls is drawn anew."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert fixtures.library(spark, str(tmp_path)).count() == docs.where("n_chars > 0").count()
+    docs.where("doc_id % 10 = 0").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert fixtures.library(spark, str(tmp_path)).count() == docs.where("n_chars > 0 and doc_id % 10 = 0").count()
+
+
+def test_wide_videos_get_the_lower_height(spark):
+    rows = spark.createDataFrame([(1, 2560, 1080), (2, 3440, 1000), (3, 3440, 1440), (4, 1920, 1080), (5, 2560, 720), (6, 1080, 2560)], "id long, width int, height int")
+    videos = rows.selectExpr("*", "100000000L size_bytes", "60000L duration_ms", "0 bitrate")
+    tracks = videos.limit(0).selectExpr("id", "true is_hevc", "true is_hdr", "bitrate", "1 frame_rate", "width", "height", "0 rotation_degrees")
+    got = {r["id"]: r["target_height"] for r in compression.plan(videos, tracks).collect()}
+    assert got == {1: 720, 2: 720, 3: 1080, 4: 720, 5: None, 6: 720}

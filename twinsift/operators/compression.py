@@ -94,7 +94,7 @@ def plan(videos: DataFrame, profiles: DataFrame, rate: int = OPTIONS["MEDIUM"])
     rows = rows.withColumns(
         {
             "dynamic_rate": clamp(F.lit(min(max(rate, 10), 85)) + by_size + by_rate + by_fps + by_codec + by_length, 10, 85),
-            "target_height": F.when((long_ >= 2560) & (short > 1080), 1080).when((long_ >= 1920) & (long_ < 2560) & (short > 720), 720),
+            "target_height": F.when((long_ >= 2560) & (short > 1080), 1080).when((long_ >= 1920) & (short > 720), 720),
         }
     )
     out_short = F.coalesce("target_height", F.greatest(short, F.lit(1)))

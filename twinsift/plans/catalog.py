@@ -291,7 +291,7 @@ def category_rollup(spark, sf_dir):
     _with(ASSET_SQL)
     + """, v AS (SELECT asset_id, date_added_s, duration_ms//1000 AS s, CAST(trunc(width::DOUBLE/height::DOUBLE*100) AS INT) AS a FROM asset WHERE media_type='video')
 SELECT l.asset_id AS later_id, e.asset_id AS earlier_id FROM v l JOIN v e ON (l.date_added_s < e.date_added_s OR (l.date_added_s = e.date_added_s AND l.asset_id < e.asset_id))
-AND abs(l.s - e.s) <= greatest(2, l.s//10) AND abs(l.a - e.a) <= 8""".replace(", v AS", ", v AS", 1)
+AND abs(l.s - e.s) <= greatest(2, l.s//10) AND abs(l.a - e.a) <= 8"""
 )
 def video_band_candidates(spark, sf_dir):
     return joins.video_candidates(fixtures.assets(spark, sf_dir).where("kind in ('VIDEO','SCREEN_RECORDING')")).distinct()
@@ -416,7 +416,7 @@ def frame_sources(spark, sf_dir):
 
 @query(
     _with(ASSET_SQL)
-    + """SELECT asset_id, strftime(epoch_ms(created_at_ms), '%Y-%m-%d') AS day, CASE WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes/1024.0::DOUBLE) ELSE printf('%.1f MB', size_bytes/1048576.0::DOUBLE) END AS size,
+    + """SELECT asset_id, strftime(epoch_ms(created_at_ms), '%Y-%m-%d') AS day, CASE WHEN size_bytes < 1048576 THEN printf('%.1f KB', floor(size_bytes/1024.0::DOUBLE*10+0.5)/10) ELSE printf('%.1f MB', floor(size_bytes/1048576.0::DOUBLE*10+0.5)/10) END AS size,
 concat(duration_ms//60000, ':', lpad(CAST(duration_ms//1000%60 AS VARCHAR), 2, '0')) AS clock FROM asset"""
 )
 def asset_texts(spark, sf_dir):
@@ -515,13 +515,15 @@ def incremental_edges(spark, sf_dir):
 
 VIDEO_SQL = """
 v AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice*1000) AS BIGINT) AS size_bytes, 500+(o_orderkey*7919)%600000 AS duration_ms,
- CASE o_custkey%4 WHEN 0 THEN 3840 WHEN 1 THEN 2560 WHEN 2 THEN 1920 ELSE 1280 END AS w, CASE o_custkey%4 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 1080 ELSE 720 END AS h,
- CASE o_orderkey%3 WHEN 0 THEN 30 WHEN 1 THEN 60 ELSE 30 END AS fps, o_orderkey%5=0 AS hevc, o_orderkey%37=0 AS hdr FROM orders WHERE o_totalprice*1000 >= 1),
-s AS (SELECT *, least(size_bytes*8000//duration_ms, 2147483647) AS b FROM v),
+ CASE o_custkey%7 WHEN 0 THEN 3840 WHEN 1 THEN 2560 WHEN 2 THEN 1920 WHEN 3 THEN 2560 WHEN 4 THEN 3440 WHEN 5 THEN 960 ELSE 1280 END AS w, CASE o_custkey%7 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 1080 WHEN 3 THEN 1080 WHEN 4 THEN 1000 WHEN 5 THEN 540 ELSE 720 END AS h,
+ o_orderkey%11=0 AS bare, CASE WHEN o_orderkey%11<>0 AND o_orderkey%3=1 THEN 60 WHEN o_orderkey%11<>0 AND o_orderkey%3=2 THEN 50 ELSE 30 END AS fps, o_orderkey%11<>0 AND o_orderkey%5=0 AS hevc, o_orderkey%11<>0 AND o_orderkey%37=0 AS hdr,
+ CASE WHEN o_orderkey%11<>0 AND o_orderkey%7=0 THEN 700000+o_orderkey%9*1500000 ELSE 0 END AS measured FROM orders WHERE o_totalprice*1000 >= 1),
+s0 AS (SELECT *, least(size_bytes*8000//duration_ms, 2147483647) AS b0 FROM v),
+s AS (SELECT *, CASE WHEN measured > 0 THEN measured ELSE b0 END AS b FROM s0),
 r AS (SELECT *, greatest(10, least(85, 50 + CASE WHEN w>=3840 THEN 12 WHEN w>=2560 THEN 8 WHEN w>=1920 THEN 4 ELSE 0 END
   + CASE WHEN b>20000000 THEN 12 WHEN b>12000000 THEN 8 WHEN b>8000000 THEN 4 WHEN b BETWEEN 1 AND 2500000 THEN -18 WHEN b BETWEEN 2500001 AND 4000000 THEN -8 ELSE 0 END
   + CASE WHEN fps>=60 THEN -6 WHEN fps>=45 THEN -3 ELSE 0 END + CASE WHEN hevc THEN -5 ELSE 0 END + CASE WHEN duration_ms BETWEEN 1 AND 9999 THEN -10 ELSE 0 END)) AS rate,
-  CASE WHEN w>=2560 AND h>1080 THEN 1080 WHEN w>=1920 AND w<2560 AND h>720 THEN 720 END AS th FROM s),
+  CASE WHEN w>=2560 AND h>1080 THEN 1080 WHEN w>=1920 AND h>720 THEN 720 END AS th FROM s),
 f0 AS (SELECT *, CASE WHEN w>=3840 THEN 6000000 WHEN coalesce(th,h)>=1080 THEN 4500000 WHEN coalesce(th,h)>=720 THEN 2500000 WHEN coalesce(th,h)>=540 THEN 1400000 ELSE 800000 END AS q0 FROM r),
 f1 AS (SELECT *, CASE WHEN fps>=60 THEN CAST(trunc(q0::FLOAT*1.35::FLOAT) AS BIGINT) WHEN fps>=45 THEN CAST(trunc(q0::FLOAT*1.18::FLOAT) AS BIGINT) ELSE q0 END AS q1 FROM f0),
 f2 AS (SELECT *, greatest(350000, CASE WHEN hevc THEN CAST(trunc(q1::FLOAT*1.15::FLOAT) AS BIGINT) ELSE q1 END) AS q2,
@@ -553,8 +555,8 @@ def storage_check(spark, sf_dir):
 @query(
     _with(VIDEO_SQL)
     + """, o(option, rate) AS (VALUES ('LOW', 70), ('MEDIUM', 50), ('HIGH', 30))
-SELECT option, id, greatest(CAST(trunc(b::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000) AS target, size_bytes*(100-rate)//100 AS output,
-greatest(greatest(CAST(trunc(b::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000)*duration_ms//8000 + duration_ms*192000//8000, 1048576) AS by_bitrate FROM s, o"""
+SELECT option, id, greatest(CAST(trunc(b0::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000) AS target, size_bytes*(100-rate)//100 AS output,
+greatest(greatest(CAST(trunc(b0::FLOAT*((100-rate)::FLOAT/100::FLOAT)::FLOAT) AS BIGINT), 350000)*duration_ms//8000 + duration_ms*192000//8000, 1048576) AS by_bitrate FROM s, o"""
 )
 def simple_plan(spark, sf_dir):
     """Targets and sizes by each option alone."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprint as fp
@@ -111,15 +111,28 @@ def varied(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"state": of(41, F.lit("DELETE_PENDING"), F.col("state")), "fingerprint_status": of(43, F.lit("PENDING"), F.col("fingerprint_status")), "algorithm_version": of(37, F.col("algorithm_version") + 10_000, F.col("algorithm_version"))})
 
 
-_drawn: dict[tuple[str, str, str], DataFrame] = {}
+_drawn: dict[tuple[str, str, str], tuple[list, DataFrame]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> list:
+    """Names, sizes and times of the files of documents."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(table(spark, sf_dir, "documents").inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
 
 
 def drawn(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table of pictures, drawn once by each application and then read from the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _drawn or not exists(spark, _drawn[key].kept_at):
-        _drawn[key] = kept(make(), name)
-    found = _drawn[key]
+    """A table of pictures, drawn once by each application and then read from the shared folder.
+
+    It is drawn anew whenever the files of documents are others, or of other sizes or times."""
+    key, files = (spark.sparkContext.applicationId, sf_dir, name), _files(spark, sf_dir)
+    if key not in _drawn or _drawn[key][0] != files or not exists(spark, _drawn[key][1].kept_at):
+        _drawn[key] = (files, kept(make(), name))
+    found = _drawn[key][1]
     return spark.read.schema(found.schema).parquet(found.kept_at)
 
 
@@ -144,12 +157,15 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Videos to compress and their measured tracks."""
+    """Videos to compress and their measured tracks: wide formats, measured bit rates, some without tracks."""
     orders = table(spark, sf_dir, "orders")
-    wide = "CAST(CASE o_custkey%4 WHEN 0 THEN 3840 WHEN 1 THEN 2560 WHEN 2 THEN 1920 ELSE 1280 END AS INT)"
-    high = "CAST(CASE o_custkey%4 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 1080 ELSE 720 END AS INT)"
+    wide = "CAST(CASE o_custkey%7 WHEN 0 THEN 3840 WHEN 1 THEN 2560 WHEN 2 THEN 1920 WHEN 3 THEN 2560 WHEN 4 THEN 3440 WHEN 5 THEN 960 ELSE 1280 END AS INT)"
+    high = "CAST(CASE o_custkey%7 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 1080 WHEN 3 THEN 1080 WHEN 4 THEN 1000 WHEN 5 THEN 540 ELSE 720 END AS INT)"
     rows = orders.selectExpr("o_orderkey AS id", "CAST(NULL AS STRING) AS display_name", "CAST(floor(o_totalprice*1000) AS BIGINT) AS size_bytes", "500+(o_orderkey*7919)%600000 AS duration_ms", f"{wide} AS width", f"{high} AS height", "0 AS bitrate")
-    tracks = orders.selectExpr("o_orderkey AS id", "o_orderkey%5=0 AS is_hevc", "o_orderkey%37=0 AS is_hdr", "0 AS bitrate", "CAST(CASE o_orderkey%3 WHEN 0 THEN 30 WHEN 1 THEN 60 ELSE 0 END AS INT) AS frame_rate", f"{wide} AS width", f"{high} AS height", "CAST(CASE WHEN o_orderkey%2=0 THEN 90 ELSE 0 END AS INT) AS rotation_degrees")
+    measured = "CAST(CASE WHEN o_orderkey%7=0 THEN 700000+o_orderkey%9*1500000 ELSE 0 END AS INT)"
+    rate = "CAST(CASE o_orderkey%3 WHEN 0 THEN 30 WHEN 1 THEN 60 ELSE 50 END AS INT)"
+    turned = "CAST(CASE WHEN o_orderkey%2=0 THEN 90 ELSE 0 END AS INT)"
+    tracks = orders.where("o_orderkey%11<>0").selectExpr("o_orderkey AS id", "o_orderkey%5=0 AS is_hevc", "o_orderkey%37=0 AS is_hdr", f"{measured} AS bitrate", f"{rate} AS frame_rate", f"{wide} AS width", f"{high} AS height", f"{turned} AS rotation_degrees")
     return media.videos(rows), tracks
 
 
@@ -157,7 +173,3 @@ def requests(assets_: DataFrame) -> DataFrame:
     """Every 13th asset is marked, every 26th restored."""
     ids = assets_.select("asset_id").where("asset_id % 13 = 0")
     return ids.withColumn("action", F.lit("mark_pending")).unionByName(ids.where("asset_id % 26 = 0").withColumn("action", F.lit("restore")))
-
-
-def flag(column: Column) -> Column:
-    return column.cast("int")
