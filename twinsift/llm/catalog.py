@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import quality
+from twinsift.llm import collocations, quality
+from twinsift.llm.collocations import op13_collocations
 from twinsift.llm.common import table
 from twinsift.llm.mixing import op8_source_mix
 from twinsift.llm.neighbours import op1_nearest_neighbours
 from twinsift.llm.packing import op6_packing
+from twinsift.llm.sentencepieces import op12_sentencepiece
 from twinsift.llm.shards import op10_hilbert_shards
 from twinsift.llm.simhash import op3_simhash
 from twinsift.llm.substrings import op5_substring_dedup
@@ -38,6 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_collocations": collocations.SQL}
