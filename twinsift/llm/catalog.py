@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsift.llm import collocations, quality
+from twinsift.llm.alignment import op11_alignment
 from twinsift.llm.collocations import op13_collocations
 from twinsift.llm.common import table
 from twinsift.llm.mixing import op8_source_mix
@@ -40,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_alignment": op11_alignment,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_collocations": op13_collocations,
 }

@@ -14,10 +14,11 @@ SPLITTERS = " \n\t"
 
 
 def splitters(pieces: Iterable[str], wanted: str = SPLITTERS) -> str:
-    """Those of the wanted characters that follow no other character in any piece."""
+    """Those of the wanted characters that follow nothing but white space in any piece."""
     pieces, found = list(pieces), wanted
     while True:
-        inner = re.compile(f"[^{re.escape(found)}]([{re.escape(found)}])") if found else None
+        # No cut follows white space of any kind, so only other characters count.
+        inner = re.compile(rf"[^\s{re.escape(found)}]([{re.escape(found)}])") if found else None
         bad = {m for p in pieces for m in inner.findall(p)} if inner else set()
         if not bad:
             return found
