@@ -5,20 +5,17 @@ of the keys' bytes) is replaced, other characters stay; spaces become U+2581 and
 normalised byte the place in the source is kept, so each piece is projected to the bytes it stands for. A model whose
 map is empty changes spaces only; then places follow from lengths and no array is needed.
 
-The normalised text is cut into segments across which the vocabulary cannot merge (see segments.py; verified from
-its pieces). Each worker keeps the pieces of segments it met; the library merges only new ones, with its own
-normalisation turned off. Segments are put together as arrays.
+The library merges the normalised text, with its own normalisation turned off; spans are computed for many texts at
+once, as arrays.
 
 encode: doc_id, ids, starts, ends (byte offsets in the source, as the library's offsets: of a character
 written as single bytes the last one has the span, the others are empty at its start).
 decode: the text of ids, as the library's decode(ids).
 
-Bounds: a worker keeps at most `KEPT` segments of at most `LONGEST` characters, and works on `BATCH` characters at a time
-(at least one text). No shuffle; nothing is collected or broadcast.
+Bounds: a worker works on `BATCH` characters at a time (at least one text). No shuffle; nothing is collected or broadcast.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 in a text counts as a
-space; repeated rows and equal or null doc_ids give a row each; very long texts are one row, cut into segments as any
-other (a text without white space is one segment); an empty table gives an empty result; other columns are not
+space; repeated rows and equal or null doc_ids give a row each; very long texts are one row; an empty table gives an empty result; other columns are not
 carried, whatever their names. Models must have pieces for single bytes and no user-defined pieces.
 """
 
@@ -30,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import table
-from twinsift.llm.segments import Cutter, gathered, splitters
+from twinsift.llm.segments import gathered
 from twinsift.llm.tokens import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-KEPT, LONGEST, BATCH = 400_000, 64, 1 << 21
+BATCH = 1 << 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -164,9 +161,6 @@ class Model:
         if any(dict(_fields(v)).get(3, 1) == 4 for k, v in _fields(data) if k == 1):
             raise ValueError("the model has pieces of its user's own")
         self.special = {i for i in range(size) if lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)}
-        plain = [p for i, p in enumerate(self.names) if not self.single[i] and i not in self.special]
-        self.splitters = splitters(p.replace(SPACE, " ") for p in plain)
-        self.cut = Cutter(self.splitters.replace(" ", SPACE))
         #: What a piece stands for, U+2581 as a space.
         self.bytes = [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(self.names, self.single, strict=True)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
@@ -174,7 +168,9 @@ class Model:
         self.inner = np.array([bool(s) and b[0] & 0xC0 == 0x80 for b, s in zip(self.bytes, self.single, strict=True)])
         #: Sizes with U+2581 as its three bytes.
         self.wide = np.array([1 if b else len(p.encode()) for p, b in zip(self.names, self.single, strict=True)], np.int64)
-        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.unusual = np.array([i in self.special for i in range(size)])
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def spans(self, ids, sizes):
         """Starts and ends of pieces laid end to end; single bytes of one character end at its last."""
@@ -192,62 +188,27 @@ class Model:
             ends = np.where(single & ~last, starts, ends)
         return starts, ends
 
-    def learn(self, segments: list[str]) -> dict[str, tuple[bytes, bytes, bytes]]:
-        """(ids, starts, ends) of segments, as bytes of 32-bit numbers; spaces count one byte."""
+    def plain(self, texts: list[str]):
+        """ids, starts, ends and counts of texts that hold no U+2581, by a model whose map is empty: a space is one byte of the source."""
         import numpy as np
 
-        found = self.merging.encode(segments, num_threads=1)
+        found = self.merging.encode([SPACE + t.replace(" ", SPACE) if t else "" for t in texts], return_type="numpy", num_threads=1)
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))
+        ids = np.concatenate([np.zeros(0, np.int32), *found])
+        if not len(ids):
+            return ids, ids, ids, counts
         starts, ends = self.spans(ids, self.sizes)
-        upto = np.cumsum(counts)
-        before = np.repeat(starts[np.minimum(upto - counts, max(len(ids) - 1, 0))], counts) if len(ids) else starts
-        flat = [x.astype(np.int32).tobytes() for x in (ids, starts - before, ends - before)]
-        at, out = 0, {}
-        for segment, to in zip(segments, (4 * upto).tolist(), strict=True):
-            out[segment] = tuple(x[at:to] for x in flat)
-            at = to
-        return out
-
-    def plain(self, texts: list[str]):
-        """ids, starts, ends and counts of texts that hold no U+2581, by a model whose map is empty."""
-        import numpy as np
-
-        slots: dict[str, int] = {}
-        index, counts = [], []
-        for text in texts:
-            parts = self.cut(SPACE + text.replace(" ", SPACE)) if text else []
-            counts.append(len(parts))
-            index.extend([slots.setdefault(p, len(slots)) for p in parts])
-        new = [p for p in slots if p not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(slots)
-        fresh = self.learn(new)
-        self.known.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST)
-        found = [self.known.get(p) or fresh[p] for p in slots]
-        flat = [np.frombuffer(b"".join(f[k] for f in found), np.int32) for k in range(3)]
-        lengths = np.array([len(f[0]) // 4 for f in found], np.int64)
-        widths = np.array([len(p.encode()) - 2 * p.count(SPACE) for p in slots], np.int64)
-        index = np.array(index, np.int64)
-        places = gathered(np.cumsum(lengths) - lengths, lengths, index)
-        # Where each segment starts in its text; the space before the text is not there.
-        segment_of = np.repeat(np.arange(len(texts)), counts)
-        upto = np.cumsum(widths[index]) if len(index) else np.zeros(0, np.int64)
-        begins = upto - widths[index] if len(index) else upto
-        first = np.cumsum(counts) - counts
-        base = begins[np.minimum(first, max(len(begins) - 1, 0))] if len(begins) else np.zeros(len(texts), np.int64)
-        shift = np.repeat(begins - base[segment_of] - 1, lengths[index]) if len(index) else begins
-        per_text = np.bincount(segment_of, weights=lengths[index], minlength=len(texts)).astype(np.int64) if len(index) else np.zeros(len(texts), np.int64)
-        return flat[0][places], np.maximum(flat[1][places] + shift, 0).astype(np.int32), np.maximum(flat[2][places] + shift, 0).astype(np.int32), per_text
+        # The space before the text is not there.
+        first = np.minimum(np.cumsum(counts) - counts, len(ids) - 1)
+        shift = np.repeat(starts[first] + 1, counts)
+        return ids, np.maximum(starts - shift, 0).astype(np.int32), np.maximum(ends - shift, 0).astype(np.int32), counts
 
     def aligned(self, text: str):
         """ids, starts and ends of any text, through the places of its normalised bytes."""
         import numpy as np
 
         normal, places = self.normalise(text)
-        parts = self.merging.encode(self.cut(normal), num_threads=1)
-        ids = np.array([i for p in parts for i in p], np.int32)
+        ids = np.array(self.merging.encode(normal, num_threads=1), np.int32)
         starts, ends = self.spans(ids, self.wide)
         places = np.array(places, np.int64)
         first, last = places[starts], places[ends]
@@ -263,17 +224,28 @@ class Model:
         empty = [np.zeros(0, np.int32)]
         return (*(np.concatenate([*empty, *(p[k] for p in parts)]) for k in range(3)), np.array([len(p[0]) for p in parts], np.int64))
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library's decode: where ids are ordinary pieces that make whole characters, by their bytes."""
-        if not self.special.isdisjoint(ids):
-            return self.library.decode(ids)
-        try:
-            text = b"".join(map(self.bytes.__getitem__, ids)).decode()
-        except UnicodeDecodeError:
-            return self.library.decode(ids)
-        if not self.normalise.plain:
-            return self.library.decode(ids)
-        return text[1:] if text.startswith(" ") and not self.single[ids[0]] else text
+    def decode(self, ids, counts) -> list[str]:
+        """Texts of ids laid end to end, as the library's decode: by bytes where they are ordinary pieces that make whole characters."""
+        import numpy as np
+
+        ends = np.append(0, np.cumsum(counts))
+        upto = np.append(0, np.cumsum(self.sizes[ids]))[ends].tolist()
+        data = self.flat[gathered(self.begins, self.sizes, ids)].tobytes()
+        odd = np.append(0, np.cumsum(self.unusual[ids]))[ends]
+        byte, out = np.append(self.single[ids], False)[ends].tolist(), []
+        for k, a in enumerate(ends[:-1].tolist()):
+            text = None
+            if odd[k] == odd[k + 1] and self.normalise.plain:
+                try:
+                    text = data[upto[k] : upto[k + 1]].decode()
+                except UnicodeDecodeError:
+                    pass
+            if text is None:
+                text = self.library.decode(ids[a : int(ends[k + 1])].tolist())
+            elif text.startswith(" ") and not byte[k]:
+                text = text[1:]
+            out.append(text)
+        return out
 
 
 _models: dict[str, Model] = {}
@@ -330,14 +302,21 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         own = model(path)
         for batch in batches:
-            ids = batch.column(1)
-            step = max(1, min(batch.num_rows, 512))
-            for a in range(0, batch.num_rows, step):
-                part = ids[a : a + step]
-                texts = [own.decode(x) if x else "" for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + step], part, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.append(0, np.cumsum(counts))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + BATCH, side="right")) - 1)
+                ids = batch.column(1)[a:b]
+                texts = own.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+                a = b
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
