@@ -43,12 +43,17 @@ def _span(bits: Column) -> Column:
     return F.length(F.bin(bits)) - F.length(F.bin(bits.bitwiseAND(-bits)))
 
 
-def alike(kind: Column, source_a: Column, good_a: Column, source_b: Column, good_b: Column, found: Column) -> Column:
-    """a is the later scanned; good: its number of valid frames; found: the matches of a's frames with b's."""
+def bounds(kind: Column, good_a: Column, good_b: Column) -> tuple[Column, Column]:
+    """How many frames of either video must be used, and how far apart they must lie; good: numbers of valid frames."""
     comparable = F.least(good_a, good_b)
     percent = F.when(kind == "SCREEN_RECORDING", 45).otherwise(35)
     needed = F.when(comparable <= 2, 1).when(comparable <= 5, 2).otherwise(F.greatest(F.lit(3), F.ceil(comparable * percent / 100)))
-    span = F.when(comparable <= 2, 0).when(comparable <= 5, 1).otherwise(SPREAD)
+    return needed, F.when(comparable <= 2, 0).when(comparable <= 5, 1).otherwise(SPREAD)
+
+
+def alike(kind: Column, source_a: Column, good_a: Column, source_b: Column, good_b: Column, found: Column) -> Column:
+    """a is the later scanned; good: its number of valid frames; found: the matches of a's frames with b's."""
+    needed, span = bounds(kind, good_a, good_b)
     # The closest matches first; more matches only widen both spans, so the end decides.
     best = _used(F.sort_array(found))
     reference = (F.bit_count(best["a"]) >= needed) & (F.least(_span(best["a"]), _span(best["b"])) >= span)

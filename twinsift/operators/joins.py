@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinsift import schema
 from twinsift.functions import fingerprint as fp
 from twinsift.functions import video_rules as rules
+from twinsift.operators import compare
 from twinsift.storage import kept
 
 #: Rows from which the axes of colour cells are chosen, their number, and most and least rows of a tile; none changes a result.
@@ -86,53 +87,83 @@ def _close(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Colum
     return _joined(keyed(a, ""), keyed(b, "b_"), ["version", "s", "v"], which & (distance <= direct) & (first == F.col("s")))
 
 
-def _far(a: DataFrame, b: DataFrame, kind: str, which: Column, distance: Column, colors: Column) -> DataFrame:
+def _far(left: DataFrame, right: DataFrame | None, kind: str) -> DataFrame:
     """The other pairs: all are close in colour.
 
     Each channel's shares sum to 16, so the sum over any set of shares moves by less than half of the colour limit + 1:
-    cells of that width along each axis, one side in its own, the other in its own and all neighbours, so a pair meets
-    once. Crowded cells are cut into tiles of at most about TILE rows by TILE rows, less where tasks would be idle.
+    cells of that width along each axis, one side in its own, the other in its own and its neighbours, so a pair meets
+    once. Where both sides are the same rows only half of the neighbours are taken, and of two rows of one cell only one
+    asks. Crowded cells are cut into tiles of at most about TILE rows by TILE rows, less where tasks would be idle; a
+    tile is compared as arrays.
     """
-    most, direct, ranges = schema.LIMITS[kind]
-    width = (max(limit for *_, limit in ranges) + 1) / 2 * (1 + 1e-9)
-    axes = _axes(a)
-    cell = lambda p: [F.floor(sum((F.coalesce(F.get(f"{p}color_hash", F.lit(i)), F.lit(0.0)) for i in axis), F.lit(0.0)) / width).cast("int") for axis in axes]
+    width = (max(limit for *_, limit in schema.LIMITS[kind][2]) + 1) / 2 * (1 + 1e-9)
+    axes, spark = _axes(left), left.sparkSession
     names = [f"c{i}" for i in range(len(axes))]
-    left = a.select("*", *(c.alias(n) for n, c in zip(names, cell(""))))
-    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(axes))))
-    right = b.select("*", *(c.alias(f"o{i}") for i, c in enumerate(cell("b_"))), F.explode(steps).alias("step"))
-    right = right.select(*b.columns, *((F.col(f"o{i}") + F.col("step")[i]).alias(f"b_{n}") for i, n in enumerate(names)))
-    own, other = ["version", *names], [f"b_{n}" for n in ("version", *names)]
+    own = ["version", *names]
+    cells = [F.floor(sum((F.coalesce(F.get("color_hash", F.lit(i)), F.lit(0.0)) for i in axis), F.lit(0.0)) / width).cast("int").alias(n) for n, axis in zip(names, axes, strict=True)]
+    row = ["id", "image_hash", "color_hash"]
+    steps = list(itertools.product((-1, 0, 1), repeat=len(axes)))
+    if right is None:
+        steps = [step for step in steps if step > (0,) * len(axes)]
+    asks = left.select("version", *row, *cells)
+    around = (left if right is None else right).select("version", *row, *cells).withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, step)) for step in steps))))
+    around = around.select("version", *row, *((F.col(n) + F.col("step")[i]).alias(n) for i, n in enumerate(names)))
     # One row a cell: their number is bounded by the range of the shares.
-    spark = a.sparkSession
-    sizes = left.groupBy(*own).agg(F.count("*").alias("rows")).join(right.groupBy(*(F.col(o).alias(n) for o, n in zip(other, own))).agg(F.count("*").alias("b_rows")), own).collect()
+    inside = {tuple(r[: len(own)]): r["n"] for r in asks.groupBy(*own).agg(F.count("*").alias("n")).collect()}
+    beside = {tuple(r[: len(own)]): r["n"] for r in around.groupBy(*own).agg(F.count("*").alias("n")).collect()}
+    work = sum(n * beside.get(c, 0) + (n * n // 2 if right is None else 0) for c, n in inside.items())
     tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    side = max(1, min(TILE, max(LEAST, math.isqrt(sum(r["rows"] * r["b_rows"] for r in sizes) // tasks))))
+    side = max(1, min(TILE, max(LEAST, math.isqrt(work // tasks))))
     kinds = ", ".join(f"{n} int" for n in own)
-    sizes = spark.createDataFrame([(*r[: len(own)], -(-r["rows"] // side), -(-r["b_rows"] // side)) for r in sizes], f"{kinds}, rows long, b_rows long")
-    tile = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    sizes = F.broadcast(spark.createDataFrame([(*c, -(-n // side), -(-beside.get(c, 0) // side)) for c, n in inside.items()], f"{kinds}, m long, b_m long"))
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.join(F.broadcast(sizes), own).withColumn("tile", tile(a, "rows")).withColumn("other_tile", every("b_rows")).drop("rows", "b_rows")
-    right = right.join(F.broadcast(sizes.toDF(*other, "rows", "b_rows")), other).withColumn("b_other_tile", tile(b, "b_rows")).withColumn("b_tile", every("rows")).drop("rows", "b_rows")
-    return _joined(left, right, [*own, "tile", "other_tile"], which & (distance > direct) & (distance < most) & fp.is_similar(kind, distance, colors))
+    keys = [*own, "part", "tile", "other_tile"]
+    put = lambda df, part, tile, other, role: df.select(*own, F.lit(part).alias("part"), tile.alias("tile"), other.alias("other_tile"), role.alias("role"), *row)
+    asks, around = asks.join(sizes, own), around.join(sizes, own)
+    t, o = F.col("t"), F.col("o")
+    a = asks.where("b_m > 0").select("*", number("m").alias("t"), every("b_m").alias("o"))
+    b = around.select("*", number("b_m").alias("o"), every("m").alias("t"))
+    rows = put(a, 1, t, o, F.lit(1)).unionByName(put(b, 1, t, o, F.lit(2)))
+    if right is None:
+        c = asks.select("*", number("m").alias("t"), every("m").alias("o"))
+        rows = rows.unionByName(put(c, 0, F.least(t, o), F.greatest(t, o), F.when(t == o, 0).when(t < o, 1).otherwise(2)))
+    return compare.tiles(rows, keys, kind)
+
+
+def near(left: DataFrame, right: DataFrame | None, kind: str) -> DataFrame:
+    """(id, b_id, distance, colors) of rows of left (id, version, image_hash, color_hash) and of right that look alike.
+
+    Without right: the pairs within left, each once, in any order. No pair is lost. ids are unique on each side."""
+    first = left.select(*(F.col(c) for c in ("id", "version", "image_hash", "color_hash")))
+    second = (left if right is None else right).select(*(F.col(c).alias(f"b_{c}") for c in ("id", "version", "image_hash", "color_hash")))
+    distance, colors = fp.hamming(F.col("image_hash"), F.col("b_image_hash")), fp.color_distance(F.col("color_hash"), F.col("b_color_hash"))
+    close = _close(first, second, kind, F.col("id") < F.col("b_id") if right is None else F.lit(True), distance)
+    return close.select("id", "b_id", distance.alias("distance"), colors.alias("colors")).unionByName(_far(left, right, kind))
 
 
-def near(left: DataFrame, right: DataFrame, kind: str, which: Column) -> DataFrame:
-    """Rows of left (version, image_hash, color_hash, ...) with those of right (the same, prefixed b_) that look alike.
+LOOK = ["version", "image_hash", "color_hash"]
 
-    which: what must hold besides. Each pair comes once, with its distance and colour distance. Equality joins that lose
-    no pair; the bit test stands before the colour test."""
-    distance, colors = fp.hamming(F.col("image_hash"), F.col("b_image_hash")), fp.color_distance(F.col("color_hash"), F.col("b_color_hash"))
-    found = _close(left, right, kind, which, distance).unionByName(_far(left, right, kind, which, distance, colors))
-    return found.withColumns({"distance": distance, "colors": colors})
+
+def looks(rows: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that look the same are one: (id, version, image_hash, color_hash), and the members (id, and rows' columns)."""
+    found = kept(rows.groupBy(*LOOK).agg(F.min(member).alias("id")).select("id", *LOOK), "looks")
+    return found, kept(rows.join(found, LOOK).drop(*LOOK), "members")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, kind: str, ordered: bool = True) -> DataFrame:
-    """(first, second) asset ids of similar images of one kind, each pair once. Both: asset_id, image_hash, color_hash."""
+    """(first, second) asset ids of similar images of one kind, each pair once. Both: asset_id, image_hash, color_hash.
+
+    ordered: right has the same rows as left. Equal looks are compared as one and get their members back at the end."""
     good = lambda df: comparable(df).where(fp.is_valid(F.col("image_hash"), F.col("color_hash"))).select("asset_id", _version(df), "image_hash", "color_hash")
-    a, b = good(left), good(right)
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
-    found = near(a, b, kind, F.col("asset_id") < F.col("b_asset_id") if ordered else F.col("asset_id") != F.col("b_asset_id"))
+    seen, members = looks(good(left), "asset_id")
+    others, other_members = (None, members) if ordered else looks(good(right), "asset_id")
+    b = other_members.select(F.col("id").alias("b_id"), F.col("asset_id").alias("b_asset_id"))
+    found = near(seen, others, kind).select("id", "b_id").join(members, "id").join(b, "b_id").select("asset_id", "b_asset_id")
+    if ordered:
+        same = members.join(b, F.col("id") == F.col("b_id")).where("asset_id < b_asset_id").select("asset_id", "b_asset_id")
+        found = found.unionByName(same)
+    found = found.where("asset_id <> b_asset_id")
     pairs = found.select(F.least("asset_id", "b_asset_id").alias("first_asset_id"), F.greatest("asset_id", "b_asset_id").alias("second_asset_id"))
     return pairs if ordered else pairs.distinct()
 
@@ -167,18 +198,46 @@ def _later() -> Column:
 
 
 def frame_matches(videos: DataFrame, frames: DataFrame) -> DataFrame:
-    """(later_id, earlier_id, matches) of videos with a similar pair of frames, whatever their durations and aspects.
+    """The similar pairs of frames of two videos, whatever their durations: distance, colors, and for the later and the
+    earlier the id, source, number of valid frames and number of the frame (i, j); kind of the pair.
 
-    Every rule for alike videos asks for one such pair at least, so none is lost. Frames meet as images do; recordings
-    have the same limits. matches: all similar pairs of frames, at most the frames of one times those of the other."""
+    Every rule for alike videos asks for one such pair at least, so none is lost. Frames meet as images do, equal ones
+    as one; recordings have the same limits."""
     rows = comparable(videos)
-    each = frames.join(rows.select("asset_id", "media_store_id", "date_added_s", _version(rows)), "asset_id")
-    each = each.select("asset_id", "media_store_id", "date_added_s", "version", F.posexplode(F.arrays_zip("hashes", "colors")).alias("frame", "f"))
-    each = each.select("asset_id", "media_store_id", "date_added_s", "version", "frame", F.col("f.hashes").alias("image_hash"), F.col("f.colors").alias("color_hash")).where(F.col("image_hash") != schema.INVALID_HASH)
-    each = kept(each, "frames")
-    found = near(each, each.select(*(F.col(c).alias(f"b_{c}") for c in each.columns)), "VIDEO", _later())
-    match = F.struct("distance", "colors", F.abs(F.col("frame") - F.col("b_frame")).alias("gap"), F.col("frame").alias("i"), F.col("b_frame").alias("j"))
-    return found.groupBy(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id")).agg(F.collect_list(match).alias("matches"))
+    good = F.size(F.filter("hashes", lambda h: h != schema.INVALID_HASH)).alias("good")
+    own = ["asset_id", "media_store_id", "date_added_s", "kind", "source", "good"]
+    each = frames.select("asset_id", "source", good, F.arrays_zip("hashes", "colors").alias("fs")).join(rows.select("asset_id", "media_store_id", "date_added_s", "kind", _version(rows)), "asset_id")
+    each = each.select(*own, "version", F.posexplode("fs").alias("frame", "f"))
+    each = each.select(*own, "version", "frame", F.col("f.hashes").alias("image_hash"), F.col("f.colors").alias("color_hash")).where(F.col("image_hash") != schema.INVALID_HASH)
+    # A video has at most 62 frames.
+    seen, members = looks(each.withColumn("member", F.col("asset_id") * 64 + F.col("frame")), "member")
+    side = [*own, "frame"]
+    b = members.select(F.col("id").alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in side))
+    pairs = near(seen, None, "VIDEO")
+    equal = seen.select("id", F.col("id").alias("b_id"), F.lit(0).alias("distance"), F.when(F.size("color_hash") >= compare.CHANNELS, F.lit(0).cast("long")).alias("colors"))
+    both = pairs.join(members.select("id", *side), "id").join(b, "b_id").where("asset_id <> b_asset_id")
+    same = equal.join(members.select("id", *side), "id").join(b, "b_id").where("asset_id < b_asset_id")
+    found = both.unionByName(same)
+    later = _later()
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    recording = (F.col("kind") == "SCREEN_RECORDING") | (F.col("b_kind") == "SCREEN_RECORDING")
+    ends = [c for name, out in (("asset_id", "id"), ("source", "source"), ("good", "good")) for c in (pick(name, f"b_{name}").alias(f"later_{out}"), pick(f"b_{name}", name).alias(f"earlier_{out}"))]
+    return found.select(*ends, F.when(recording, "SCREEN_RECORDING").otherwise("VIDEO").alias("kind"), "distance", "colors", pick("frame", "b_frame").alias("i"), pick("b_frame", "frame").alias("j"))
+
+
+def _by_frames(found: DataFrame) -> DataFrame:
+    """(kind, later_id, earlier_id) of videos that are alike by their similar pairs of frames."""
+    pair, spark = ["kind", "later_id", "earlier_id"], found.sparkSession
+    reference = (F.col("later_source") == "REFERENCE_FRAMES") & (F.col("earlier_source") == "REFERENCE_FRAMES")
+    needed, spread = rules.bounds(F.col("kind"), F.col("later_good"), F.col("earlier_good"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    first = compare.alike_videos(found.where(reference).withColumns({"needed": needed, "spread": spread}), tasks)
+    match = F.struct("distance", "colors", F.abs(F.col("i") - F.col("j")).alias("gap"), "i", "j")
+    ends = ["later_source", "later_good", "earlier_source", "earlier_good"]
+    if not hasattr(found, "kept_at"):
+        return first
+    other = found.where(~reference).groupBy(*pair, *ends).agg(F.collect_list(match).alias("matches")).where(rules.alike(F.col("kind"), *map(F.col, ends), F.col("matches")))
+    return first.unionByName(other.select(*first.columns))
 
 
 def video_candidates(videos: DataFrame) -> DataFrame:
@@ -222,7 +281,10 @@ def video_edges(videos: DataFrame, frames: DataFrame, band: bool | None = None)
         pairs = video_candidates(comparable(videos)).join(side("later", *own), "later_id").join(side("earlier", *own), "earlier_id").where("later_version = earlier_version")
         pairs = pairs.withColumn("matches", rules.matches("VIDEO", *(F.col(f"{n}_{c}") for n in ("later", "earlier") for c in own)))
     else:
-        pairs = frame_matches(videos, frames).join(side("later"), "later_id").join(side("earlier"), "earlier_id")
+        found = frame_matches(videos, frames)
+        if not frames.where("source <> 'REFERENCE_FRAMES'").isEmpty():
+            found = kept(found, "matches")  # read by both rules
+        return canonical(_by_frames(found).select(F.lit("SIMILAR").alias("category"), "kind", F.col("later_id").alias("first_asset_id"), F.col("earlier_id").alias("second_asset_id")))
     kind = F.when((F.col("later_kind") == "SCREEN_RECORDING") | (F.col("earlier_kind") == "SCREEN_RECORDING"), "SCREEN_RECORDING").otherwise("VIDEO")
     alike = rules.alike(kind, F.col("later_source"), F.col("later_good"), F.col("earlier_source"), F.col("earlier_good"), F.col("matches"))
     found = pairs.withColumn("kind", kind).where(alike)
