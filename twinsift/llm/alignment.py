@@ -5,16 +5,18 @@ itself). Texts are cut before runs of white space across which neither vocabular
 the pieces of both, and A's words never reach across the start of such a run. So tokens, groups and links of a text are those
 of its segments, one after the other:
 
-1. documents become blocks: a dictionary of segments and their numbers in order, written once;
-2. distinct segments of all blocks are tokenised and aligned once. Groups end where tokens of A and B both end; the last
-   tokens of a group are its link, as they are the two whose byte ranges end together;
-3. links are counted by id pair, weighted with how often their segment occurs; each segment gets the number of its
-   links that are the best of their B id, and the sum of their counts;
-4. the alignments are joined back to each block's dictionary, and the documents of a block are composed from them.
-
-Bounds: a block holds about `BLOCK` characters (at least one document); nothing is collected or broadcast. A segment
-has at most one row in each block, and id pairs are salted where they meet the links, so common segments and pairs are
-no hot keys.
+1. documents become blocks: a dictionary of segments and the numbers of the segments in order, written once. Each
+   dictionary is dealt out to buckets by the segments' hash, a row for each bucket;
+2. in a bucket the distinct segments of all blocks are tokenised and aligned once. Groups end where tokens of A and B both
+   end; the last tokens of a group are its link, as they are the two whose byte ranges end together;
+3. links are counted by id pair, weighted with how often their segment occurs: in the bucket first, then over all. The
+   counts are joined back to the buckets, where each segment gets the number of its links that are the best of
+   their B id, and the sum of their counts;
+4. the alignments are joined back to the blocks, and the documents of a block are composed from them.
+
+Bounds: a block holds about `BLOCK` characters (at least one document), and there is a bucket for each `BUCKET` bytes of
+text, so the distinct segments that meet in one do not grow; a segment has at most one entry for each block, an id
+pair at most one for each bucket, so common ones are no hot keys. Nothing is collected or broadcast but the size of the input.
 
 Result: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (`a1,a2|b1;a3|b2,b3`: ids of A and B).
 
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import sentencepieces
-from twinsift.llm.common import discard, stored, table
+from twinsift.llm.common import stored, table
 from twinsift.llm.segments import Cutter, splitters
 from twinsift.llm.tokens import BYTES, vocabulary_path
 
 A, B = "byte_bpe_50k.json", sentencepieces.VOCABULARY
-BLOCK, SALTS = 1 << 22, 16
+BLOCK, BUCKET, JOINED = 1 << 22, 1 << 23, 1 << 16
 
 
 class Both:
@@ -67,7 +69,8 @@ class Both:
             raise ValueError("the first vocabulary lacks bytes")
         self.sizes_a = np.array(list(map(len, self.bytes_a)), np.int64)
         plain = [x.decode(errors="replace") for i, x in enumerate(self.b.bytes) if i not in self.b.special]
-        self.cut = Cutter(splitters([x.decode(errors="replace") for x in self.bytes_a] + plain))
+        self.splitters = splitters([x.decode(errors="replace") for x in self.bytes_a] + plain)
+        self.cut = Cutter(self.splitters)
 
     def segments(self, text: str | None) -> list[str]:
         """The segments of a space and the text; none where B changes the text."""
@@ -76,12 +79,40 @@ class Both:
             return []
         return self.cut(" " + text)
 
+    def of_a(self, segments: list[str]) -> list[list[int]]:
+        """A's ids of segments. Those that start with a splitter and end otherwise are laid end to end: A cuts there as well."""
+        import numpy as np
+
+        out: list = [None] * len(segments)
+        line, size = [], 0
+
+        def put() -> None:
+            ids = self.a.encode("".join(segments[i] for i in line), add_special_tokens=False).ids
+            ends = np.cumsum(self.sizes_a[np.array(ids, np.int64)])
+            stops = np.searchsorted(ends, np.cumsum([len(segments[i].encode()) for i in line])) + 1
+            at = 0
+            for i, stop in zip(line, stops.tolist(), strict=True):
+                out[i], at = ids[at:stop], stop
+
+        for i, segment in enumerate(segments):
+            if segment[0] in self.splitters and not segment[-1].isspace():
+                line.append(i)
+                size += len(segment)
+                if size >= JOINED:
+                    put()
+                    line, size = [], 0
+            else:
+                out[i] = self.a.encode(segment, add_special_tokens=False).ids
+        if line:
+            put()
+        return out
+
     def align(self, segments: list[str]):
         """For each segment: tokens of A, of B, groups as text; then the links' ids and the number of links of each."""
         import numpy as np
 
         mark = sentencepieces.SPACE
-        of_a = [x.ids for x in self.a.encode_batch(segments, add_special_tokens=False)]
+        of_a = self.of_a(segments)
         of_b = self.b.merging.encode([s.replace(" ", mark) for s in segments], num_threads=1)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b))
         ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (of_a, of_b))
@@ -115,20 +146,52 @@ def both(a: str, b: str) -> Both:
     return _both[a, b]
 
 
-BLOCKS = "block long, doc_ids array<long>, sizes array<int>, ids binary, segments array<string>, counts array<long>"
-ALIGNED = "segment_id long, segment string, n long, n_a int, n_b int, groups string, links array<struct<a:int,b:int>>"
+BLOCKS = "block long, doc_ids array<long>, sizes array<int>, ids binary, bucket int, at binary, segments array<string>, counts binary"
+MET = "bucket int, block long, at binary, codes binary, n_a binary, n_b binary, n binary, links binary, groups binary, pair int, a int, b int, count long"
+ANSWERS = "block long, at binary, numbers binary, sums binary, groups binary"
 COMPOSED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-def _blocks(docs: DataFrame, a: str, b: str, size: int) -> DataFrame:
+def _schema(kind: str):
+    """The Arrow schema of a list of names and types as above."""
+    import pyarrow as pa
+
+    known = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(f.split()[0], known[f.split()[1]]) for f in kind.split(", ")])
+
+
+def _batch(schema, rows: int, **columns):
+    """A batch with the columns given; the others are null."""
+    import pyarrow as pa
+
+    held = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([held(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def _packed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _blocks(docs: DataFrame, a: str, b: str, size: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: a block's documents, and the part of its dictionary in one bucket."""
+
     def run(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        own, number, begun, total = both(a, b), TaskContext.get().partitionId() << 32, [], 0
+        own, schema, number, begun, total = both(a, b), _schema(BLOCKS), TaskContext.get().partitionId() << 32, [], 0
 
-        def flush():
+        def flush() -> Iterator:
             slots: dict[str, int] = {}
             sizes, ids = [], []
             for _, text in begun:
@@ -136,18 +199,18 @@ def _blocks(docs: DataFrame, a: str, b: str, size: int) -> DataFrame:
                 sizes.append(len(parts))
                 ids.extend([slots.setdefault(p, len(slots)) for p in parts])
             ids = np.array(ids, np.int32)
-            counts = np.bincount(ids, minlength=len(slots)) if len(ids) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([[d for d, _ in begun]], pa.list_(pa.int64())),
-                    pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([ids.tobytes()], pa.binary()),
-                    pa.array([list(slots)], pa.list_(pa.string())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())),
-                ],
-                ["block", "doc_ids", "sizes", "ids", "segments", "counts"],
-            )
+            yield _batch(schema, 1, block=[number], doc_ids=[[d for d, _ in begun]], sizes=[sizes], ids=[_packed(ids.tobytes())])
+            if not slots:
+                return
+            counts, found = np.bincount(ids, minlength=len(slots)), list(slots)
+            of = np.fromiter((zlib.crc32(p.encode()) for p in found), np.int64, len(found)) % buckets
+            order = np.argsort(of, kind="stable")
+            stops = np.append(np.flatnonzero(np.diff(of[order])) + 1, len(order)).tolist()
+            start = 0
+            for stop in stops:
+                part = order[start:stop]
+                start = stop
+                yield _batch(schema, 1, block=[number], bucket=[int(of[part[0]])], at=[_packed(np.diff(part, prepend=0).astype(np.int32).tobytes())], segments=[[found[i] for i in part.tolist()]], counts=[_packed(counts[part].astype(np.int64).tobytes())])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -155,50 +218,69 @@ def _blocks(docs: DataFrame, a: str, b: str, size: int) -> DataFrame:
                 # An empty text has its share too, so that a block has a bounded number of documents.
                 total += len(begun[-1][1] or "") + 64
                 if total >= size:
-                    yield flush()
+                    yield from flush()
                     number, begun, total = number + 1, [], 0
         if begun:
-            yield flush()
+            yield from flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def _aligned(segments: DataFrame, a: str, b: str) -> DataFrame:
-    """segments (segment, n) with a number, tokens, groups and links."""
+def _met(dictionaries: DataFrame, a: str, b: str) -> DataFrame:
+    """By bucket: the alignments of its segments, which of them each block has, and how often ids are linked in it."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(table):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        own, number = both(a, b), TaskContext.get().partitionId() << 40
-        pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
-        schema = pa.schema([("segment_id", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("links", pa.list_(pair))])
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            for i, j in sentencepieces.parts(found):
-                n_a, n_b, texts, link_a, link_b, n = own.align(found[i:j])
-                links = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (link_a, link_b)], fields=list(pair))
-                links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), links)
-                ids = pa.array(np.arange(number, number + j - i))
-                yield pa.RecordBatch.from_arrays([ids, batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(texts, pa.string()), links], schema=schema)
-                number += j - i
-
-    return segments.select("segment", "n").mapInArrow(run, ALIGNED)
 
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
+        own, schema = both(a, b), _schema(MET)
+        bucket = [table.column("bucket")[0].as_py()]
+        lists = table.column("segments").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        codes, segments = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        weights = np.frombuffer(b"".join(map(_unpacked, table.column("counts").to_pylist())), np.int64)
+        times = np.zeros(len(segments), np.int64)
+        np.add.at(times, codes, weights)
+        n_a, n_b, texts, link_a, link_b, n = own.align(segments)
+        pairs, links = np.unique(link_a << 32 | link_b, return_inverse=True)
+        count = np.zeros(len(pairs), np.int64)
+        np.add.at(count, links, np.repeat(times, n))
+        out = [_batch(schema, 1, bucket=bucket, **{c: [_packed(x.astype(np.int32).tobytes())] for c, x in (("n_a", n_a), ("n_b", n_b), ("n", n), ("links", links))}, groups=[_packed("\n".join(texts).encode())])]
+        stops = np.cumsum(lists.value_lengths().to_numpy())
+        of = [_packed(codes[stop - k : stop].tobytes()) for stop, k in zip(stops.tolist(), lists.value_lengths().to_pylist(), strict=True)]
+        out.append(_batch(schema, len(of), bucket=bucket * len(of), block=table.column("block").to_pylist(), at=table.column("at").to_pylist(), codes=of))
+        out.append(_batch(schema, len(pairs), bucket=bucket * len(pairs), pair=np.arange(len(pairs)), a=pairs >> 32, b=pairs & 0xFFFFFFFF, count=count))
+        return pa.Table.from_batches(out)
+
+    return dictionaries.select("bucket", "block", "at", "segments", "counts").groupBy("bucket").applyInArrow(run, MET)
+
+
+def pair_counts(met: DataFrame) -> DataFrame:
     """(a, b, count, best) of id pairs that are linked: in how many links of the corpus, and whether no other pair of b has more."""
-    pairs = aligned.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("count"))
+    pairs = met.groupBy("a", "b").agg(F.sum("count").alias("count"))
     highest = pairs.groupBy("b").agg(F.max("count").alias("most"))
     return pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def _rated(aligned: DataFrame) -> DataFrame:
-    """(segment_id, n_best, count_sum) of segments."""
-    pairs = pair_counts(aligned).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    links = aligned.select("segment_id", F.explode("links").alias("x")).select("segment_id", "x.a", "x.b", F.pmod(F.xxhash64("segment_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return links.join(pairs, ["a", "b", "salt"]).groupBy("segment_id").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+def _answers(key, met, rated):
+    """The alignments of a bucket's segments with their links' counts, for each of its blocks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    order = np.argsort(rated.column("pair").to_numpy())
+    best, count = (rated.column(c).to_numpy()[order].astype(np.int64) for c in ("best", "count"))
+    of = met.filter(pc.is_valid(met.column("n")))
+    n_a, n_b, n, links = (np.frombuffer(_unpacked(of.column(c)[0].as_py()), np.int32) for c in ("n_a", "n_b", "n", "links"))
+    upto = np.append(0, np.cumsum(n))
+    sums = [np.diff(np.append(0, np.cumsum(x[links]))[upto]) for x in (best, count)]
+    numbers, sums = np.stack([n_a, n_b, n]).astype(np.int32), np.stack(sums).astype(np.int64)
+    groups, schema, out = _unpacked(of.column("groups")[0].as_py()).split(b"\n"), _schema(ANSWERS), []
+    for row in met.filter(pc.is_valid(met.column("block"))).select(["block", "at", "codes"]).to_pylist():
+        codes = np.frombuffer(_unpacked(row["codes"]), np.int32)
+        held = _packed(b"\n".join([groups[i] for i in codes.tolist()]))
+        out.append(_batch(schema, 1, block=[row["block"]], at=[row["at"]], numbers=[_packed(numbers[:, codes].tobytes())], sums=[_packed(sums[:, codes].tobytes())], groups=[held]))
+    return pa.Table.from_batches(out, schema)
 
 
 def _composed(key, blocks, parts):
@@ -206,34 +288,38 @@ def _composed(key, blocks, parts):
     import numpy as np
     import pyarrow as pa
 
-    order = np.argsort(parts.column("at").to_numpy())
-    numbers = [parts.column(c).to_numpy()[order] for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
-    texts = parts.column("groups").to_pylist()
-    texts = [texts[i] for i in order.tolist()]
-    rows = []
+    at = [np.cumsum(np.frombuffer(_unpacked(x), np.int32)) for x in parts.column("at").to_pylist()]
+    size = sum(map(len, at))
+    numbers, texts = np.zeros((5, size), np.int64), np.empty(size, object)
+    for where, some, sums, groups in zip(at, *(parts.column(c).to_pylist() for c in ("numbers", "sums", "groups")), strict=True):
+        numbers[:3, where] = np.frombuffer(_unpacked(some), np.int32).reshape(3, -1)
+        numbers[3:, where] = np.frombuffer(_unpacked(sums), np.int64).reshape(2, -1)
+        texts[where] = _unpacked(groups).decode().split("\n")
+    texts, rows = texts.tolist(), []
     for doc_ids, sizes, ids in zip(*(blocks.column(c).to_pylist() for c in ("doc_ids", "sizes", "ids")), strict=True):
-        ids, at = np.frombuffer(ids, np.int32), 0
-        upto = [np.append(0, np.cumsum(x.astype(np.int64)[ids])) for x in numbers]
+        ids, at = np.frombuffer(_unpacked(ids), np.int32), 0
+        upto = [np.append(0, np.cumsum(x[ids])) for x in numbers]
         for doc_id, n in zip(doc_ids, sizes, strict=True):
             a, b, groups, best, total = (int(u[at + n] - u[at]) for u in upto)
             rows.append((doc_id, a, b, groups, groups, best, total, ";".join([texts[i] for i in ids[at : at + n].tolist()])))
             at += n
-    names = [c.split()[0] for c in COMPOSED.split(", ")]
-    kinds = [pa.int64()] * 7 + [pa.string()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    schema = _schema(COMPOSED)
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def align(docs: DataFrame, a: str = A, b: str = B, block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, a: str = A, b: str = B, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups of every row of docs (doc_id, text)."""
-    a, b = vocabulary_path(a), vocabulary_path(b)
-    blocks = stored(_blocks(docs, a, b, block), "blocks")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("at", "x")).select("block", "at", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
-    aligned = stored(_aligned(each.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "aligned")
-    rated = stored(aligned.join(_rated(aligned), "segment_id").select("segment", "n_a", "n_b", F.size("links").alias("n_groups"), "n_best", "count_sum", "groups"), "rated")
-    discard(aligned)
-    parts = each.drop("n").join(rated, "segment").drop("segment")
-    held = docs.sparkSession.read.schema(blocks.schema).parquet(blocks.kept_at)
-    return held.select("block", "doc_ids", "sizes", "ids").groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_composed, COMPOSED)
+    a, b, spark = vocabulary_path(a), vocabulary_path(b), docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = stored(_blocks(docs, a, b, block, max(1, -(-size // bucket))), "blocks")
+    met = stored(_met(blocks.where("bucket is not null"), a, b), "aligned")
+    again = lambda df: spark.read.schema(df.schema).parquet(df.kept_at)
+    linked = met.where("pair is not null").select("bucket", "pair", "a", "b", "count")
+    rated = linked.drop("count").join(pair_counts(linked), ["a", "b"]).select("bucket", "pair", "count", "best")
+    aligned = again(met).where("pair is null").select("bucket", "block", "at", "codes", "n_a", "n_b", "n", "links", "groups")
+    answers = aligned.groupBy("bucket").cogroup(rated.groupBy("bucket")).applyInArrow(_answers, ANSWERS)
+    of_blocks = again(blocks).where("bucket is null").select("block", "doc_ids", "sizes", "ids")
+    return of_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_composed, COMPOSED)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
