@@ -14,7 +14,7 @@ the blocks each:
 The rest are joins: each candidate is cut after each word, the counts of both parts give its score; candidates
 inside longer ones that are about as frequent are dropped; the first of each language are ranked in two steps.
 
-Bounds: bitmaps have at most 2^`WIDEST` bits (8 MB) whatever the input: a thirty-second of its bytes, beyond that only
+Bounds: bitmaps have at most 2^`WIDEST` bits (2 MB) whatever the input: about a bit for 32 bytes, beyond that only
 Apriori prunes. They alone are collected and broadcast. A task holds a block of about `BLOCK` characters (at least one
 text), blocks begun of other languages up to four times that, and a byte for each bucket. The parts of
 candidates that are single words are salted; frequent phrases and words are pre-aggregated in the tasks.
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from twinsift.llm.common import discard, partitions, stored, table
 
 LEAST, LONGEST, TOP, INSIDE, SCALE = 30, 4, 2000, 80, 2_000_000
-BLOCK, CHUNK, NARROWEST, WIDEST = 1 << 22, 4096, 16, 26
+BLOCK, CHUNK, NARROWEST, WIDEST = 1 << 21, 4096, 16, 24
 SALTS = 16
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = bytes.maketrans(BREAKS, b"\xff" * len(BREAKS))
 
-BLOCKS = "lang string, words array<string>, counts array<long>, ids binary, chunk int, cells binary, n long"
+BLOCKS = "lang string, words array<string>, counts array<long>, ids binary, names binary, chunk int, cells binary, n long"
 COUNTS = "lang string, phrase string, chunk int, cells binary, n long"
 
 
@@ -101,12 +101,14 @@ class _Cells:
     def rows(self, schema) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=1).compress
         chunks = self.cells.reshape(-1, CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         for a in range(0, len(used), 1024):
             part = used[a : a + 1024]
-            columns = {"chunk": pa.array(part, pa.int32()), "cells": pa.array([chunks[i].tobytes() for i in part], pa.binary()), "n": pa.array(np.ones(len(part), np.int64))}
+            columns = {"chunk": pa.array(part, pa.int32()), "cells": pa.array([pack(chunks[i].tobytes()) for i in part], pa.binary()), "n": pa.array(np.ones(len(part), np.int64))}
             yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(part), f.type)) for f in schema], schema=schema)
 
 
@@ -130,14 +132,16 @@ def _bitmap(chunks: DataFrame, bits: int, least: int) -> bytes:
         def run(batches: Iterator) -> Iterator:
             import numpy as np
             import pyarrow as pa
+            import zstandard
 
             sums: dict = {}
+            pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 for chunk, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    more = np.minimum(np.frombuffer(cells, kind).astype(np.int64) * min(n, least), least)
-                    sums[chunk] = np.minimum(sums[chunk] + more, least) if chunk in sums else more
+                    more = np.minimum(np.frombuffer(unpack(cells), kind).astype(np.int64) * min(n, least), least)
+                    sums[chunk] = (np.minimum(sums[chunk] + more, least) if chunk in sums else more).astype(kind)
             for chunk, cells in sums.items():
-                held = np.packbits(cells >= least).tobytes() if last else cells.astype(kind).tobytes()
+                held = np.packbits(cells >= least).tobytes() if last else pack(cells.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([held], pa.binary()), pa.array([1], pa.int64())], ["chunk", "cells", "n"])
 
         return run
@@ -156,9 +160,10 @@ def _blocks(docs: DataFrame, bits: int, least: int, block: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        cells = _Cells(bits, least)
-        schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary()), ("n", pa.int64())])
+        cells, packed = _Cells(bits, least), zstandard.ZstdCompressor(level=1).compress
+        schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("names", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary()), ("n", pa.int64())])
         begun: dict[str, list[str]] = {}
         sizes: dict[str, int] = {}
 
@@ -174,7 +179,7 @@ def _blocks(docs: DataFrame, bits: int, least: int, block: int) -> DataFrame:
                 cells.add(_hashes(each, 2)[1][good[:-1] & good[1:]])
             counts = np.bincount(ids[good], minlength=len(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([1], pa.int64())],
+                [pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), *(pa.array([packed(x)], pa.binary()) for x in (ids.tobytes(), b"\n".join(words))), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([1], pa.int64())],
                 schema=schema,
             )
 
@@ -204,17 +209,20 @@ def _pass(blocks: DataFrame, k: int, shorter: bytes, buckets: bytes, bits: int,
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
+        import zstandard
 
+        unpacked = zstandard.ZstdDecompressor().decompress
         parts_set, own_set = (np.frombuffer(b, np.uint8) for b in told.value)
         cells = None if last else _Cells(bits, least)
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("chunk", pa.int32()), ("cells", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for row in range(batch.num_rows):
-                lang, ids = batch.column(0)[row].as_py(), np.frombuffer(batch.column(2)[row].as_py(), np.int32)
-                words = batch.column(1)[row].values
+                lang, ids = batch.column(0)[row].as_py(), np.frombuffer(unpacked(batch.column(2)[row].as_py()), np.int32)
+                names = unpacked(batch.column(1)[row].as_py()).split(b"\n")
+                words = pa.array(names, pa.string())
                 if len(ids) < k:
                     continue
-                each = np.append(_word_hashes(lang, [w.encode() for w in words.to_pylist()]), np.uint64(0))[ids]
+                each = np.append(_word_hashes(lang, names), np.uint64(0))[ids]
                 hashes, whole = _hashes(each, k if last else k + 1), ids >= 0
                 for j in range(1, k - 1):
                     whole = whole[: len(ids) - j] & (ids[j:] >= 0)
@@ -242,7 +250,7 @@ def _pass(blocks: DataFrame, k: int, shorter: bytes, buckets: bytes, bits: int,
         if not last:
             yield from cells.rows(schema)
 
-    found = blocks.where("chunk is null").select("lang", "words", "ids").mapInArrow(run, COUNTS)
+    found = blocks.where("chunk is null").select("lang", "names", "ids").mapInArrow(run, COUNTS)
     # Buckets of tasks that are alike are one row with a number; the others stay as they are.
     return found.groupBy("lang", "phrase", "chunk", "cells").agg(F.sum("n").alias("n")).where(f"chunk is not null or n >= {least}")
 
@@ -274,7 +282,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """(lang, phrase, k, n) of all phrases of up to `longest` words that occur `least` times or more, and (lang, n), all words."""
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(WIDEST, max(NARROWEST, (size // 32).bit_length()))
+        bits = min(WIDEST, max(NARROWEST, (size // 64).bit_length()))
     blocks = stored(_blocks(docs, bits, least, block), "blocks")
     each = blocks.where("chunk is null").select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
     counted = stored(each.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("n")), "words")
