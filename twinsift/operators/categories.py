@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift import schema
+from twinsift.operators import ranks
 
 # For each product category its kinds and its group category.
 PRODUCT = {
@@ -65,10 +66,13 @@ def page(assets: DataFrame, size: int, number: int) -> DataFrame:
 
 
 def deep_page(assets: DataFrame, size: int, number: int) -> DataFrame:
-    """The same page by rank within each kind, for listings that are paged by kind."""
-    order = Window.partitionBy("kind").orderBy(F.desc("created_at_ms"), F.desc("date_added_s"), F.desc("media_store_id"))
-    ranked = assets.withColumn("place", F.row_number().over(order))
-    return ranked.where((F.col("place") > size * number) & (F.col("place") <= size * (number + 1)))
+    """The same page within each kind, with places; of the ordered listing only the parts that hold the page are read."""
+    return ranks.listing(assets, ["kind"], [F.desc(c) for c in TIME]).between(size * number + 1, size * (number + 1))
+
+
+def page_after(assets: DataFrame, size: int, last: dict | None = None) -> DataFrame:
+    """The next page of assets, newest first, after the last row of the page before (None: the first page)."""
+    return ranks.after(assets, [(c, True) for c in TIME], last, size)
 
 
 BEST = [F.desc, ("quality_score", "is_favorite", "is_edited", "pixels", "size_bytes", "created_at_ms")]
@@ -128,14 +132,13 @@ def merged(live: DataFrame, cached: DataFrame) -> DataFrame:
 
 def category_groups(stats: DataFrame) -> DataFrame:
     """Groups with their place in the category, the latest first."""
-    order = Window.partitionBy("category", "group_kind").orderBy(F.desc("latest_ms"), F.desc("group_id"))
-    return stats.withColumn("place", F.row_number().over(order))
+    return ranks.listing(stats, ["category", "group_kind"], [F.desc("latest_ms"), F.desc("group_id")]).all()
 
 
 def display_order(assets: DataFrame) -> DataFrame:
     """Assets with their place among those of their kind, as displayed."""
-    order = Window.partitionBy("kind").orderBy(F.desc(F.greatest("created_at_ms", F.col("date_added_s") * 1000)), F.desc("created_at_ms"), F.desc("media_store_id"))
-    return assets.withColumn("place", F.row_number().over(order))
+    shown = F.greatest("created_at_ms", F.col("date_added_s") * 1000)
+    return ranks.listing(assets, ["kind"], [F.desc(shown), F.desc("created_at_ms"), F.desc("media_store_id")]).all()
 
 
 def scalar_counts(items: DataFrame, assets: DataFrame) -> DataFrame:

@@ -23,14 +23,16 @@ def _limits(kind: str):
     return out
 
 
-def close_colors(kind: str, hash_a, color_a, hash_b, color_b, triangle: bool):
+def close_colors(kind: str, hash_a, color_a, hash_b, color_b, triangle: bool, direct: bool = False):
     """Places (i, j) of pairs that are alike by their colours, with both distances. Colours: a row for each channel.
 
     triangle: both sides are the same rows, each pair is taken once. Differences add up in the order of the channels, and
-    pairs that are past their limit are dropped on the way."""
+    pairs that are past their limit are dropped on the way. direct: pairs that are alike by their hashes alone are found too."""
     import numpy as np
 
-    limits, out = _limits(kind), []
+    limits, out = _limits(kind).astype(float), []
+    if direct:
+        limits[: schema.LIMITS[kind][1] + 1] = np.inf
     step = max(1, STRIP // max(1, len(hash_b)))
     for a in range(0, len(hash_a), step):
         first = a if triangle else 0
@@ -45,14 +47,16 @@ def close_colors(kind: str, hash_a, color_a, hash_b, color_b, triangle: bool):
         for k in range(CHANNELS):
             total += np.abs(color_a[k][i] - color_b[k][j])
             if k % 6 == 5:
-                good = total < bound
+                good = (total < bound) | np.isinf(bound)
                 i, j, d, bound, total = i[good], j[good], d[good], bound[good], total[good]
-        out.append((i, j, d, total.astype(np.int64)))
+        out.append((i, j, d, np.nan_to_num(total).astype(np.int64)))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
 
 
-def tiles(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """Pairs of pictures in each tile. rows: keys, role (0 on both sides, 1 left, 2 right), id, image_hash, color_hash."""
+def tiles(rows: DataFrame, keys: list[str], kind: str, direct: bool = False) -> DataFrame:
+    """Pairs of pictures in each tile. rows: keys, role (0 on both sides, 1 left, 2 right), id, image_hash, color_hash.
+
+    direct: also those that are alike by their hashes alone."""
 
     def run(table):
         import numpy as np
@@ -73,7 +77,7 @@ def tiles(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
                 at += size
         left, right = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)
         triangle = bool((role == 0).any())
-        i, j, d, c = close_colors(kind, hashes[left], colors[:, left], hashes[right], colors[:, right], triangle)
+        i, j, d, c = close_colors(kind, hashes[left], colors[:, left], hashes[right], colors[:, right], triangle, direct)
         a, b = ids[left][i], ids[right][j]
         return pa.table({"id": pa.array(a, pa.int64()), "b_id": pa.array(b, pa.int64()), "distance": pa.array(d, pa.int32()), "colors": pa.array(c, pa.int64())})
 

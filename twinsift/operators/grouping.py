@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsift import schema
 from twinsift.operators.graph import components
 from twinsift.storage import discard, kept
 
@@ -111,14 +112,30 @@ def snapshot_groups(assets: DataFrame, edges: DataFrame) -> DataFrame:
     return anchor_groups(first_seen(assets), live)
 
 
-def groups_of(assets: DataFrame, kind: str, edges: DataFrame | None = None) -> DataFrame:
-    """Similar groups of one image kind, by the edges given, or where there are none by comparing anew."""
+def groups_of(assets: DataFrame, kind: str, edges: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Similar groups of one image kind: by the edges given; where there are none, by the members of stored groups
+    (category, kind, group_id, asset_id), verified again; where no such group has two active members, by comparing all anew."""
     from twinsift.operators import joins
 
     own = assets.where(F.col("kind") == kind)
-    none = edges is None or edges.where(F.col("kind") == kind).isEmpty()
-    found = joins.similar_edges(own, kind) if none else joins.live_edges(edges.where(F.col("kind") == kind), own)
-    return anchor_groups(scan_rank(own, kind), found)
+    if edges is not None and not edges.where(F.col("kind") == kind).isEmpty():
+        return anchor_groups(scan_rank(own, kind), joins.live_edges(edges.where(F.col("kind") == kind), own))
+    if stored is not None:
+        members = kept(joins.stored_members(stored, own, [kind]), "stored")
+        if not members.isEmpty():
+            return anchor_groups(scan_rank(own, kind), joins.verified_edges(members, own, kind))
+    return anchor_groups(scan_rank(own, kind), joins.similar_edges(own, kind))
+
+
+def video_groups_of(videos: DataFrame, frames: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Similar groups of videos and recordings together, by stored groups as in groups_of, or by comparing all anew."""
+    from twinsift.operators import joins
+
+    if stored is not None:
+        members = kept(joins.stored_members(stored, videos, schema.FAMILIES["VIDEO"]), "stored")
+        if not members.isEmpty():
+            return anchor_groups(scan_rank(videos, "VIDEO"), joins.video_edges(videos, frames, candidates=joins.stored_pairs(members, videos)))
+    return anchor_groups(scan_rank(videos, "VIDEO"), joins.video_edges(videos, frames))
 
 
 def pruned(items: DataFrame) -> DataFrame:

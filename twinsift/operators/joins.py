@@ -175,6 +175,52 @@ def similar_edges(assets: DataFrame, kind: str) -> DataFrame:
     return similar_pairs(rest, rest, kind).select(F.lit("SIMILAR").alias("category"), F.lit(kind).alias("kind"), "first_asset_id", "second_asset_id")
 
 
+def _tiled(rows: DataFrame, group: list[str], member: str, side: int) -> DataFrame:
+    """rows with tile and other_tile: any two rows of a group are in exactly one tile of it, which holds about 2 * side rows.
+
+    role: 0 in a tile of a group with itself, else 1 or 2 for the side. Large groups are spread over many tasks."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("t_n")).where("t_n > 1").select(*group, F.ceil(F.col("t_n") / side).alias("t_m"))
+    t, o = F.col("t_own"), F.col("t_other")
+    cut = rows.join(sizes, group).withColumn("t_own", F.pmod(F.xxhash64(member), F.col("t_m")))
+    cut = cut.withColumn("t_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t_m") - 1)))
+    return cut.withColumns({"tile": F.least(t, o), "other_tile": F.greatest(t, o), "role": F.when(t == o, 0).when(t < o, 1).otherwise(2)}).drop("t_own", "t_other", "t_m")
+
+
+def stored_members(items: DataFrame, assets: DataFrame, kinds: list[str]) -> DataFrame:
+    """(group_id, asset_id) of the active members, of the kinds, of stored similar groups that have two of them or more."""
+    own = assets.where((F.col("state") == "ACTIVE") & F.col("kind").isin(kinds)).select("asset_id")
+    rows = items.where((F.col("category") == "SIMILAR") & F.col("kind").isin(kinds)).select("group_id", "asset_id").distinct().join(own, "asset_id", "left_semi")
+    several = rows.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    return rows.join(several, "group_id", "left_semi").select("group_id", "asset_id")
+
+
+def verified_edges(members: DataFrame, assets: DataFrame, kind: str, side: int = TILE) -> DataFrame:
+    """Similar images of a kind among the members (group_id, asset_id) of each stored group; stored groups are candidates only.
+
+    Members are verified by their fingerprints as in similar_edges, so no stale pair stays. An asset may be in several groups; a
+    pair is one edge. Groups of any size are compared in tiles."""
+    own = assets.where(F.col("kind") == kind)
+    rows = comparable(own.join(duplicate_groups(own).select("asset_id"), "asset_id", "left_anti"))
+    rows = rows.where(fp.is_valid(F.col("image_hash"), F.col("color_hash"))).select("asset_id", _version(rows), "image_hash", "color_hash")
+    group = ["group_id", "version"]
+    held = kept(members.select("group_id", "asset_id").distinct().join(rows, "asset_id").withColumnRenamed("asset_id", "id"), "held")
+    found = compare.tiles(_tiled(held, group, "id", side), [*group, "tile", "other_tile"], kind, direct=True)
+    return canonical(found.select(F.lit("SIMILAR").alias("category"), F.lit(kind).alias("kind"), F.col("id").alias("first_asset_id"), F.col("b_id").alias("second_asset_id")))
+
+
+def stored_pairs(members: DataFrame, videos: DataFrame, side: int = LEAST) -> DataFrame:
+    """Pairs (later, earlier) in scan order of videos that share a stored group: what video_edges verifies instead of its candidates."""
+    rows = members.select("group_id", "asset_id").distinct().join(comparable(videos).select("asset_id", "media_store_id", "date_added_s"), "asset_id")
+    tiled = _tiled(kept(rows, "held"), ["group_id"], "asset_id", side)
+    a = tiled.where("role <= 1").select("group_id", "tile", "other_tile", "role", "asset_id", "media_store_id", "date_added_s")
+    b = tiled.where("role <> 1").select(*(F.col(c).alias(f"b_{c}") for c in a.columns))
+    same = (F.col("group_id") == F.col("b_group_id")) & (F.col("tile") == F.col("b_tile")) & (F.col("other_tile") == F.col("b_other_tile"))
+    # Within a tile of its own a pair meets in both orders.
+    once = F.when(F.col("role") == 0, F.col("asset_id") < F.col("b_asset_id")).otherwise(F.lit(True))
+    ends = F.when(_later(), F.struct(F.col("asset_id").alias("l"), F.col("b_asset_id").alias("e"))).otherwise(F.struct(F.col("b_asset_id").alias("l"), F.col("asset_id").alias("e")))
+    return a.join(b, same & once).select(ends.alias("p")).select(F.col("p.l").alias("later_id"), F.col("p.e").alias("earlier_id")).distinct()
+
+
 def canonical(edges: DataFrame) -> DataFrame:
     """Edges with the smaller id first, once each, none to itself."""
     first, second = F.least("first_asset_id", "second_asset_id"), F.greatest("first_asset_id", "second_asset_id")
@@ -268,17 +314,18 @@ def has_band(assets: DataFrame) -> Column:
     return version % 10 != schema.VIDEO_MODES.index("REFERENCE_COMPAT")
 
 
-def video_edges(videos: DataFrame, frames: DataFrame, band: bool | None = None) -> DataFrame:
+def video_edges(videos: DataFrame, frames: DataFrame, band: bool | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """Similar videos and recordings. frames: asset_id, hashes, colors, source; a pair with a recording is held to its limits.
 
-    band: whether durations and aspects must be near; by default the videos' versions say so."""
-    if band is None:
+    band: whether durations and aspects must be near; by default the videos' versions say so.
+    candidates (later_id, earlier_id): the pairs to verify, by their frames only."""
+    if candidates is None and band is None:
         parts = [video_edges(videos.where(has_band(videos)), frames, True), video_edges(videos.where(~has_band(videos)), frames, False)]
         return parts[0].unionByName(parts[1])
     side = lambda name, *more: frames.join(videos.select("asset_id", "kind", _version(videos)), "asset_id").select(F.col("asset_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), F.col("version").alias(f"{name}_version"), F.col("source").alias(f"{name}_source"), F.size(F.filter("hashes", lambda h: h != schema.INVALID_HASH)).alias(f"{name}_good"), *(F.col(c).alias(f"{name}_{c}") for c in more))
-    if band:
+    if band or candidates is not None:
         own = ("hashes", "colors")
-        pairs = video_candidates(comparable(videos)).join(side("later", *own), "later_id").join(side("earlier", *own), "earlier_id").where("later_version = earlier_version")
+        pairs = (video_candidates(comparable(videos)) if candidates is None else candidates).join(side("later", *own), "later_id").join(side("earlier", *own), "earlier_id").where("later_version = earlier_version")
         pairs = pairs.withColumn("matches", rules.matches("VIDEO", *(F.col(f"{n}_{c}") for n in ("later", "earlier") for c in own)))
     else:
         found = frame_matches(videos, frames)

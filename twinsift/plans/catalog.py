@@ -267,7 +267,7 @@ def other_image_stats(spark, sf_dir):
 
 @query(_with(ASSET_SQL) + "SELECT kind, asset_id, CAST(place AS INT) AS place FROM (SELECT kind, asset_id, row_number() OVER (PARTITION BY kind ORDER BY created_at_ms DESC, date_added_s DESC, asset_id DESC) AS place FROM asset) WHERE place > 20 AND place <= 40")
 def asset_page(spark, sf_dir):
-    return categories.deep_page(fixtures.assets(spark, sf_dir), 20, 1).select("kind", "asset_id", "place")
+    return categories.deep_page(fixtures.assets(spark, sf_dir), 20, 1).select("kind", "asset_id", F.col("place").cast("int").alias("place"))
 
 
 @query(
@@ -322,6 +322,21 @@ def fallback_groups(spark, sf_dir):
     return grouping.groups_of(rows, "SCREENSHOT", none)
 
 
+def _stale(sql: str) -> str:
+    """Edges between photos of one stored group only."""
+    return sql.replace("AND a.newer = b.newer", "AND a.newer = b.newer AND (a.image_hash >> 58) & 63 = (b.image_hash >> 58) & 63")
+
+
+@query(_with(ASSET_SQL, PRINT_SQL, _stale(_edges_sql("PHOTO")), _groups_sql("PHOTO")) + "SELECT group_id, asset_id, is_anchor FROM group_photo")
+def regrouped_photos(spark, sf_dir):
+    """Photos without stored edges, but with stored groups that are stale: all of equal first six bits of the hash. Their
+    members are verified again; pairs that are not alike are dropped, and nothing outside of a group is compared."""
+    rows = fixtures.library(spark, sf_dir)
+    items = rows.where("kind = 'PHOTO'").select(F.lit("SIMILAR").alias("category"), "kind", F.shiftrightunsigned("image_hash", 58).alias("group_id"), "asset_id")
+    none = spark.createDataFrame([], "category string, kind string, first_asset_id long, second_asset_id long")
+    return grouping.groups_of(rows, "PHOTO", none, items)
+
+
 @query(IMAGES + "SELECT (SELECT count(*) FROM (SELECT DISTINCT category, kind, group_id FROM item)) AS groups, (SELECT count(*) FROM media WHERE live) AS active_assets")
 def scalar_counts(spark, sf_dir):
     rows, items = image_items(spark, sf_dir)
@@ -346,7 +361,7 @@ def group_list(spark, sf_dir):
 @query(STATS + "SELECT category, group_kind, group_id, CAST(row_number() OVER (PARTITION BY category, group_kind ORDER BY latest_ms DESC, group_id DESC) AS INT) AS place FROM st")
 def category_groups(spark, sf_dir):
     rows, items = image_items(spark, sf_dir)
-    return categories.category_groups(categories.group_stats(items, rows)).select("category", "group_kind", "group_id", "place")
+    return categories.category_groups(categories.group_stats(items, rows)).select("category", "group_kind", "group_id", F.col("place").cast("int").alias("place"))
 
 
 @query(IMAGES + "SELECT category, group_id, asset_id, CAST(place AS INT) AS place FROM placed WHERE place <= 3")
@@ -378,7 +393,7 @@ def same_looks(spark, sf_dir):
 
 @query(_with(ASSET_SQL) + "SELECT kind, asset_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY greatest(created_at_ms, date_added_s*1000) DESC, created_at_ms DESC, asset_id DESC) AS INT) AS place FROM asset")
 def display_order(spark, sf_dir):
-    return categories.display_order(fixtures.assets(spark, sf_dir)).select("kind", "asset_id", "place")
+    return categories.display_order(fixtures.assets(spark, sf_dir)).select("kind", "asset_id", F.col("place").cast("int").alias("place"))
 
 
 @query(_with(ASSET_SQL) + "SELECT 'ONLY' AS chat, asset_id FROM asset WHERE media_type='image' AND chat_source IS NOT NULL UNION ALL SELECT 'NON', asset_id FROM asset WHERE media_type='image' AND chat_source IS NULL")
