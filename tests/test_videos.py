@@ -92,3 +92,38 @@ def test_tiles_give_the_numbers_of_the_columns(spark):
     assert sorted(got, key=str) == sorted((order(r) for r in want.collect()), key=str) and len(got) > 50
     both = joins.near(df, df, "PHOTO").where("id < b_id").collect()
     assert sorted(map(order, both), key=str) == sorted(got, key=str)
+
+
+CLIP = "asset_id long, media_store_id long, date_added_s long, duration_ms long, width int, height int"
+
+
+def test_band_loses_no_pair_however_cells_are_cut(spark):
+    rng = random.Random(8)
+    rows = [(i, i, rng.randrange(30), rng.choice((0, 900, 15_000, rng.randrange(200_000))), rng.choice((0, 320, 640, rng.randrange(200, 2000))), rng.choice((240, 480, rng.randrange(200, 2000)))) for i in range(150)]
+    videos = spark.createDataFrame(rows, CLIP)
+    aspect = lambda r: int(r[4] / r[5] * 100) if r[4] > 0 and r[5] > 0 else 0
+    want = set()
+    for x, y in permutations(rows, 2):
+        s, t = x[3] // 1000, y[3] // 1000
+        if (x[2], x[1]) < (y[2], y[1]) and abs(s - t) <= max(2, s // 10) and abs(aspect(x) - aspect(y)) <= 8:
+            want.add((x[0], y[0]))
+    for most in (1, 60, joins.PART):
+        found = [tuple(r) for r in joins.video_candidates(videos, most).collect()]
+        assert len(found) == len(set(found)) and set(found) == want  # each pair once, without distinct
+
+
+def test_clips_of_one_duration_are_spread_by_aspect_and_parts(spark):
+    n = 10_000
+    varied = spark.range(n).selectExpr("id AS asset_id", "id AS media_store_id", "id AS date_added_s", "15000L AS duration_ms", "CAST(300 + id % 900 AS INT) AS width", "300 AS height")
+    keys = ["cell", "aspect_cell", "part", "b_part"]
+
+    def most_met(videos, most=joins.PART):
+        asks, held = (x.groupBy(*keys).agg(F.count("*").alias(c)) for x, c in zip(joins.video_cells(videos, most), "mn", strict=True))
+        return asks.join(held, keys).agg(F.max(F.col("m") * F.col("n")), F.sum(F.col("m") * F.col("n"))).first()
+
+    largest, met = most_met(varied)
+    assert largest <= 1.5 * joins.PART and met < 0.2 * n * n
+    # The same clip ten thousand times: all pairs are in the band, in parts of a bounded size.
+    largest, met = most_met(varied.withColumn("width", F.lit(300)))
+    assert largest <= 1.5 * joins.PART and met == n * n
+    assert joins.video_candidates(varied.where("asset_id < 0")).count() == 0

@@ -286,26 +286,55 @@ def _by_frames(found: DataFrame) -> DataFrame:
     return first.unionByName(other.select(*first.columns))
 
 
-def video_candidates(videos: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) of videos worth a frame comparison; the later in scan order asks, by its own tolerance.
+#: Pairs that may meet in one part of a cell of durations and aspects; it changes no result.
+PART = 1 << 20
 
-    videos: asset_id, media_store_id, date_added_s, duration_ms, width, height. Scan order is newest first. The band on
-    duration is an equality join: the asker looks into cells (one for each power of two of duration, so that a
-    cell is no wider than its tolerance) of all durations in its band.
+
+def _duration_cell(seconds: Column) -> Column:
+    """The power of two of a duration, then sixteenths of it: a cell is no wider than its durations' tolerance."""
+    power = F.length(F.bin(F.greatest(seconds, F.lit(1))))
+    return (power * 64 + F.floor(seconds * 16 / F.pow(F.lit(2.0), power))).cast("int")
+
+
+def video_cells(videos: DataFrame, most: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Asking and held videos with the keys of the parts in which they meet: cell, aspect_cell, part, b_part.
+
+    videos: asset_id, media_store_id, date_added_s, duration_ms, width, height. A held video lies in one cell of durations and
+    aspects; one that asks looks into all cells that its band of durations (by its own tolerance) and of aspects touches, so two
+    videos meet in one cell at most. A cell in which more than `most` pairs could meet is cut: its askers into parts of at most
+    the root of that number, its held rows so that a part's pairs are about `most`; either side is copied to the other's parts.
     """
+    seconds, wide = F.col("seconds"), 2 * schema.ASPECT_TOLERANCE + 1
     rows = videos.select("asset_id", "media_store_id", "date_added_s", F.floor(F.col("duration_ms") / 1000).cast("long").alias("seconds"), fp.aspect_bucket(F.col("width"), F.col("height")).alias("aspect"))
-    other = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
-    # Cell of a duration: its power of two, then sixteenths of it.
-    power = lambda s: F.length(F.bin(F.greatest(s, F.lit(1))))
-    cell = lambda s: power(s) * 64 + F.floor(s * 16 / F.pow(F.lit(2.0), power(s)))
-    tolerance = duration_tolerance(F.col("seconds"))
-    low, high = F.greatest(F.col("seconds") - tolerance, F.lit(0)), F.col("seconds") + tolerance
-    step = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), power(low)) / 16)).cast("long")
-    cells = F.array_distinct(F.concat(F.transform(F.sequence(low, high, step), cell), F.array(cell(high))))
-    asks = rows.withColumn("cell", F.explode(cells))
-    held = other.withColumn("b_cell", cell(F.col("b_seconds")))
-    close = (F.abs(F.col("seconds") - F.col("b_seconds")) <= tolerance) & (F.abs(F.col("aspect") - F.col("b_aspect")) <= schema.ASPECT_TOLERANCE)
-    return asks.join(held, (F.col("cell") == F.col("b_cell")) & _later() & close).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
+    aspect_cell = lambda a: F.floor(a / wide).cast("int")
+    tolerance = duration_tolerance(seconds)
+    low, high = F.greatest(seconds - tolerance, F.lit(0)), seconds + tolerance
+    step = F.greatest(F.lit(1), F.floor(F.pow(F.lit(2.0), F.length(F.bin(F.greatest(low, F.lit(1))))) / 16)).cast("long")
+    cells = F.array_distinct(F.concat(F.transform(F.sequence(low, high, step), _duration_cell), F.array(_duration_cell(high))))
+    around = F.sequence(aspect_cell(F.col("aspect") - schema.ASPECT_TOLERANCE), aspect_cell(F.col("aspect") + schema.ASPECT_TOLERANCE))
+    keys = ["cell", "aspect_cell"]
+    asks = rows.withColumn("cell", F.explode(cells)).withColumn("aspect_cell", F.explode(around))
+    held = rows.withColumns({"cell": _duration_cell(seconds), "aspect_cell": aspect_cell(F.col("aspect"))})
+    number = held.groupBy(*keys).agg(F.count("*").alias("n")).join(asks.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    parts = F.when(F.col("n") * F.col("m") > most, F.ceil(F.col("m") / max(1, math.isqrt(most)))).otherwise(1).cast("long")
+    b_parts = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("m") / (F.col("parts") * most))).cast("long")
+    sizes = number.withColumn("parts", parts).withColumn("b_parts", b_parts).select(*keys, "parts", "b_parts")
+    own = lambda n: F.pmod(F.xxhash64("asset_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = asks.join(sizes, keys).withColumn("part", own("parts")).withColumn("b_part", every("b_parts"))
+    held = held.join(sizes, keys).withColumn("b_part", own("b_parts")).withColumn("part", every("parts"))
+    return asks.drop("parts", "b_parts"), held.drop("parts", "b_parts")
+
+
+def video_candidates(videos: DataFrame, most: int = PART) -> DataFrame:
+    """Pairs (later, earlier) of videos worth a frame comparison; the later in scan order (newest first) asks, by its own tolerance.
+
+    The band on duration and aspect is an equality join of video_cells. Videos without a size have aspect 0."""
+    asks, held = video_cells(videos, most)
+    keys = ["cell", "aspect_cell", "part", "b_part"]
+    held = held.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("asset_id", "media_store_id", "date_added_s", "seconds", "aspect")))
+    close = (F.abs(F.col("seconds") - F.col("b_seconds")) <= duration_tolerance(F.col("seconds"))) & (F.abs(F.col("aspect") - F.col("b_aspect")) <= schema.ASPECT_TOLERANCE)
+    return asks.join(held, keys).where(_later() & close).select(F.col("asset_id").alias("later_id"), F.col("b_asset_id").alias("earlier_id"))
 
 
 def has_band(assets: DataFrame) -> Column:
