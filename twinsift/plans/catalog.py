@@ -11,8 +11,8 @@ from twinsift.functions import fingerprint as fp
 from twinsift.operators import categories, compression, contacts, grouping, joins, lifecycle
 from twinsift.plans import fixtures
 from twinsift.sources import media
-from twinsift.storage import kept
-from twinsift.streaming import incremental
+from twinsift.storage import fresh_path, kept
+from twinsift.streaming import incremental, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -466,6 +466,25 @@ def reuse_decision(spark, sf_dir):
     return lifecycle.reuse(changed, state, state.select("asset_id")).select("asset_id", "needs_fingerprint")
 
 
+@query(
+    _with(ASSET_SQL)
+    + """SELECT asset_id, 'ACTIVE' AS state, CAST(CASE WHEN asset_id%13=0 THEN 3 ELSE 1 END + CASE WHEN asset_id%10=0 THEN 1 ELSE 0 END AS BIGINT) AS revision,
+  CASE WHEN asset_id%3=0 AND asset_id%13<>0 AND asset_id%10<>0 THEN 'DONE' ELSE 'PENDING' END AS fingerprint_status, CASE WHEN asset_id%3=0 AND asset_id%13<>0 THEN asset_id END AS image_hash
+FROM asset WHERE NOT (asset_id%52=13 AND asset_id%39<>0)"""
+)
+def lifecycle_stream(spark, sf_dir):
+    """Assets as a stream of their events leaves them, read by three starts of the stream on one checkpoint.
+
+    Every 13th is marked for deletion: those without a session are recovered at once, some are restored, some finalised, the
+    others recovered after ten minutes, by their timer or before a finalising that comes too late. Results of revision 1 come
+    after all marks. A second scan finds every 10th changed."""
+    places = {name: fresh_path(spark, f"states-{name}") for name in ("events", "log", "checkpoint")}
+    for part in fixtures.asset_events(fixtures.assets(spark, sf_dir).select("asset_id")):
+        part.write.mode("append").parquet(places["events"])
+        states.stream_states(spark, places["events"], places["log"], places["checkpoint"]).awaitTermination()
+    return states.current(spark, places["log"])
+
+
 STATE_SQL = ASSET_SQL + """,
 state AS (SELECT asset_id, CASE WHEN asset_id%26=0 THEN 'ACTIVE' WHEN asset_id%13=0 THEN 'DELETE_PENDING' ELSE 'ACTIVE' END AS state,
   CAST(CASE WHEN asset_id%26=0 THEN 3 WHEN asset_id%13=0 THEN 2 ELSE 1 END AS BIGINT) AS revision, CASE WHEN asset_id%26=0 THEN 'PENDING' ELSE 'DONE' END AS fingerprint_status FROM asset)"""

@@ -5,6 +5,7 @@ Small rasters of 9 by 8 pixels are drawn from a document's words, so that near-c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -173,3 +174,17 @@ def requests(assets_: DataFrame) -> DataFrame:
     """Every 13th asset is marked, every 26th restored."""
     ids = assets_.select("asset_id").where("asset_id % 13 = 0")
     return ids.withColumn("action", F.lit("mark_pending")).unionByName(ids.where("asset_id % 26 = 0").withColumn("action", F.lit("restore")))
+
+
+def asset_events(assets_: DataFrame) -> list[DataFrame]:
+    """What happens to the assets within 16 minutes, in three parts: scans, deletions, late results; see lifecycle_stream."""
+    def event(number: int, minute: int, action: str, which: str = "true", revision: str = "null", session: str = "null", signature: str = "null", print_: str = "null") -> DataFrame:
+        return assets_.where(which).selectExpr(
+            "asset_id", f"{number}L AS event_id", f"timestamp_seconds({1704067200 + 60 * minute}) AS at", f"'{action}' AS action", f"CAST({revision} AS LONG) AS revision",
+            f"CAST({session} AS STRING) AS session", f"CAST({signature} AS STRING) AS source_signature", f"CAST({print_} AS LONG) AS image_hash",
+        )
+
+    first = [event(1, 0, "seen", signature="'a'"), event(2, 1, "mark_pending", "asset_id % 13 = 0", session="IF(asset_id % 39 = 0, null, 's')"), event(3, 2, "restore", "asset_id % 26 = 0")]
+    second = [event(4, 5, "commit", "asset_id % 3 = 0", revision="1", print_="asset_id"), event(5, 6, "finalize", "asset_id % 52 = 13")]
+    third = [event(6, 15, "finalize", "asset_id % 104 = 39"), event(7, 16, "seen", "asset_id % 2 = 0", signature="IF(asset_id % 10 = 0, 'b', 'a')")]
+    return [functools.reduce(DataFrame.unionByName, part) for part in (first, second, third)]
