@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import fingerprint as fp
+from twinsift.functions import pixels
 from twinsift.operators import categories, compression, contacts, grouping, joins, lifecycle
 from twinsift.plans import fixtures
 from twinsift.sources import media
@@ -458,6 +459,27 @@ def reference_sample_times(spark, sf_dir):
     return clips.select("asset_id", F.explode(fp.reference_times(F.col("duration_ms"))).alias("ms"))
 
 
+@query(
+    """WITH r AS (SELECT doc_id AS asset_id, hex(encode(text)) AS h, octet_length(encode(text))//3 AS n FROM documents WHERE octet_length(encode(text)) >= 3),
+s AS (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) AS w FROM r),
+k AS (SELECT *, n//w AS t, 1::BIGINT << length(ltrim(bin((least(w, n//w)//2)//16), '0')) AS step FROM s),
+c AS (SELECT *, greatest(1, w//step) AS cw, greatest(1, t//step) AS ct FROM k),
+o AS (SELECT *, CASE WHEN greatest(cw, ct) <= 16 THEN cw ELSE greatest(1, CAST(trunc(cw::FLOAT*(16::FLOAT/greatest(cw, ct)::FLOAT)) AS BIGINT)) END AS ow,
+  CASE WHEN greatest(cw, ct) <= 16 THEN ct ELSE greatest(1, CAST(trunc(ct::FLOAT*(16::FLOAT/greatest(cw, ct)::FLOAT)) AS BIGINT)) END AS ot FROM c),
+p AS (SELECT *, unnest(range(ow*ot)) AS i FROM o),
+a AS (SELECT *, greatest(0, (2*(i%ow)+1)*cw-ow) AS x, greatest(0, (2*(i//ow)+1)*ct-ot) AS y FROM p),
+b AS (SELECT *, x//(2*ow) AS x0, least(x//(2*ow)+1, cw-1) AS x1, y//(2*ot) AS y0, least(y//(2*ot)+1, ct-1) AS y1, x%(2*ow) AS u, y%(2*ot) AS v FROM a),
+q AS (SELECT asset_id, step, ow, ot, i, d, list_transform([[y0, x0], [y0, x1], [y1, x0], [y1, x1]],
+  lambda g: ('0x' || substr(h, ((g[1]*step*w+g[2]*step)*3+d)*2+1, 2))::BIGINT) AS g, u, v FROM b, range(3) z(d)),
+m AS (SELECT asset_id, step, ow, ot, i, sum((((g[1]*(2*ow-u)+g[2]*u)*(2*ot-v)+(g[3]*(2*ow-u)+g[4]*u)*v+2*ow*ot)//(4*ow*ot)) << (16-8*d)) AS value FROM q GROUP BY ALL)
+SELECT asset_id, CAST(step AS INT) AS step, CAST(ow AS INT) AS width, CAST(ot AS INT) AS height, md5(string_agg(CAST(value AS VARCHAR), ',' ORDER BY i)) AS pixels FROM m GROUP BY ALL"""
+)
+def shrunk_rasters(spark, sf_dir):
+    """Pictures whose pixels are the bytes of whole texts, brought down to 16 pixels a side."""
+    found = pixels.shrink(fixtures.text_rasters(fixtures.table(spark, sf_dir, "documents")), 16)
+    return found.select("asset_id", "step", "width", "height", F.md5(F.concat_ws(",", F.col("raster").cast("array<string>"))).alias("pixels"))
+
+
 @query(_with(ASSET_SQL) + "SELECT asset_id, asset_id%50=0 AS needs_fingerprint FROM asset")
 def reuse_decision(spark, sf_dir):
     """Every 50th asset's favourite mark was changed since the last scan."""

@@ -188,3 +188,10 @@ def asset_events(assets_: DataFrame) -> list[DataFrame]:
     second = [event(4, 5, "commit", "asset_id % 3 = 0", revision="1", print_="asset_id"), event(5, 6, "finalize", "asset_id % 52 = 13")]
     third = [event(6, 15, "finalize", "asset_id % 104 = 39"), event(7, 16, "seen", "asset_id % 2 = 0", signature="IF(asset_id % 10 = 0, 'b', 'a')")]
     return [functools.reduce(DataFrame.unionByName, part) for part in (first, second, third)]
+
+
+def text_rasters(docs: DataFrame) -> DataFrame:
+    """(asset_id, width, height, raster) of documents with three bytes or more: the bytes of the whole text as pixels of a near square."""
+    rows = docs.select(F.col("doc_id").alias("asset_id"), F.encode("text", "UTF-8").alias("raster"))
+    rows = rows.withColumn("n", F.floor(F.octet_length("raster") / 3)).where("n > 0").withColumn("width", F.floor(F.sqrt("n")).cast("int"))
+    return rows.select("asset_id", "width", F.floor(F.col("n") / F.col("width")).cast("int").alias("height"), "raster")
