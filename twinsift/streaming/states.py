@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -59,6 +59,10 @@ def after(row: dict, event: dict) -> tuple[dict, bool]:
     return row, False
 
 
+def _change(event: dict, row: dict, accepted: bool) -> dict:
+    return {"event_id": event.get("event_id"), "at_ms": event["at_ms"], "action": event["action"], "accepted": accepted} | {c: row[c] for c in ("n", "state", "revision", "fingerprint_status", "image_hash")}
+
+
 def fold(row: dict, events: list[dict]) -> tuple[dict, list[dict]]:
     """The row after an asset's events in order of event_id, and the changes as rows of the log."""
     log = []
@@ -67,7 +71,7 @@ def fold(row: dict, events: list[dict]) -> tuple[dict, list[dict]]:
         nonlocal row
         row, accepted = after(row, event)
         row = row | {"n": row["n"] + 1}
-        log.append({"event_id": event.get("event_id"), "at_ms": event["at_ms"], "action": event["action"], "accepted": accepted} | {c: row[c] for c in ("n", "state", "revision", "fingerprint_status", "image_hash")})
+        log.append(_change(event, row, accepted))
 
     for event in sorted(events, key=lambda e: e["event_id"]):
         if row["event_id"] is not None and event["event_id"] <= row["event_id"]:
@@ -81,6 +85,7 @@ def fold(row: dict, events: list[dict]) -> tuple[dict, list[dict]]:
 
 UNSEEN = {"n": 0, "event_id": None, "state": None, "revision": 0, "fingerprint_status": None, "source_signature": None, "image_hash": None, "due_ms": None}
 FIELDS = list(UNSEEN)
+COLUMNS = [c.split()[0] for c in LOG.split(", ")]
 
 
 class AssetStates(StatefulProcessor):
@@ -91,7 +96,8 @@ class AssetStates(StatefulProcessor):
         self.row = handle.getValueState("row", ROW)
 
     def _read(self) -> dict:
-        return dict(zip(FIELDS, self.row.get(), strict=True)) if self.row.exists() else UNSEEN
+        found = self.row.get()
+        return UNSEEN if found is None else dict(zip(FIELDS, found, strict=True))
 
     def _write(self, old: dict, new: dict) -> None:
         if old["due_ms"] != new["due_ms"]:
@@ -101,31 +107,24 @@ class AssetStates(StatefulProcessor):
                 self.handle.registerTimer(new["due_ms"])
         self.row.update(tuple(new[c] for c in FIELDS))
 
-    def _out(self, key, log: list[dict]):
-        import pandas as pd
-
-        columns = {c.split()[0]: c.split()[1] for c in LOG.split(", ")}
-        rows = [{"asset_id": key[0]} | r for r in log]
-        # Each column by itself: nulls among longs must not make doubles of them.
-        return pd.DataFrame({c: pd.array([r[c] for r in rows], dtype="Int64") if kind == "long" else pd.Series([r[c] for r in rows], dtype=object) for c, kind in columns.items()})
+    def _out(self, key, change: dict) -> Row:
+        return Row(**{c: key[0] if c == "asset_id" else change[c] for c in COLUMNS})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        old, events = self._read(), []
-        for part in rows:
-            # As objects, so that no long passes through a double.
-            events += part.astype(object).where(part.notna(), None).to_dict("records")
-        new, log = fold(old, [e | {c: None if e[c] is None else int(e[c]) for c in ("event_id", "at_ms", "revision", "image_hash")} for e in events])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self._read()
+        new, log = fold(old, [r.asDict() for r in rows])
         if log:
             self._write(old, new)
-            yield self._out(key, log)
+        for change in log:
+            yield self._out(key, change)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         row = self._read()
         if row["due_ms"] is not None and row["due_ms"] <= expiredTimerInfo.getExpiryTimeInMs():
             new, accepted = after(row, {"action": RECOVERED, "at_ms": row["due_ms"]})
             new = new | {"n": row["n"] + 1}
             self.row.update(tuple(new[c] for c in FIELDS))  # the timer is gone
-            yield self._out(key, [{"event_id": None, "at_ms": row["due_ms"], "action": RECOVERED, "accepted": accepted} | {c: new[c] for c in ("n", "state", "revision", "fingerprint_status", "image_hash")}])
+            yield self._out(key, _change({"at_ms": row["due_ms"], "action": RECOVERED}, new, accepted))
 
     def close(self) -> None:
         pass
@@ -133,11 +132,9 @@ class AssetStates(StatefulProcessor):
 
 def state_changes(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """The log (LOG) of a stream of events (EVENT; other columns are not read)."""
-    # Longs that may be null cross to pandas as text: as doubles they would lose bits.
-    text = [F.col(c).cast("string").alias(c) for c in ("event_id", "revision", "image_hash")]
     rows = events.where("asset_id is not null and event_id is not null and at is not null and action is not null").withWatermark("at", delay)
-    rows = rows.select("asset_id", "at", F.unix_millis("at").cast("string").alias("at_ms"), "action", "session", "source_signature", *text)
-    return rows.groupBy("asset_id").transformWithStateInPandas(AssetStates(), LOG, "append", "eventTime")
+    rows = rows.select("asset_id", "at", F.unix_millis("at").alias("at_ms"), "event_id", "action", "revision", "session", "source_signature", "image_hash")
+    return rows.groupBy("asset_id").transformWithState(AssetStates(), LOG, "append", "eventTime")
 
 
 def stream_states(spark: SparkSession, source: str, log: str, checkpoint: str, delay: str = "1 minute", every: str | None = None, files_per_batch: int | None = None):
