@@ -443,3 +443,15 @@ def test_block_max_search_is_exact():
             order = [i for i in np.lexsort((np.arange(len(dense)), -dense.round(12))) if dense[i] > 0][:12]
             who, s = index.nearest(t, w, 12)
             assert np.allclose(s, dense[order]) and (np.allclose(dense[who], s))
+
+
+def test_substring_dedup_carries_columns_of_its_own_names(spark):
+    from twinsift.llm import substrings
+
+    again = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, again, "a", 7, None), (2, f"first {again} last", "b", 8, "x"), (3, None, "c", 9, "y"), (4, "", None, 10, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, X_Rest string, x_batch int, x_carried string")
+    out = substrings.deduplicated(docs)
+    assert out.columns == docs.columns
+    want = [r if r[0] != 2 else (2, "first last", *r[2:]) for r in rows]
+    assert sorted(map(tuple, out.collect())) == want

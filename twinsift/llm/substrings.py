@@ -280,10 +280,23 @@ def _finished(length: int, own: list[str], made: list[T.StructField], finish: Ca
     return run
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def removed(docs: DataFrame, finish: Callable, made: list[T.StructField], length: int = LENGTH, batch_words: int = BATCH, bucket_words: int = BUCKET) -> DataFrame:
     """docs with the columns `made`: finish(text, its words, which of them are removed) of each row gives their values.
 
-    A made column takes the place of one of its name."""
+    A made column takes the place of one of its name; all others are carried, whatever their names."""
+    clash = [c for c in docs.columns if c.lower() == "x_batch"]
+    if clash:
+        hidden = _free("x_carried", [*docs.columns, *(f.name for f in made)])
+        out = removed(docs.withColumnRenamed(clash[0], hidden), finish, made, length, batch_words, bucket_words)
+        return out.withColumnRenamed(hidden, clash[0])
     block = length // 2
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     # Small tables have smaller batches, so that all tasks have some.
@@ -308,8 +321,9 @@ def _rest(text: bytes, words: list[bytes], gone) -> tuple:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, their texts without repeated stretches (what is left of a changed text is joined by spaces)."""
-    out = removed(docs, _rest, [T.StructField("x_rest", T.StringType())], length)
-    return out.withColumn("text", F.coalesce("x_rest", "text")).select(*docs.columns)
+    rest = _free("x_rest", docs.columns)
+    out = removed(docs, _rest, [T.StructField(rest, T.StringType())], length)
+    return out.withColumn("text", F.coalesce(rest, "text")).select(*docs.columns)
 
 
 def _digest(text: bytes, words: list[bytes], gone) -> tuple:
