@@ -11,6 +11,9 @@ fingerprints are within 2 bits if and only if the sets "itself and its 64 one-bi
 no point is in more than 65 such sets. Fingerprints one bit from a crowded segment go through both, so
 no link is lost and no bucket is larger than 2 * crowd or 65.
 
+Up to `bits` differing bits are found by bits // 2 + 1 segments in the same way. The second route is that of 2 bits:
+beyond, pairs that only meet in crowded values are missing, and the caller needs another way to them (see nearcopies).
+
 Defined cases: null and empty texts have no words and the fingerprint 0, linked like any other; fewer
 than `shingle` words count as one shingle; a null doc_id can't name a component (it takes the smallest
 known one, or null if there is none); repeated rows keep their rows and share a component; an empty
@@ -19,7 +22,7 @@ table gives an empty result; other columns are carried and may have any names bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from twinsift.llm.common import stored
 from twinsift.operators.graph import components
 
-SHINGLE, SEED, CROWD = 3, 42, 64
+SHINGLE, SEED, CROWD, BITS = 3, 42, 64, 2
 SLICE = 1 << 16  # shingles whose bits are counted at once
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -46,9 +49,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     n = max(1, len(w) - shingle + 1)
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) >= shingle else iter([b" ".join(w)])
     h = map(xxhash.xxh64_intdigest, grams, itertools.repeat(seed))
+    return voted((np.fromiter(itertools.islice(h, SLICE), dtype="<u8") for _ in range(0, n, SLICE)), n)
+
+
+def voted(parts: Iterable, n: int) -> int:
+    """The bits that are set in over half of n hashes, given in arrays; as a signed 64-bit number."""
+    import numpy as np
+
     ones = np.zeros(64, dtype=np.int64)
-    for _ in range(0, n, SLICE):
-        part = np.fromiter(itertools.islice(h, SLICE), dtype="<u8")
+    for part in parts:
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
@@ -69,10 +78,15 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True
     return docs.mapInArrow(run, schema)
 
 
-def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints whose links have all the components of "2 bits or fewer differ"."""
-    low = F.lit(0xFFFFFFFF)
-    segments = prints.select("fingerprint", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.shiftrightunsigned("fingerprint", 32).alias("v")), F.struct(F.lit(1).alias("s"), F.col("fingerprint").bitwiseAND(low).alias("v")))).alias("x")).select("fingerprint", "x.s", "x.v")
+def links(prints: DataFrame, crowd: int = CROWD, bits: int = BITS) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints whose links have all the components of "2 bits or fewer differ".
+
+    With more `bits`: all pairs that differ in so many at most and share no more than crowded segment values (see above)."""
+    parts = bits // 2 + 1
+    widths = [64 // parts + (i < 64 % parts) for i in range(parts)]
+    held = lambda i: F.shiftrightunsigned("fingerprint", 64 - sum(widths[: i + 1])).bitwiseAND(F.lit((1 << widths[i]) - 1))
+    cut = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(widths[i] - 1).alias("last"), held(i).alias("v")) for i in range(parts)))
+    segments = prints.select("fingerprint", F.explode(cut).alias("x")).select("fingerprint", "x.s", "x.last", "x.v")
     crowded = stored(segments.groupBy("s", "v").count().where(F.col("count") > crowd).select("s", "v"), "crowded")
     bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
     flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.col("v").bitwiseXOR(bit(j)))
@@ -80,12 +94,14 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     variants = segments.join(crowded, ["s", "v"], "left_anti").select(
         "fingerprint",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: bit(F.lit(37)) * F.col("s") + bit(F.lit(32)) * j + F.col("v").bitwiseAND(F.bitwise_not(bit(j))))).alias("key"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: bit(F.lit(37)) * F.col("s") + bit(F.lit(32)) * j + F.col("v").bitwiseAND(F.bitwise_not(bit(j))))).alias("key"),
     )
     other = variants.select(F.col("fingerprint").alias("g"), F.col("key").alias("k2"))
     differ = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("g")))
-    cold = variants.join(other, (F.col("key") == F.col("k2")) & (F.col("fingerprint") < F.col("g")) & (differ <= 2)).select(F.col("fingerprint").alias("u"), F.col("g").alias("v"))
+    cold = variants.join(other, (F.col("key") == F.col("k2")) & (F.col("fingerprint") < F.col("g")) & (differ <= bits)).select(F.col("fingerprint").alias("u"), F.col("g").alias("v"))
 
+    if bits > 2:
+        return cold.distinct()
     around = F.concat(F.array("fingerprint"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.col("fingerprint").bitwiseXOR(bit(j))))
     members = segments.join(near, ["s", "v"], "left_semi").select("fingerprint").distinct()
     stars = members.select("fingerprint", F.explode(around).alias("z")).groupBy("z").agg(F.array_sort(F.collect_set("fingerprint")).alias("all")).where(F.size("all") > 1)  # at most 65
