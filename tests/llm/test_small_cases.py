@@ -455,3 +455,27 @@ def test_substring_dedup_carries_columns_of_its_own_names(spark):
     assert out.columns == docs.columns
     want = [r if r[0] != 2 else (2, "first last", *r[2:]) for r in rows]
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_ids_of_many_texts_at_once():
+    """Texts laid end to end have the ids that each has alone, and sentence ends fall behind the words that end in them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from twinsift.llm import packing
+    from twinsift.llm.tokens import pieces, vocabulary_path
+
+    texts = ["left out", None, "", " ", "\n", "One. Two! three", "x\n\n y!  ", " .", "Ends here.", "été? (Un <mot>.) deux" * 3, None]
+    kept, some = pieces(vocabulary_path()), pa.array(texts)[1:]
+    for part in (some, some.slice(0, 0), some.slice(3, 4)):
+        assert kept.of_all(part)[0].tobytes() == b"".join(map(kept.of, part.to_pylist()))
+        end = b"\1\0\0\0"
+        got = list(packing._with_bounds(part, kept, end))
+        assert [ids for ids, _ in got] == [kept.of(x) + end for x in part.to_pylist()]
+        for text, (ids, bounds) in zip(part.to_pylist(), got, strict=True):
+            words, at, want = (text or "").replace("\n", " ").split(" "), 0, set()
+            for w in words:
+                at += len(kept.of(w)) // 4
+                want |= {at} if w.endswith(packing.ENDS) else set()
+            assert bounds.tolist() == sorted(x for x in want if 0 < x < len(ids) // 4 - 1)
+    assert np.frombuffer(kept.of("One."), "<u4").size

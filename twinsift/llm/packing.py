@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import partitions
-from twinsift.llm.tokens import pieces, vocabulary_path
+from twinsift.llm.tokens import parts, pieces, vocabulary_path
 
 WINDOW, STRETCH, HARD_STEP = 2048, 1 << 20, 32
 SENTENCE, HARD, SHORT = 4.0, 64.0, 1 / 64
@@ -65,19 +65,19 @@ def cuts(places: list[int], penalties: list[float], window: int) -> list[int]:
     return chosen[::-1]
 
 
-def _with_bounds(text: str | None, kept, end: bytes):
-    """The ids of a document with its end id, and its sentence ends (in ids; the document's end left out)."""
+def _with_bounds(texts, kept, end: bytes) -> Iterator:
+    """Of each text of an Arrow array: its ids with the end id, and its sentence ends (in ids; the document's end left out)."""
     import numpy as np
 
-    if not text:
-        return end, np.zeros(0, np.int64)
-    words = text.replace("\n", " ").split(" ")
-    parts = list(map(kept.__getitem__, words))
-    upto = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
-    stop = np.fromiter((w.endswith(ENDS) for w in words), bool, len(words))
-    ids = b"".join(parts) + end
-    bounds = np.unique(upto[stop])
-    return ids, bounds[(bounds > 0) & (bounds < len(ids) // 4 - 1)]
+    ids, ends, codes, names, first = kept.of_all(texts)
+    upto = np.concatenate([[0], ends])
+    at, bits = upto[first].tolist(), memoryview(ids.tobytes())
+    stops = np.flatnonzero(np.fromiter((w.endswith(ENDS) for w in names), bool, len(names))[codes])
+    places, own = ends[stops], np.searchsorted(stops, first).tolist()
+    for i in range(len(texts)):
+        a, b = at[i], at[i + 1]
+        bounds = np.unique(places[own[i] : own[i + 1]] - a)
+        yield bytes(bits[4 * a : 4 * b]) + end, bounds[(bounds > 0) & (bounds < b - a)]
 
 
 class _Stretch:
@@ -156,10 +156,11 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate(kinds)], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                laid.add(doc_id, *_with_bounds(text.as_py(), kept, end))
-                if laid.size >= stretch:
-                    yield from rows(laid.flush(False))
+            for part in parts(batch):
+                for doc_id, (ids, bounds) in zip(part.column(0).to_pylist(), _with_bounds(part.column(1), kept, end), strict=True):
+                    laid.add(doc_id, ids, bounds)
+                    if laid.size >= stretch:
+                        yield from rows(laid.flush(False))
         yield from rows(laid.flush(True))
 
     tie = F.xxhash64("text")

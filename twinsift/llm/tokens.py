@@ -9,6 +9,8 @@ most `LONGEST` characters each: about 200 MB.
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ import public_tokenizers
 #: The vocabulary file; another one can be given by path if it drops white space, lower-cases and splits words from marks.
 VOCABULARY = "word_bpe_49k.json"
 KEPT, YOUNG, LONGEST = 700_000, 300_000, 48
+ROWS = 2000  # texts of which each different piece is looked up once
 MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 #: Byte-level vocabularies write a byte as a character: printable ones stand for themselves, the others follow from 256 on.
@@ -50,7 +53,7 @@ class Pieces(dict):
             found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]
         else:
             found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(found, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.young.pop(piece, None)
@@ -88,6 +91,31 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+    def of_all(self, texts):
+        """The ids of an Arrow array of texts, laid end to end. Each different piece is looked up once.
+
+        Returns ids, ends (of each piece, in ids), codes (which of `pieces` each piece is), pieces, and where each text's pieces begin (and the last ones end).
+        """
+        import pyarrow.compute as pc
+
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        first = cut.offsets.to_numpy()
+        found = cut.flatten().dictionary_encode()
+        codes, names = found.indices.to_numpy(), found.dictionary.to_pylist()
+        held = list(map(self.__getitem__, names))
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        flat, begins = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - n), n)]
+        return ids, ends, codes, names, first - first[0]
+
+
+def parts(batch) -> Iterator:
+    """A batch's rows, at most `ROWS` at a time."""
+    return (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 _pieces: dict[str, Pieces] = {}
 
 
