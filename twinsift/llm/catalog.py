@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from twinsift.llm import collocations, quality
 from twinsift.llm.alignment import op11_alignment
 from twinsift.llm.collocations import op13_collocations
-from twinsift.llm.common import table
+from twinsift.llm.common import stored, table
 from twinsift.llm.mixing import op8_source_mix
 from twinsift.llm.neighbours import op1_nearest_neighbours
 from twinsift.llm.packing import op6_packing
@@ -23,9 +23,9 @@ from twinsift.llm.urls import op7_url_filter
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).select(
+    ready = stored(quality.prepared(table(spark, sf_dir, "documents").select("doc_id", "text")), "grams")  # each text is cut into words once
+    model = quality.fit_prepared(ready, table(spark, sf_dir, "labels"))
+    return quality.judge_prepared(ready, model).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score"
     )
 

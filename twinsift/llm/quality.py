@@ -96,15 +96,26 @@ def grams(w: Column, shapes: Column, order: int, buckets: int) -> Column:
     return F.when(n >= 0, F.concat(run("word", w), run("shape", shapes))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def prepared(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
+    """docs without the text, with the base counts and q_grams: once stored, all that fit_prepared() and judge_prepared() read."""
+    out = base_counts(docs).withColumn("q_shapes", words(shape(F.col("text"))))
+    return out.withColumn("q_grams", grams(F.col("q_words"), F.col("q_shapes"), order, buckets)).drop("q_words", "q_shapes", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
+    """The model of fit_prepared() from texts, which are read anew where their n-grams are wanted."""
+    w = docs.select("doc_id", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
+    return fit_prepared(w.select("doc_id", grams(F.col("q_words"), F.col("q_shapes"), order, buckets).alias("q_grams")), labels, order, buckets, trusted_rows, z)
+
+
+def fit_prepared(ready: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
     """Weights by bucket and the threshold. The trusted sample is bounded by trusted_rows; the corpus counts cover all rows."""
     trusted = (
         labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("q_id")).distinct()
         .orderBy(F.xxhash64("q_id"), "q_id").limit(trusted_rows).withColumn("q_trusted", F.lit(1))
     )
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("q_id"), "left").select("text", F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
-    w = marked.select("q_trusted", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
-    counts = w.select("q_trusted", F.explode(grams(F.col("q_words"), F.col("q_shapes"), order, buckets)).alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.sum("q_trusted").alias("good")).collect()  # at most `buckets` rows
+    w = ready.select("doc_id", "q_grams").join(F.broadcast(trusted), F.col("doc_id") == F.col("q_id"), "left").select("q_grams", F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
+    counts = w.select("q_trusted", F.explode("q_grams").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.sum("q_trusted").alias("good")).collect()  # at most `buckets` rows
     raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     weights = [0.0] * buckets
     if good:
@@ -112,12 +123,18 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = B
         for r in counts:
             weights[r["g"]] = math.log((r["good"] + 1) / (good + buckets)) - math.log((r["raw"] + 1) / (raw + buckets))
     model = {"order": order, "buckets": buckets, "weights": weights, "threshold": 0.0}
-    own = w.where("q_trusted = 1").select(score(F.col("q_words"), F.col("q_shapes"), model).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
+    own = w.where("q_trusted = 1").select(mean_weight(F.col("q_grams"), model).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
     if good and own["m"] is not None:
         model["threshold"] = min(0.0, own["m"] - z * own["d"])
     return model
 
 
+def mean_weight(found: Column, model: dict) -> Column:
+    """The mean weight of n-grams that are at hand as an array."""
+    weights = double_array(model["weights"])
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, g: a + F.get(weights, g)) / F.size(found)).otherwise(F.lit(0.0))
+
+
 def score(w: Column, shapes: Column, model: dict) -> Column:
     """The mean weight of the n-grams, added up without an array of them."""
     weights, order, buckets = double_array(model["weights"]), model["order"], model["buckets"]
@@ -140,6 +157,12 @@ def judge(docs: DataFrame, model: dict) -> DataFrame:
     return out.select("q_doc.*", *made)
 
 
+def judge_prepared(ready: DataFrame, model: dict) -> DataFrame:
+    """Rows of prepared() with quality_score and kept in place of q_grams."""
+    out = ready.withColumn("quality_score", mean_weight(F.col("q_grams"), model))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= F.lit(model["threshold"]))).drop("q_grams")
+
+
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
     # The row number keeps the filter above the projection: pushed below it, it would repeat every nested expression.
