@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import fresh_path, partitions
-from twinsift.llm.tokens import pieces, vocabulary_path
+from twinsift.llm.tokens import parts, pieces, vocabulary_path
 
 BLOCK_IDS, VOCABULARY_SIZE = 1 << 21, 49_408
 BLOCKS = "part int, block int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, coded binary"
@@ -37,7 +37,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
 
         from twinsift.llm import idcoder
 
-        of, end = pieces(file).of, np.array([end_id], "<u4").tobytes()
+        of_all, end = pieces(file).of_all, np.array([end_id], "<u4").tobytes()
         part, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, size = [], [], [], 0
 
@@ -52,16 +52,18 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = of(text.as_py()) + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                size += len(ids) // 4
-                if size >= block_ids:
-                    yield row()
-                    block, before = block + 1, before + size
-                    doc_ids, lengths, held, size = [], [], [], 0
+            for some in parts(batch):
+                all_ids, ends, _, _, first = of_all(some.column(1))
+                at, bits = np.concatenate([[0], ends])[first].tolist(), memoryview(all_ids.tobytes())
+                for i, doc_id in enumerate(some.column(0).to_pylist()):
+                    held += [bytes(bits[4 * at[i] : 4 * at[i + 1]]), end]
+                    doc_ids.append(doc_id)
+                    lengths.append(at[i + 1] - at[i] + 1)
+                    size += lengths[-1]
+                    if size >= block_ids:
+                        yield row()
+                        block, before = block + 1, before + size
+                        doc_ids, lengths, held, size = [], [], [], 0
         if doc_ids:
             yield row()
 
