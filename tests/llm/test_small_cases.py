@@ -495,3 +495,17 @@ def test_ids_of_many_texts_at_once():
                 want |= {at} if w.endswith(packing.ENDS) else set()
             assert bounds.tolist() == sorted(x for x in want if 0 < x < len(ids) // 4 - 1)
     assert np.frombuffer(kept.of("One."), "<u4").size
+
+
+def test_quality_fit_cuts_a_text_once(spark):
+    """One long text is not cut into words anew for each of its n-grams."""
+    import time
+
+    from twinsift.llm import quality
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20_000)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    began = time.monotonic()
+    model = quality.fit(docs, labels)
+    assert time.monotonic() - began < 30
+    assert quality.fit_prepared(quality.prepared(docs).localCheckpoint(), labels) == model

@@ -104,18 +104,28 @@ def prepared(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> Dat
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
     """The model of fit_prepared() from texts, which are read anew where their n-grams are wanted."""
-    w = docs.select("doc_id", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
-    return fit_prepared(w.select("doc_id", grams(F.col("q_words"), F.col("q_shapes"), order, buckets).alias("q_grams")), labels, order, buckets, trusted_rows, z)
+    w = _marked(docs, "text", labels, trusted_rows).select("q_trusted", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
+    return _fitted(w.select("q_trusted", grams(F.col("q_words"), F.col("q_shapes"), order, buckets).alias("q_grams")), order, buckets, z)
 
 
 def fit_prepared(ready: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
     """Weights by bucket and the threshold. The trusted sample is bounded by trusted_rows; the corpus counts cover all rows."""
+    return _fitted(_marked(ready, "q_grams", labels, trusted_rows), order, buckets, z)
+
+
+def _marked(rows: DataFrame, column: str, labels: DataFrame, trusted_rows: int) -> DataFrame:
+    """The column of each row, and q_trusted: 1 for documents of the trusted sample."""
     trusted = (
         labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("q_id")).distinct()
         .orderBy(F.xxhash64("q_id"), "q_id").limit(trusted_rows).withColumn("q_trusted", F.lit(1))
     )
-    w = ready.select("doc_id", "q_grams").join(F.broadcast(trusted), F.col("doc_id") == F.col("q_id"), "left").select("q_grams", F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
-    counts = w.select("q_trusted", F.explode("q_grams").alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.sum("q_trusted").alias("good")).collect()  # at most `buckets` rows
+    return rows.select("doc_id", column).join(F.broadcast(trusted), F.col("doc_id") == F.col("q_id"), "left").select(column, F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
+
+
+def _fitted(w: DataFrame, order: int, buckets: int, z: float) -> dict:
+    # Not explode(): its filter of empty arrays would be pushed into the n-grams, and each of them would cut the text into words anew.
+    found = w.select("q_trusted", F.explode_outer("q_grams").alias("g")).where("g is not null")
+    counts = found.groupBy("g").agg(F.count("*").alias("raw"), F.sum("q_trusted").alias("good")).collect()  # at most `buckets` rows
     raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     weights = [0.0] * buckets
     if good:
