@@ -39,7 +39,7 @@ SHARES = 22  # bits of the order-0 intervals
 WHOLE, LEAST = 1 << 32, 1 << 22  # of the mixture's weights
 SEEN = np.minimum(7, np.frexp(np.arange(WAYS[0] * (MOST + GAIN) + 1))[1] * 3 // 4 + (np.arange(WAYS[0] * (MOST + GAIN) + 1) > 0)).astype(np.uint8)  # classes of what a context has seen; 0: nothing
 
-BIT = np.arange(8, dtype=np.uint8)[:, None]
+BITS = 1 << np.arange(8, dtype=np.uint8)[:, None]
 FIRST = np.array([(x & -x).bit_length() - 1 if x else 8 for x in range(256)], dtype=np.int64)  # the first set bit of a byte, 8 if there is none
 
 
@@ -48,32 +48,46 @@ class CorruptBlock(ValueError):
 
 
 class Order:
-    """Ids seen in each context and their counts, in one number; one row for each way, so that sums go over whole rows."""
+    """Ids seen in each context and their counts, in one number; the ways of a context lie side by side."""
 
     def __init__(self, contexts: int, ways: int) -> None:
-        self.ways, self.contexts = ways, contexts
-        self.table = np.full((ways, contexts), NAMES, dtype=np.int32)
+        self.ways = ways
+        self.table = np.full((contexts, ways), NAMES, dtype=np.int32)
         self.flat = self.table.reshape(-1)
 
     def look(self, at) -> None:
-        self.at = at
-        found = self.table.take(at, axis=1)
-        self.own, self.n = found & NAMES, found >> NAME_BITS
-        self.total = self.n.sum(axis=0)
-        self.seen = SEEN[self.total]
-
-    def match(self, x) -> None:
-        """Which ids are known, and in which way."""
-        same = np.left_shift((self.own == x).view(np.uint8), BIT[: self.ways])
-        self.way = FIRST[np.bitwise_or.reduce(same, axis=0)]
+        self.at = at.astype(np.int64)
+        found = np.ascontiguousarray(self.table.take(self.at, axis=0).T)
+        self.own, self.upto = found & NAMES, found >> NAME_BITS
+        # Counts as sums from the first way on; row by row, which is several times as fast as cumsum().
+        for way in range(1, self.ways):
+            self.upto[way] += self.upto[way - 1]
+        self.total = self.upto[-1]
+        self.seen = SEEN.take(self.total)
+
+    def match(self, x, step: int) -> None:
+        """Which ids are known, and in which way; what lies there, or else in the way whose turn it is."""
+        same = (self.own == x).view(np.uint8) * BITS[: self.ways]
+        self.way = FIRST.take(np.bitwise_or.reduce(same, axis=0))
         self.hit = self.way < 8
+        self.way = np.where(self.hit, self.way, step % self.ways)
+        self.place = self.at * self.ways + self.way
+        self.was = self.flat.take(self.place)
+        self.count = self.was >> NAME_BITS
 
-    def learn(self, x, step: int) -> None:
+    def part(self, start, width):
+        """Begin and end of each lane's id in the part of this order; nothing where it is not known.
+
+        Numbers are below 2^47, and quotients below 2^33 of divisors below 2^15: as doubles they are cut to the same whole numbers."""
+        m = len(self.way)
+        upto = self.upto.reshape(-1).take(self.way * m + np.arange(m))
+        width, total = width.astype(np.float64), np.maximum(self.total, 1)
+        return start + (width * (upto - self.count * self.hit) / total).astype(np.int64), start + (width * upto / total).astype(np.int64)
+
+    def learn(self, x) -> None:
         """A known id gains; else the way whose turn it is loses, or goes to the new id when it is at its end."""
-        place = np.where(self.hit, self.way, step % self.ways) * self.contexts + self.at
-        was = self.flat[place]
-        n = was >> NAME_BITS
-        self.flat[place] = np.where(self.hit, was + (np.minimum(GAIN, MOST - n) << NAME_BITS), np.where(n <= 1, x + (GAIN << NAME_BITS), was - (1 << NAME_BITS)))
+        was, n = self.was, self.count
+        self.flat[self.place] = np.where(self.hit, was + (np.minimum(GAIN, MOST - n) << NAME_BITS), np.where(n <= 1, x + (GAIN << NAME_BITS), was - (1 << NAME_BITS)))
 
 
 class Model:
@@ -116,18 +130,12 @@ class Model:
         room = WHOLE - self.e1
         a, b = self.e1 + (room * self.places[x] >> SHARES), self.e1 + (room * self.places[x + 1] >> SHARES)
         part = np.zeros(len(x), dtype=np.int64)
-        for k, order in ((1, self.one), (2, self.two)):
-            order.match(x)
-            known = np.flatnonzero(order.hit)
-            way, row, total = order.way[known], np.arange(len(known)), order.total[known]
-            n = order.n.take(known, axis=1)
-            upto = np.cumsum(n, axis=0)[way, row].astype(np.int64)
-            start = self.e2[known] if k == 1 else 0
-            width = (self.e1 if k == 1 else self.e2)[known] - start
-            c, d = start + width * (upto - n[way, row]) // total, start + width * upto // total
-            better = d - c > (b - a)[known]
-            at = known[better]
-            a[at], b[at], part[at] = c[better], d[better], k
+        for k, order, start, width in ((1, self.one, self.e2, self.e1 - self.e2), (2, self.two, 0, self.e2)):
+            order.match(x, self.step)
+            c, d = order.part(start, width)
+            better = d - c > b - a
+            a, b = np.where(better, c, a), np.where(better, d, b)
+            np.copyto(part, k, where=better)
         return a, b, part
 
     def find(self, v):
@@ -138,19 +146,24 @@ class Model:
         k = np.flatnonzero(part == 0)
         room = WHOLE - self.e1[k]
         # The last id whose begin is not behind: begins are rounded down.
-        s = np.searchsorted(self.narrow, ((((v[k] - self.e1[k] + 1) << SHARES) - 1) // room).astype(np.int32), side="right") - 1
+        place = ((((v[k] - self.e1[k] + 1) << SHARES) - 1) // room).astype(np.int32)
+        order = np.argsort(place)  # near places one after the other find each other's way still warm
+        k, room = k[order], room[order]
+        s = np.searchsorted(self.narrow, place[order], side="right") - 1
         x[k], a[k], b[k] = s, self.e1[k] + (room * self.places[s] >> SHARES), self.e1[k] + (room * self.places[s + 1] >> SHARES)
         for which, order in ((1, self.one), (2, self.two)):
             k = np.flatnonzero(part == which)
             begin = self.e2[k] if which == 1 else 0
-            width, total = (self.e1 if which == 1 else self.e2)[k] - begin, order.total[k].astype(np.int64)
-            n = order.n.take(k, axis=1)
-            upto = np.cumsum(n, axis=0)
-            way, row = (upto <= ((v[k] - begin + 1) * total - 1) // width).sum(axis=0), np.arange(len(k))
-            high = upto[way, row].astype(np.int64)
-            x[k], a[k], b[k] = order.own[way, k], begin + width * (high - n[way, row]) // total, begin + width * high // total
-        self.one.match(x)
-        self.two.match(x)
+            width, total = ((self.e1 if which == 1 else self.e2)[k] - begin).astype(np.float64), order.total[k]
+            # As doubles: see Order.part().
+            place = (((v[k] - begin + 1) * total - 1) / width).astype(np.int32)
+            way = (order.upto.take(k, axis=1) <= place).sum(axis=0, dtype=np.int8).astype(np.int64) * n + k
+            x[k] = order.own.reshape(-1).take(way)
+            high = order.upto.reshape(-1).take(way)
+            low = np.where(way < n, 0, order.upto.reshape(-1).take(np.maximum(way - n, 0)))
+            a[k], b[k] = begin + (width * low / total).astype(np.int64), begin + (width * high / total).astype(np.int64)
+        self.one.match(x, self.step)
+        self.two.match(x, self.step)
         return x, a, b, part
 
     def learn(self, x, part) -> None:
@@ -158,8 +171,8 @@ class Model:
         self.ids.append(x)
         self.parts.append(part)
         self.states.append(self.state)
-        self.one.learn(x, self.step)
-        self.two.learn(x, self.step)
+        self.one.learn(x)
+        self.two.learn(x)
         self.step += 1
         if self.step % RARE == 0:
             self.counts += 32 * np.bincount(np.concatenate(self.ids), minlength=self.vocabulary)

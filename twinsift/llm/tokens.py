@@ -48,7 +48,7 @@ class Pieces(dict):
             raise ValueError("the vocabulary keeps white space")
 
     def encoded(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "\u0130" and piece == piece.lower() and getattr(self, "splits", True):
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0130") and piece == piece.lower() and getattr(self, "splits", True):
             # One word, which normalising and splitting leave as it is: only the merges are left to do.
             found = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES))]
         else:
@@ -74,7 +74,7 @@ class Pieces(dict):
 
         Only where that is certain: Latin letters without combining marks, no special strings, no apostrophe before letters.
         """
-        if self.splits and "<" not in piece and max(piece, default="") < "\u0130":
+        if self.splits and "<" not in piece and (piece.isascii() or max(piece) < "\u0130"):
             low = piece.lower()
             core = low.rstrip(MARKS)
             if core and core != low and core[-1].isalnum():
@@ -96,6 +96,7 @@ class Pieces(dict):
 
         Returns ids, ends (of each piece, in ids), codes (which of `pieces` each piece is), pieces, and where each text's pieces begin (and the last ones end).
         """
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
@@ -103,11 +104,10 @@ class Pieces(dict):
         found = cut.flatten().dictionary_encode()
         codes, names = found.indices.to_numpy(), found.dictionary.to_pylist()
         held = list(map(self.__getitem__, names))
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) >> 2
-        flat, begins = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - n), n)]
+        laid = pa.array(held, pa.large_binary()).take(found.indices)
+        bounds, bits = (np.frombuffer(x, kind) if x else np.zeros(0, kind) for x, kind in zip(laid.buffers()[1:], (np.int64, "<u4"), strict=True))
+        ends = bounds[1 : len(laid) + 1] >> 2
+        ids = bits[: ends[-1] if len(ends) else 0]
         return ids, ends, codes, names, first - first[0]
 
 
