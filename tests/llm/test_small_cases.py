@@ -526,3 +526,17 @@ def test_token_blocks_are_written_as_before():
     block = idcoder.encode(ids, 49_408)
     assert hashlib.md5(block).hexdigest() == "0d5faaab2a68860e33958126f0317e71"
     assert (idcoder.decode(block) == ids).all()
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded rows like those they come from; under its own threshold it would send all of them to the driver."""
+    from twinsift.llm import nearcopies, simhash
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for bits in (2, 4):
+        found = plan(simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fingerprint")), bits=bits))
+        assert "SortMergeJoin [key" in found and "BroadcastHashJoin [key" not in found
+    seen = {}
+    monkeypatch.setattr(nearcopies, "stored", lambda df, name, real=nearcopies.stored: real(seen.setdefault(name, df), name) if name == "entries" else real(df, name))
+    assert nearcopies.deduplicated(spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(8)], "doc_id long, text string")).count() == 4
+    assert "SortMergeJoin" in plan(seen["entries"]) and "BroadcastHashJoin" not in plan(seen["entries"])

@@ -90,13 +90,14 @@ def links(prints: DataFrame, crowd: int = CROWD, bits: int = BITS) -> DataFrame:
     crowded = stored(segments.groupBy("s", "v").count().where(F.col("count") > crowd).select("s", "v"), "crowded")
     bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
     flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.col("v").bitwiseXOR(bit(j)))
-    near = crowded.select("s", F.explode(F.concat(F.array("v"), flips)).alias("v")).distinct()
+    # Spark sizes exploded rows like those they come from, up to 64 times too low: without the hints it would broadcast them all.
+    near = crowded.select("s", F.explode(F.concat(F.array("v"), flips)).alias("v")).distinct().hint("merge")
 
     variants = segments.join(crowded, ["s", "v"], "left_anti").select(
         "fingerprint",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: bit(F.lit(37)) * F.col("s") + bit(F.lit(32)) * j + F.col("v").bitwiseAND(F.bitwise_not(bit(j))))).alias("key"),
     )
-    other = variants.select(F.col("fingerprint").alias("g"), F.col("key").alias("k2"))
+    other = variants.select(F.col("fingerprint").alias("g"), F.col("key").alias("k2")).hint("merge")
     differ = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("g")))
     cold = variants.join(other, (F.col("key") == F.col("k2")) & (F.col("fingerprint") < F.col("g")) & (differ <= bits)).select(F.col("fingerprint").alias("u"), F.col("g").alias("v"))
 
