@@ -89,3 +89,31 @@ def test_pictures_are_drawn_where_texts_are_read(spark):
             slices[i, 7 * p // len(w)].append(word)
     frames = fixtures._painted(docs.select("doc_id", "text"), 7).collect()
     assert {(r["doc_id"], r["frame"]): r["raster"] for r in frames} == {k: raster(w) for k, w in slices.items()} and len(frames) == len(slices)
+
+
+@pytest.mark.parametrize(("block", "sparse"), [(1024, 32), (10, 0), (10, 10**9)])
+def test_videos_of_reference_frames(spark, monkeypatch, block, sparse):
+    """Edges and groups without a table of similar frames, against the rule in plain Python."""
+    from itertools import permutations
+
+    from test_videos import some_videos
+    from video_brute import alike
+
+    rows = [(i, t, k, "REFERENCE_FRAMES", h, c) for i, t, k, _, h, c in some_videos(random.Random(11), 90)]
+    videos = spark.createDataFrame([(i, i, t, k) for i, t, k, *_ in rows], "asset_id long, media_store_id long, date_added_s long, kind string")
+    frames = spark.createDataFrame([(i, h, c, s) for i, _, _, s, h, c in rows], "asset_id long, hashes array<long>, colors array<array<double>>, source string")
+    want = set()
+    for x, y in permutations(rows, 2):
+        if (x[1], x[0]) < (y[1], y[0]):
+            kind = "SCREEN_RECORDING" if "SCREEN_RECORDING" in (x[2], y[2]) else "VIDEO"
+            if alike(kind, x[3], x[4], x[5], y[3], y[4], y[5]):
+                want.add((kind, min(x[0], y[0]), max(x[0], y[0])))
+
+    def matches(*_):
+        raise AssertionError("similar frames were written")
+
+    monkeypatch.setattr(joins, "frame_matches", matches)
+    edges = joins.video_edges(videos, frames, band=False)
+    assert {tuple(r)[1:] for r in edges.collect()} == want and len(want) > 30
+    groups = grouping.anchor_groups(grouping.scan_rank(videos, "VIDEO"), edges).collect()
+    assert sorted(grouping.videos_compared(videos, frames, False, block, sparse).collect()) == sorted(groups) and len(groups) > 20
