@@ -540,3 +540,25 @@ def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "stored", lambda df, name, real=nearcopies.stored: real(seen.setdefault(name, df), name) if name == "entries" else real(df, name))
     assert nearcopies.deduplicated(spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(8)], "doc_id long, text string")).count() == 4
     assert "SortMergeJoin" in plan(seen["entries"]) and "BroadcastHashJoin" not in plan(seen["entries"])
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 10])
+def test_quality_takes_every_trusted_document(spark, monkeypatch, sent):
+    """Where all documents are trusted the two counts are the same, however many there are and however they are joined."""
+    from twinsift.llm import quality
+
+    monkeypatch.setattr(quality, "SENT", sent, raising=False)
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('a b', IF(id % 3 = 0, ' c', '')) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert not any(quality.fit(docs, labels)["weights"])
+    half = quality.fit(docs, labels.where("doc_id % 3 = 0"))["weights"]
+    assert max(half) > 0 > min(half)
+
+
+def test_the_pipeline_ends_with_the_ids(spark):
+    import zlib
+
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.packed(spark, spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"), "").collect()
+    assert pieces and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in pieces)

@@ -3,7 +3,7 @@
 An n-gram is a run of `order` neighbouring words in one of two forms, hashed into `buckets`: the words whole,
 and their shapes, where each run of letters is one sign that tells how it is cased and each run of digits another, while
 marks stay as they are (so "Whole", "whole", "WHOLE!!" and "who$$$" are different and "whole", "other" are not). Two
-multinomials over the buckets are counted: one over a bounded, trusted sample (labels.quality = 1), one over
+multinomials over the buckets are counted: one over the trusted documents (labels.quality = 1), one over
 every document. A document's score is the mean log ratio of the two
 over its n-grams, so length does not matter; it is kept when the score reaches a threshold that the
 trusted documents' own scores fix: their mean less `z` standard deviations, never above 0.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from twinsift.llm.common import double_array, words
 
-ORDER, BUCKETS, TRUSTED_ROWS, Z = 2, 1 << 14, 20_000, 4.0
+ORDER, BUCKETS, Z = 2, 1 << 14, 4.0
+SENT = 1 << 20  # trusted ids that are broadcast; more are merged with the documents
 SHORT = 1 << 12  # words up to which a window's hash (51 bits) and number share one long
 
 
@@ -102,24 +103,22 @@ def prepared(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> Dat
     return out.withColumn("q_grams", grams(F.col("q_words"), F.col("q_shapes"), order, buckets)).drop("q_words", "q_shapes", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, z: float = Z) -> dict:
     """The model of fit_prepared() from texts, which are read anew where their n-grams are wanted."""
-    w = _marked(docs, "text", labels, trusted_rows).select("q_trusted", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
+    w = _marked(docs, "text", labels).select("q_trusted", words(F.col("text")).alias("q_words"), words(shape(F.col("text"))).alias("q_shapes"))
     return _fitted(w.select("q_trusted", grams(F.col("q_words"), F.col("q_shapes"), order, buckets).alias("q_grams")), order, buckets, z)
 
 
-def fit_prepared(ready: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, z: float = Z) -> dict:
-    """Weights by bucket and the threshold. The trusted sample is bounded by trusted_rows; the corpus counts cover all rows."""
-    return _fitted(_marked(ready, "q_grams", labels, trusted_rows), order, buckets, z)
+def fit_prepared(ready: DataFrame, labels: DataFrame, order: int = ORDER, buckets: int = BUCKETS, z: float = Z) -> dict:
+    """Weights by bucket and the threshold, from all trusted documents and all rows."""
+    return _fitted(_marked(ready, "q_grams", labels), order, buckets, z)
 
 
-def _marked(rows: DataFrame, column: str, labels: DataFrame, trusted_rows: int) -> DataFrame:
-    """The column of each row, and q_trusted: 1 for documents of the trusted sample."""
-    trusted = (
-        labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("q_id")).distinct()
-        .orderBy(F.xxhash64("q_id"), "q_id").limit(trusted_rows).withColumn("q_trusted", F.lit(1))
-    )
-    return rows.select("doc_id", column).join(F.broadcast(trusted), F.col("doc_id") == F.col("q_id"), "left").select(column, F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
+def _marked(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """The column of each row, and q_trusted: 1 for trusted documents."""
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("q_id")).distinct().withColumn("q_trusted", F.lit(1))
+    trusted = trusted.hint("broadcast" if trusted.count() <= SENT else "merge")
+    return rows.select("doc_id", column).join(trusted, F.col("doc_id") == F.col("q_id"), "left").select(column, F.coalesce("q_trusted", F.lit(0)).alias("q_trusted"))
 
 
 def _fitted(w: DataFrame, order: int, buckets: int, z: float) -> dict:
